@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import bpe, mixing, quality
+from quillmere.llm import bpe, linededup, mixing, quality
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that have a fuzzy copy at an earlier place; documents of which nothing is left go."""
+    return linededup.without_duplicate_lines(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the Pfair mix."""
     return mixing.mixed(docs)
@@ -24,7 +29,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs)
 
 
-STAGES = [("quality", quality_filter), ("mix", source_mix), ("tokens", tokens)]
+STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("mix", source_mix), ("tokens", tokens)]
 
 #: Scores from a fitted model, near-duplicate sketches, an EDF schedule and BPE are not SQL.
 ORACLE_SQL = None
