@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import bpe, linededup, mixing, quality
+from quillmere.llm import bpe, linededup, mixing, quality, simhash
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.without_duplicate_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.without_near_duplicates(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the Pfair mix."""
     return mixing.mixed(docs)
@@ -29,7 +34,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs)
 
 
-STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("mix", source_mix), ("tokens", tokens)]
+STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", source_mix), ("tokens", tokens)]
 
 #: Scores from a fitted model, near-duplicate sketches, an EDF schedule and BPE are not SQL.
 ORACLE_SQL = None

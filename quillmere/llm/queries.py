@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import bpe, linededup, mixing, packing, quality, rules
+from quillmere.llm import bpe, linededup, mixing, packing, quality, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,14 @@ def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.ablation(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_line_dedup, op5_shard_packing, op6_quality_ranking, op7_rule_ledger, rule_ablation, op10_bpe_tokens)}
+QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_line_dedup, op5_shard_packing, op6_quality_ranking, op7_rule_ledger, rule_ablation, op8_simhash_dedup, op10_bpe_tokens)}
 
 SQL = {"op7_rule_ledger": rules.ledger_sql(), "rule_ablation": rules.ablation_sql()}
