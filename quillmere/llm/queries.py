@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import bpe, linededup, mixing, packing, quality, rules, simhash
+from quillmere.llm import bpe, linededup, mixing, packing, pagediff, quality, rules, simhash, surrogates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,6 @@ def op10_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op4_line_dedup, op5_shard_packing, op6_quality_ranking, op7_rule_ledger, rule_ablation, op8_simhash_dedup, op10_bpe_tokens)}
+QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_source_mixing, op3_pii_surrogates, op4_line_dedup, op5_shard_packing, op6_quality_ranking, op7_rule_ledger, rule_ablation, op8_simhash_dedup, op10_bpe_tokens)}
 
 SQL = {"op7_rule_ledger": rules.ledger_sql(), "rule_ablation": rules.ablation_sql()}
