@@ -22,6 +22,7 @@ import base64
 import gc
 import hashlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -44,29 +45,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes of a word in, tokens out.
 
-    A state is (last emitted token, pending bytes, live boundaries); a boundary is live while the bytes after it are a proper
-    prefix of a token, and has the tokens that lead to it from the last emitted one.
+    A state is the last emitted token and the live boundaries.  A boundary is live while the bytes after it are a proper prefix of a
+    token: it is kept as that prefix's node in the trie of tokens, and the tokens that lead to it from the last emitted one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.growing = {t[:i] for t in ranks for i in range(len(t))}
         self.most_states = most_states
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.split: dict[int, tuple[int, int]] = {}
+        # the trie: node * 256 + byte -> node; the token that ends at a node, or -1; whether it goes on
+        self.trie: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        for word, token in ranks.items():
+            node = 0
+            for byte in word:
+                self.goes_on[node] = True
+                to = self.trie.get(node << 8 | byte)
+                if to is None:
+                    to = self.trie[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
+                node = to
+            self.token_at[node] = token
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.keys: list[tuple[int, bytes]] = [(-1, b"")]
-        self.live: list[tuple[tuple[int, tuple[int, ...]], ...]] = [((0, ()),)]
+        self.keys: list[tuple] = []
+        self.ids: dict[tuple, int] = {}
         # state * 256 + byte -> state, or -1 - place of (state, tokens) where tokens are emitted
         self.moves: dict[int, int] = {}
         self.emits: list[tuple[int, tuple[int, ...]]] = []
-        self.ends: list[tuple[int, ...]] = [()]
+        self.ends: list[tuple[int, ...]] = []
+        self._add((-1, ((0, ()),)))
+
+    def _add(self, key: tuple) -> int:
+        self.ids[key] = len(self.keys)
+        self.keys.append(key)
+        node, chain = key[1][-1] if key[1] else (1, ())
+        self.ends.append(chain if node == 0 else ())
+        return len(self.keys) - 1
 
     def merge(self, word: bytes) -> list[int]:
-        """Plain byte-pair merging by rank, leftmost first; used for pairs of tokens only."""
+        """Plain byte-pair merging by rank, leftmost first; used once a token, to see which merge makes it."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
             best, at = None, -1
@@ -76,54 +98,88 @@ class Transducer:
                     best, at = r, i
             if best is None:
                 break
+            self.last_merge = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def fits(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a."""
-        got = self.pairs.get((a, b))
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes a token; a byte, or a token that merging never makes, is its own two halves."""
+        got = self.split.get(token)
         if got is None:
-            if a < 0:
-                got = self.merge(self.bytes_of[b]) == [b]
+            word = self.bytes_of[token]
+            if len(word) > 1 and self.merge(word) == [token]:
+                got = self.ranks[self.last_merge[0]], self.ranks[self.last_merge[1]]
             else:
-                got = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.pairs) > 2_000_000:
+                got = token, token
+            self.split[token] = got
+        return got
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a: no merge across the border comes before the merges that made the pieces beside it.
+
+        Both sides are taken apart, the later merge first, down to the bytes at the border; a merge across any pair of pieces that ranks below
+        the merge just undone would have come first.
+        """
+        if a < 0:
+            return len(self.bytes_of[b]) == 1 or self.halves(b)[0] != b
+        got = self.pairs.get(a << 32 | b)
+        if got is None:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            self.pairs[a, b] = got
+            got = self.pairs[a << 32 | b] = self._fits(a, b)
         return got
 
+    def _fits(self, a: int, b: int) -> bool:
+        ranks, bytes_of = self.ranks, self.bytes_of
+        if (len(bytes_of[a]) > 1 and self.halves(a)[0] == a) or (len(bytes_of[b]) > 1 and self.halves(b)[0] == b):
+            return False
+        bound = 1 << 62
+        while True:
+            r = ranks.get(bytes_of[a] + bytes_of[b])
+            if r is not None and r < bound:
+                return False
+            whole_a, whole_b = len(bytes_of[a]) == 1, len(bytes_of[b]) == 1
+            if whole_a and whole_b:
+                return True
+            # of equal ranks the left one is merged first, so it is undone last
+            if whole_b or (not whole_a and a > b):
+                bound, a = a, self.split[a][1] if a in self.split else self.halves(a)[1]
+            else:
+                bound, b = b + 1, self.split[b][0] if b in self.split else self.halves(b)[0]
+
     def step(self, state: int, byte: int) -> int:
         """Make the transition of a state on a byte."""
-        last, pending = self.keys[state]
-        pending += bytes((byte,))
-        n, found, live = len(pending), None, []
-        for p, chain in self.live[state]:
-            tail = pending[p:]
+        last, before = self.keys[state]
+        trie, token_at, goes_on = self.trie, self.token_at, self.goes_on
+        found, live = None, []
+        for node, chain in before:
+            node = trie.get(node << 8 | byte)
+            if node is None:
+                continue
             if found is None:
-                token = self.ranks.get(tail)
-                if token is not None and self.fits(chain[-1] if chain else last, token):
+                token = token_at[node]
+                if token >= 0 and self.fits(chain[-1] if chain else last, token):
                     found = (*chain, token)
-            if tail in self.growing:
-                live.append((p, chain))
-        whole = found
+            if goes_on[node]:
+                live.append((node, chain))
         if found is not None:
-            live.append((n, found))
+            live.append((0, found))
         # the tokens that lead to every live boundary are final
-        final = live[0][1] if live else ()
-        for _, c in live[1:]:
-            k, m = 0, min(len(final), len(c))
-            while k < m and final[k] == c[k]:
-                k += 1
-            final = final[:k]
-        k = len(final)
-        if k:
-            cut = sum(len(self.bytes_of[t]) for t in final)
-            pending, last = pending[cut:], final[-1]
-            live = [(p - cut, c[k:]) for p, c in live]
-        key = (last, pending)
+        final: tuple[int, ...] = ()
+        if live and live[0][1]:
+            final = live[0][1]
+            for _, c in live[1:]:
+                k, m = 0, min(len(final), len(c))
+                while k < m and final[k] == c[k]:
+                    k += 1
+                final = final[:k]
+        if final:
+            k, last = len(final), final[-1]
+            live = [(node, c[k:]) for node, c in live]
+        key = (last, tuple(live))
         to = self.ids.get(key)
         if to is None:
-            to = self._add(key, tuple(live), () if whole is None else whole[k:])
+            to = self._add(key)
         move = to
         if final:
             move = -1 - len(self.emits)
@@ -131,13 +187,6 @@ class Transducer:
         self.moves[state << 8 | byte] = move
         return move
 
-    def _add(self, key, live, end) -> int:
-        self.ids[key] = len(self.keys)
-        self.keys.append(key)
-        self.live.append(live)
-        self.ends.append(end)
-        return len(self.keys) - 1
-
     def encode(self, word: bytes) -> list[int]:
         if len(self.keys) > self.most_states:
             self.reset()
@@ -146,12 +195,10 @@ class Transducer:
             move = moves.get(state << 8 | byte)
             if move is None:
                 if len(self.keys) > 2 * self.most_states:  # one endless word: keep this state, forget the rest
-                    here = self.keys[state], self.live[state], self.ends[state]
+                    here = self.keys[state]
                     self.reset()
                     moves, emits = self.moves, self.emits
-                    state = self.ids.get(here[0], -1)
-                    if state < 0:
-                        state = self._add(*here)
+                    state = self.ids[here] if here in self.ids else self._add(here)
                 move = self.step(state, byte)
             if move < 0:
                 state, tokens = emits[-1 - move]
@@ -163,16 +210,20 @@ class Transducer:
 
 
 class Words(dict):
-    """Word -> its tokens as packed int32, made when first asked for."""
+    """Word -> its tokens as packed int32, made when first asked for; two generations, the older is forgotten."""
 
-    def __init__(self, transducer: Transducer, most: int = 400_000):
+    def __init__(self, transducer: Transducer, most: int = 350_000):
         super().__init__()
-        self.transducer, self.most = transducer, most
+        self.transducer, self.most, self.old = transducer, most, {}
 
     def __missing__(self, word: str) -> bytes:
-        got = np.array(self.transducer.encode(word.encode("utf-8", "replace")), np.int32).tobytes()
+        got = self.old.get(word)
+        if got is None:
+            tokens = self.transducer.encode(word.encode("utf-8", "replace"))
+            got = pack(f"{len(tokens)}i", *tokens)
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = got
         return got
