@@ -216,6 +216,32 @@ def spread_rank(df: DataFrame, key: str, order: list[str], counts: dict, rows_pe
 # ------------------------------------------------------------------------------------------------ union-find
 
 
+def shared_cells(batches):
+    """(bucket, node) of the cells of a partition that hold more than one node; cells of equal members once. All rows of a cell are in one partition."""
+    cell, node = [], []
+    for batch in batches:
+        cell.append(batch.column(0).to_numpy())
+        node.append(batch.column(1).to_numpy())
+    if not cell:
+        return
+    cell, node = np.concatenate(cell), np.concatenate(node)
+    order = np.lexsort((node, cell))
+    cell, node = cell[order], node[order]
+    new = np.ones(len(cell), bool)
+    new[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])
+    cell, node = cell[new], node[new]
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(cell)))
+    many = size > 1
+    if not many.any():
+        return
+    # a name that depends on the members only, so that equal cells are one bucket
+    total = np.add.reduceat(mix(node.view(np.uint64)), first)
+    keep = np.repeat(many, size)
+    name = np.repeat(mix(total + size.astype(np.uint64)).view(np.int64), size)[keep]
+    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(node[keep])], names=["bucket", "node"])
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root) of every node of an edge, root being the smallest node of its component.
 

@@ -112,7 +112,7 @@ def _explode(batches):
         raw, _ = C.buffer_of(batch.column(1))
         keys = raw.view(np.int64)
         if len(h):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(h, len(keys) // len(h)))], names=["bucket", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(h, len(keys) // len(h)))], names=["cell", "node"])
 
 
 def _places(batches):
@@ -177,33 +177,58 @@ def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 def _verify(least: float):
     """Edges (a, b) of line hashes within each bucket; input sorted by bucket: (bucket, h, line)."""
 
-    def of(hs: list[int], lines: list[str]):
-        if len(hs) < 2:
-            return [], []
-        blobs = [x.encode() for x in lines]
-        ends = np.cumsum([len(x) for x in blobs])
-        hashes, first = shingle_hashes(b"".join(blobs), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64))
-        found = linked([np.unique(x) for x in np.split(hashes, first[1:])], least)
-        return [hs[i] for i, _ in found], [hs[j] for _, j in found]
+    def edges_of(bucket: np.ndarray, h: np.ndarray, lines: pa.Array) -> pa.RecordBatch:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(bucket):
+            raw, off = C.buffer_of(lines)
+            hashes, first = shingle_hashes(raw, off[:-1], off[1:])
+            owner = np.repeat(np.arange(len(h)), np.diff(np.append(first, len(hashes))))
+            order = np.lexsort((hashes, owner))
+            hashes, owner = hashes[order], owner[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            hashes, owner = hashes[new], owner[new]
+            size = np.bincount(owner, minlength=len(h))
+            start = np.concatenate([[0], np.cumsum(size)])
+            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+            members = np.diff(cuts)
+            # most buckets are pairs: one sort finds what the two lines of every pair share
+            two = cuts[:-1][members == 2]
+            pair = np.full(len(h), -1)
+            pair[two] = pair[two + 1] = np.arange(len(two))
+            mine = pair[owner] >= 0
+            who, what = pair[owner[mine]], hashes[mine]
+            order = np.lexsort((what, who))
+            who, what = who[order], what[order]
+            again = (what[1:] == what[:-1]) & (who[1:] == who[:-1])
+            both = np.bincount(who[1:][again], minlength=len(two))
+            near = two[both >= least * (size[two] + size[two + 1] - both)]
+            left.append(h[near])
+            right.append(h[near + 1])
+            for s, n in zip(cuts[:-1][members > 2].tolist(), members[members > 2].tolist(), strict=True):
+                found = np.array(linked([hashes[start[i] : start[i + 1]] for i in range(s, s + n)], least), np.int64).reshape(-1, 2)
+                left.append(h[s + found[:, 0]])
+                right.append(h[s + found[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     def run(batches):
-        bucket, hs, lines = None, [], []
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            left, right = [], []
+            if not len(batch):
+                continue
             keys = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else [0]
-            every_h, every_line = batch.column(1).to_pylist(), batch.column(2)
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if keys[s] != bucket:
-                    a, b = of(hs, lines)
-                    left += a
-                    right += b
-                    bucket, hs, lines = keys[s], [], []
-                hs += every_h[s:e]
-                lines += every_line.slice(s, e - s).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-        a, b = of(hs, lines)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            # the last bucket of a batch may go on in the next
+            tail = int(np.searchsorted(keys, keys[-1]))
+            if tail == 0 and (not kept or kept[0].column(0)[0].as_py() == keys[-1]):
+                kept.append(batch)
+                continue
+            table = pa.Table.from_batches([*kept, batch.slice(0, tail)]).combine_chunks()
+            if len(table):
+                yield edges_of(*(table.column(i).combine_chunks() if i == 2 else table.column(i).to_numpy() for i in range(3)))
+            kept = [batch.slice(tail)]
+        if kept:
+            table = pa.Table.from_batches(kept).combine_chunks()
+            yield edges_of(*(table.column(i).combine_chunks() if i == 2 else table.column(i).to_numpy() for i in range(3)))
 
     return run
 
@@ -220,21 +245,22 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.select("q_row", (F.coalesce(F.col("k").cast("bigint"), hashed) if whole else hashed).alias("k"), mark.alias("v"), "t")
 
 
-def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band_rows: int = ROWS, broadcast_rows: int = 4_000_000) -> DataFrame:
     """(h, keep_k, keep_ln) of every line that occurs more than once or has a fuzzy copy: where its component's kept line stands.
 
-    ``rows``: columns k (bigint) and t.
+    ``rows``: columns k (bigint) and t.  Hashes of candidate lines are broadcast while there are at most ``broadcast_rows`` (8 bytes
+    each), and joined by shuffle beyond.
     """
     C.settle(rows.sparkSession)
     pairs = rows.select("k", "t")
     scanned = pairs.mapInArrow(_scan(bands, band_rows), "h bigint, k bigint, ln int, n bigint, bands binary")
     lines = C.cut(scanned.groupBy("h").agg(F.min(F.struct("k", "ln")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
-    buckets = lines.select("h", "bands").mapInArrow(_explode, "bucket bigint, h bigint").groupBy("bucket").agg(F.sort_array(F.collect_list("h")).alias("hs")).where(F.size("hs") > 1)
+    keys = lines.select("h", "bands").mapInArrow(_explode, "cell bigint, node bigint").repartition("cell")
     # buckets with the same members are one
-    buckets = buckets.groupBy(F.xxhash64("hs").alias("bucket")).agg(F.first("hs").alias("hs"))
-    members = C.cut(buckets.select("bucket", F.explode("hs").alias("h")), "buckets")
-    wanted = members.select("h").distinct()
-    texts = pairs.select("t").mapInArrow(_texts, "h bigint, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    members = C.cut(keys.mapInArrow(C.shared_cells, "bucket bigint, node bigint").distinct().select("bucket", F.col("node").alias("h")), "buckets")
+    wanted = C.cut(members.select("h").distinct(), "candidate-lines")
+    small = wanted.count() <= broadcast_rows
+    texts = pairs.select("t").mapInArrow(_texts, "h bigint, line string").join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     grouped = members.join(texts, "h").select("bucket", "h", "line").repartition("bucket").sortWithinPartitions("bucket", "h")
     edges = grouped.mapInArrow(_verify(least), "a bigint, b bigint")
     roots = C.components(edges, "lines-cc")
@@ -244,6 +270,7 @@ def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band
     out = C.cut(tied.join(kept, "root").select("h", F.col("keep.k").alias("keep_k"), F.col("keep.ln").alias("keep_ln")), "line-decisions")
     C.discard(lines)
     C.discard(members)
+    C.discard(wanted)
     return out
 
 
