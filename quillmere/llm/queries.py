@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import bpe, linededup, mixing, packing, pagediff, quality, rules, simhash, surrogates
+from quillmere.llm import bpe, linededup, media, mixing, packing, pagediff, quality, rules, simhash, surrogates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,14 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_media(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_source_mixing, op3_pii_surrogates, op4_line_dedup, op5_shard_packing, op6_quality_ranking, op7_rule_ledger, rule_ablation, op8_simhash_dedup, op10_bpe_tokens)}
+QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_source_mixing, op3_pii_surrogates, op4_line_dedup, op5_shard_packing, op6_quality_ranking, op7_rule_ledger, rule_ablation, op8_simhash_dedup, op9_jpeg_media, op10_bpe_tokens)}
 
 SQL = {"op7_rule_ledger": rules.ledger_sql(), "rule_ablation": rules.ablation_sql()}
