@@ -1,6 +1,6 @@
-"""Registry of the queries of the retrieval engine and their SQL."""
+"""All queries of the retrieval engine and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quillmere.plans import text_queries  # noqa: F401
+from quillmere.plans.registry import QUERIES, SQL  # noqa: F401
