@@ -182,26 +182,24 @@ def _verify(least: float):
         if len(bucket):
             raw, off = C.buffer_of(lines)
             hashes, first = shingle_hashes(raw, off[:-1], off[1:])
-            owner = np.repeat(np.arange(len(h)), np.diff(np.append(first, len(hashes))))
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            new = np.ones(len(hashes), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-            hashes, owner = hashes[new], owner[new]
+            # a line's number and 40 bits of the shingle's hash in one key: one plain sort makes every line's set
+            low = np.uint64((1 << 40) - 1)
+            owner = np.repeat(np.arange(len(h), dtype=np.uint64), np.diff(np.append(first, len(hashes))))
+            keys = np.sort((owner << np.uint64(40)) | (hashes >> np.uint64(24)))
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+            owner, hashes = (keys >> np.uint64(40)).astype(np.int64), keys & low
             size = np.bincount(owner, minlength=len(h))
             start = np.concatenate([[0], np.cumsum(size)])
             cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
             members = np.diff(cuts)
-            # most buckets are pairs: one sort finds what the two lines of every pair share
+            # most buckets are pairs: one more sort finds what the two lines of every pair share
             two = cuts[:-1][members == 2]
             pair = np.full(len(h), -1)
             pair[two] = pair[two + 1] = np.arange(len(two))
             mine = pair[owner] >= 0
-            who, what = pair[owner[mine]], hashes[mine]
-            order = np.lexsort((what, who))
-            who, what = who[order], what[order]
-            again = (what[1:] == what[:-1]) & (who[1:] == who[:-1])
-            both = np.bincount(who[1:][again], minlength=len(two))
+            keys = np.sort((pair[owner[mine]].astype(np.uint64) << np.uint64(40)) | hashes[mine])
+            again = keys[1:][keys[1:] == keys[:-1]]
+            both = np.bincount((again >> np.uint64(40)).astype(np.int64), minlength=len(two))
             near = two[both >= least * (size[two] + size[two + 1] - both)]
             left.append(h[near])
             right.append(h[near + 1])
