@@ -88,12 +88,27 @@ def ranked(hits: DataFrame, score: str, key: str, top: int | None = None) -> Dat
 
 
 def _distances(metric: str, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Distances of rows of ``q`` to rows of ``d``, pair by pair."""
     if metric == "dot":
-        return -(q @ d.T)
+        return -(q * d).sum(1)
     if metric == "cosine":
-        return 1 - (q @ d.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1), 1e-300)
+        return 1 - (q * d).sum(1) / np.maximum(np.linalg.norm(q, axis=1) * np.linalg.norm(d, axis=1), 1e-300)
     # differences, not the expanded square: equal vectors are at exactly 0
-    return np.sqrt(np.stack([((d - v) ** 2).sum(1) for v in q])) if len(q) else np.zeros((0, len(d)))
+    return np.sqrt(((q - d) ** 2).sum(1))
+
+
+def _candidates(metric: str, q: np.ndarray, d: np.ndarray, k: int, barred: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, row of d) of all pairs that may be among the k nearest: one matrix product, with a margin for its rounding and for ties."""
+    dots = q @ d.T
+    if metric == "cosine":
+        dots /= np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1), 1e-300)
+    near = -dots if metric != "l2" else np.sqrt(np.maximum((q * q).sum(1)[:, None] + (d * d).sum(1) - 2 * dots, 0))
+    if barred is not None:
+        near[barred] = np.inf
+    if k >= near.shape[1]:
+        return np.nonzero(np.isfinite(near))
+    limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+    return np.nonzero((near <= limit + 2e-6 * np.maximum(1, np.abs(limit))) & np.isfinite(near))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", key: str = "vec_id", vector: str = "embedding", block: int = 4096, exclude_self: bool = False) -> DataFrame:
@@ -106,8 +121,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     blocks_d, blocks_q = max(1, -(-n_d // block)), max(1, -(-n_q // block))
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(f"no metric {metric!r}")
-    side_d = vectors.select(F.pmod(F.xxhash64(key), F.lit(blocks_d)).alias("bd"), F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).cast("bigint"))
-    side_q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks_q)).alias("bq"), F.col("query_id").alias("id"), F.col(vector).alias("v")).withColumn("bd", F.explode(F.sequence(F.lit(0), F.lit(blocks_d - 1))).cast("bigint"))
+    side_d = vectors.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks_d).cast("bigint")).alias("bd"), F.col(key).alias("id"), F.col(vector).alias("v")).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks_q - 1).cast("bigint"))))
+    side_q = queries.where(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64("query_id"), F.lit(blocks_q).cast("bigint")).alias("bq"), F.col("query_id").alias("id"), F.col(vector).alias("v")).withColumn("bd", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks_d - 1).cast("bigint"))))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         qi, di = right["id"].to_numpy(), left["id"].to_numpy()
@@ -116,17 +131,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
         out_q, out_d, out_x = [], [], []
         if len(qi) and len(di):
             data = grid(left)
-            for s in range(0, len(qi), 256):
-                x = np.round(_distances(metric, grid(right.slice(s, 256)), data), 6) + 0.0
-                ids = qi[s : s + 256]
-                if exclude_self:
-                    x[ids[:, None] == di[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(di, x.shape), x), axis=1)[:, :k]
-                picked = np.take_along_axis(x, order, 1)
-                solid = np.isfinite(picked)
-                out_q.append(np.repeat(ids, solid.sum(1)))
-                out_d.append(di[order][solid])
-                out_x.append(picked[solid])
+            asked = grid(right)
+            for s in range(0, len(qi), 512):
+                ids, part = qi[s : s + 512], asked[s : s + 512]
+                i, j = _candidates(metric, part, data, k, ids[:, None] == di if exclude_self else None)
+                x = np.round(_distances(metric, part[i], data[j]), 6) + 0.0
+                order = np.lexsort((di[j], x, i))
+                i, j, x = i[order], j[order], x[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+                out_q.append(ids[i[first]])
+                out_d.append(di[j[first]])
+                out_x.append(x[first])
         cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.zeros(0), t)
         return pa.table({"query_id": cat(out_q, pa.int64()), key: cat(out_d, pa.int64()), "distance": cat(out_x, pa.float64())})
 
@@ -163,11 +178,11 @@ def merge_followup(first: DataFrame, extra: DataFrame, key: str = "chunk_id") ->
     return first.unionByName(moved, allowMissingColumns=True)
 
 
-def missing_terms(answers: DataFrame, corpus: str = "corpus", answer: str = "answer") -> DataFrame:
-    """Adds ``missing``: identifiers of an answer that its sources don't hold, minus those behind words like ``figure``."""
+def missing_terms(answers: DataFrame, corpus: str = "corpus", answer: str = "answer", guard: bool = True) -> DataFrame:
+    """Adds ``missing``: identifiers of an answer that its sources don't hold; ``guard`` leaves out those behind words like ``figure``."""
     ids = F.filter(T.identifiers(F.col(answer), T.ANSWER_PATTERNS), lambda s: s != "")
     once = F.filter(ids, lambda s, i: F.array_position(F.transform(ids, F.lower), F.lower(s)) == i + 1)
     low = F.lower(F.col(answer))
     prefixes = "chapter|fig|figure|item|page|part|ref|section|step|table"
     behind = lambda s: F.right(F.substring_index(low, F.lower(s), 1), F.lit(10))
-    return answers.withColumn("missing", F.filter(once, lambda s: ~F.contains(F.lower(F.col(corpus)), F.lower(s)) & ~behind(s).rlike(f"({prefixes}) $")))
+    return answers.withColumn("missing", F.filter(once, lambda s: ~F.contains(F.lower(F.col(corpus)), F.lower(s)) & (~behind(s).rlike(f"({prefixes}) $") if guard else F.lit(True))))
