@@ -37,9 +37,10 @@ def fuzzy_entities(entities: DataFrame, terms: DataFrame, column: str = "name",
     Containment has no equi-join key.  Names are cut into their 4-grams and terms keep the 4-gram they begin with: a name that contains the term contains that gram,
     so an equi-join on grams finds all candidates and ``contains`` decides.
     """
-    low = F.lower(F.col(column))
+    named = entities.where(F.col(column).isNotNull()).select("id", F.col(column).alias("name"), F.lower(column).alias("low"))
+    low = F.col("low")
     grams = F.when(F.length(low) >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 3), lambda i: F.substring(low, i, F.lit(4)))))
-    names = entities.where(F.col(column).isNotNull()).select("id", F.col(column).alias("name"), F.explode(grams).alias("gram"))
+    names = named.select("id", "name", F.explode(grams).alias("gram"))
     long = terms.where((F.octet_length("term") >= 4) & (F.length("term") >= 4)).select("query_id", F.lower("term").alias("term")).withColumn("gram", F.left("term", F.lit(4)))
     hits = long.join(names, "gram").where(F.contains(F.lower("name"), F.col("term"))).select("query_id", "id", "name").distinct()
     return hits.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("n") <= limit).drop("n")
