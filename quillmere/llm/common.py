@@ -15,18 +15,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once; numpy temporaries are about thirty times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U64 = np.uint64
 MASK = (1 << 64) - 1
 
 
 def settle(spark: SparkSession) -> None:
     """Bound the bytes of one Arrow batch, so that very long rows don't meet in one batch."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
         if spark.conf.get(key) != value:
             spark.conf.set(key, value)
 
 
+_LIBC: list = []
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive tasks and share the executor's memory with the JVM."""
+    if not _LIBC:
+        import ctypes
+
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library has no such call
+            _LIBC.append(lambda pad: 0)
+    pa.default_memory_pool().release_unused()
+    _LIBC[0](0)
+
+
+def lean(run):
+    """A function for ``mapInArrow`` that trims the worker's memory after every batch."""
+
+    def trimmed(batches):
+        for out in run(batches):
+            yield out
+            trim()
+        trim()
+
+    return trimmed
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage in a way that outlives executors: write to the shared checkpoint folder and read again.
 

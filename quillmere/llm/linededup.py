@@ -209,6 +209,18 @@ def _verify(least: float):
                 right.append(h[s + found[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
+    def pieces(table: pa.Table):
+        """Edges of runs of whole buckets of about ``C.CHUNK_BYTES`` of text; a larger bucket comes alone."""
+        bucket, h, lines = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
+        off = C.buffer_of(lines)[1]
+        starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        at = 0
+        while at < len(starts) - 1:
+            end = max(at + 1, int(np.searchsorted(off[starts], off[starts[at]] + C.CHUNK_BYTES, side="right")) - 1)
+            a, b = starts[at], starts[end]
+            yield edges_of(bucket[a:b], h[a:b], lines.slice(a, b - a))
+            at = end
+
     def run(batches):
         kept: list[pa.RecordBatch] = []
         for batch in batches:
@@ -222,11 +234,11 @@ def _verify(least: float):
                 continue
             table = pa.Table.from_batches([*kept, batch.slice(0, tail)]).combine_chunks()
             if len(table):
-                yield edges_of(*(table.column(i).combine_chunks() if i == 2 else table.column(i).to_numpy() for i in range(3)))
+                yield from pieces(table)
             kept = [batch.slice(tail)]
         if kept:
             table = pa.Table.from_batches(kept).combine_chunks()
-            yield edges_of(*(table.column(i).combine_chunks() if i == 2 else table.column(i).to_numpy() for i in range(3)))
+            yield from pieces(table)
 
     return run
 
@@ -251,16 +263,16 @@ def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band
     """
     C.settle(rows.sparkSession)
     pairs = rows.select("k", "t")
-    scanned = pairs.mapInArrow(_scan(bands, band_rows), "h bigint, k bigint, ln int, n bigint, bands binary")
+    scanned = pairs.mapInArrow(C.lean(_scan(bands, band_rows)), "h bigint, k bigint, ln int, n bigint, bands binary")
     lines = C.cut(scanned.groupBy("h").agg(F.min(F.struct("k", "ln")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
-    keys = lines.select("h", "bands").mapInArrow(_explode, "cell bigint, node bigint").repartition("cell")
+    keys = lines.select("h", "bands").mapInArrow(C.lean(_explode), "cell bigint, node bigint").repartition("cell")
     # buckets with the same members are one
-    members = C.cut(keys.mapInArrow(C.shared_cells, "bucket bigint, node bigint").distinct().select("bucket", F.col("node").alias("h")), "buckets")
+    members = C.cut(keys.mapInArrow(C.lean(C.shared_cells), "bucket bigint, node bigint").distinct().select("bucket", F.col("node").alias("h")), "buckets")
     wanted = C.cut(members.select("h").distinct(), "candidate-lines")
     small = wanted.count() <= broadcast_rows
-    texts = pairs.select("t").mapInArrow(_texts, "h bigint, line string").join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    texts = pairs.select("t").mapInArrow(C.lean(_texts), "h bigint, line string").join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     grouped = members.join(texts, "h").select("bucket", "h", "line").repartition("bucket").sortWithinPartitions("bucket", "h")
-    edges = grouped.mapInArrow(_verify(least), "a bigint, b bigint")
+    edges = grouped.mapInArrow(C.lean(_verify(least)), "a bigint, b bigint")
     roots = C.components(edges, "lines-cc")
     # lines that are alone keep themselves and need no entry
     tied = lines.select("h", "first", "n").join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))
@@ -274,7 +286,7 @@ def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band
 
 def deletions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """(k, v, gone): line numbers to delete of every document that loses lines."""
-    places = rows.select("k", "v", "t").mapInArrow(_places, "h bigint, k bigint, v bigint, ln int")
+    places = rows.select("k", "v", "t").mapInArrow(C.lean(_places), "h bigint, k bigint, v bigint, ln int")
     hit = places.join(decisions, "h").where("not (k = keep_k and ln = keep_ln)")
     return hit.groupBy("k", "v").agg(F.collect_set("ln").alias("gone"))
 

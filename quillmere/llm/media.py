@@ -389,7 +389,7 @@ def read_images(df: DataFrame, id_column: str, image_column: str = "image") -> D
             found = list(zip(*decode_all(batch.column(1).to_pylist()), strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(x), t) for x, t in zip(found, kinds, strict=True)]], names=["k", *[f.split()[0] for f in FIELDS.split(", ")]])
 
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, {FIELDS}").withColumnRenamed("k", id_column)
+    return rows.mapInArrow(C.lean(run), f"k {rows.schema['k'].dataType.simpleString()}, {FIELDS}").withColumnRenamed("k", id_column)
 
 
 # ------------------------------------------------------------------------------------------------ a media column to read
@@ -515,7 +515,7 @@ def rendered(pages: DataFrame, id_column: str = "page_id", html_column: str = "h
                     group, weight = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["k", "image"])
 
-    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, image binary").withColumnRenamed("k", id_column)
+    return rows.mapInArrow(C.lean(run), f"k {rows.schema['k'].dataType.simpleString()}, image binary").withColumnRenamed("k", id_column)
 
 
 def page_media(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:

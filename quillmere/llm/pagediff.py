@@ -234,14 +234,14 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     host = F.lower(F.regexp_extract("url", scheme + "([^/?#\\s]*)", 1))
     path = F.regexp_replace(F.regexp_extract("url", scheme + "[^/?#\\s]*([^?#\\s]*)", 1), "(/|/index\\.html?|\\.html?)+$", "")
     rows = rows.withColumn("host", F.when(host != "", host)).withColumn("path", F.when(host != "", path))
-    hashed = rows.where("host is not null").select("host", "path", "k", "html").mapInArrow(_lines, f"host string, path string, k {kind}, hashes array<bigint>")
+    hashed = rows.where("host is not null").select("host", "path", "k", "html").mapInArrow(C.lean(_lines), f"host string, path string, k {kind}, hashes array<bigint>")
     paths = hashed.groupBy("host", "path").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "hashes")).alias("m")).select("host", "path", "m.k", "m.hashes")
     schema = NEIGHBOUR.format(k=kind)
-    near = C.cut(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").mapInArrow(_neighbours(True), schema), "url-neighbours")
+    near = C.cut(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").mapInArrow(C.lean(_neighbours(True)), schema), "url-neighbours")
     borders = near.where("side = 0").select("host", "path", F.col("nk").alias("k"), F.col("nhashes").alias("hashes"))
     # two rows a partition
-    across = borders.coalesce(1).sortWithinPartitions("host", "path").mapInArrow(_neighbours(False), schema)
+    across = borders.coalesce(1).sortWithinPartitions("host", "path").mapInArrow(C.lean(_neighbours(False)), schema)
     of = F.struct("npath", "nk", "nhashes")
     best = near.where("side <> 0").union(across).groupBy("host", "path").agg(F.max(F.when(F.col("side") == -1, of)).alias("before"), F.min(F.when(F.col("side") == 1, of)).alias("after"))
     paired = rows.join(best, ["host", "path"], "left").select("k", "url", "html", "path", "before", "after")
-    return paired.mapInArrow(_difference, f"k {kind}, url string, partner {kind}, n_lines bigint, n_shared bigint, text string").select(F.col("k").alias(id_column), F.col("url").alias(url_column), "partner", "n_lines", "n_shared", "text")
+    return paired.mapInArrow(C.lean(_difference), f"k {kind}, url string, partner {kind}, n_lines bigint, n_shared bigint, text string").select(F.col("k").alias(id_column), F.col("url").alias(url_column), "partner", "n_lines", "n_shared", "text")

@@ -127,7 +127,9 @@ def _udf(model: Model | None):
     def score(text: pa.Array) -> pa.Array:
         if model is None:
             return pa.array(np.zeros(len(text)))
-        return pa.array(model.score(features(text)))
+        got = pa.array(model.score(features(text)))
+        C.trim()
+        return got
 
     return score
 
@@ -145,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = texts.mapInArrow(rows, "y int, x array<double>").toPandas()
+    got = texts.mapInArrow(C.lean(rows), "y int, x array<double>").toPandas()
     if not len(got):
         return None
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy()

@@ -297,16 +297,16 @@ def _draw(key: bytes):
 
 def exceptions(rows: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
     """(kind, value, attempt) of the entities whose first surrogate collides. ``rows``: column t."""
-    found = rows.select("t").mapInArrow(_mentions(False), "kind string, value string").distinct()
+    found = rows.select("t").mapInArrow(C.lean(_mentions(False)), "kind string, value string").distinct()
     schema = "kind string, value string, attempt int, s string"
-    table = C.cut(found.withColumn("attempt", F.lit(0)).mapInArrow(_draw(key), schema), "entities")
+    table = C.cut(found.withColumn("attempt", F.lit(0)).mapInArrow(C.lean(_draw(key)), schema), "entities")
     real = table.select(F.col("kind").alias("rk"), F.col("value").alias("rv"))
     for _ in range(rounds):
         first = table.groupBy("kind", "s").agg(F.min("value").alias("owner")).select(F.col("kind").alias("ok"), F.col("s").alias("os"), "owner")
         marked = table.join(first, (F.col("kind") == F.col("ok")) & (F.col("s") == F.col("os"))).join(real, (F.col("kind") == F.col("rk")) & (F.col("s") == F.col("rv")), "left")
         clash = (F.col("value") != F.col("owner")) | F.col("rv").isNotNull()
         again = marked.where(clash).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
-        again = C.cut(again.mapInArrow(_draw(key), schema), "entities-again")
+        again = C.cut(again.mapInArrow(C.lean(_draw(key)), schema), "entities-again")
         if again.isEmpty():
             break
         calm = table.join(again.select(F.col("kind").alias("ak"), F.col("value").alias("av")), (F.col("kind") == F.col("ak")) & (F.col("value") == F.col("av")), "left_anti")
@@ -327,7 +327,7 @@ def replace(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         whole = rows.select("k", "t", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>").alias("odd"))
     else:
         marked = rows.withColumn("v", F.xxhash64("t"))
-        own = marked.select("k", "v", "t").mapInArrow(_mentions(True), f"k {kind}, v bigint, kind string, value string").join(odd, ["kind", "value"])
+        own = marked.select("k", "v", "t").mapInArrow(C.lean(_mentions(True)), f"k {kind}, v bigint, kind string, value string").join(odd, ["kind", "value"])
         own = own.groupBy("k", "v").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("odd")).withColumnRenamed("k", "k2").withColumnRenamed("v", "v2")
         whole = marked.join(own, F.col("k").eqNullSafe(F.col("k2")) & (F.col("v") == F.col("v2")), "left").select("k", "t", "odd")
 
@@ -351,4 +351,4 @@ def replace(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([changed[i] for i in sorted(changed)], texts.type))
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(count)], names=["k", "t", "n"])
 
-    return whole.mapInArrow(run, f"k {kind}, t string, n int").select(F.col("k").alias(id_column), F.col("t").alias(text_column), F.col("n").alias("n_entities"))
+    return whole.mapInArrow(C.lean(run), f"k {kind}, t string, n int").select(F.col("k").alias(id_column), F.col("t").alias(text_column), F.col("n").alias("n_entities"))
