@@ -79,7 +79,8 @@ def features(column: pa.Array) -> np.ndarray:
             again[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
             f[:, base + 5] = np.bincount(rows, weights=again, minlength=n) / some
             after = np.where(ends < len(raw), raw[np.minimum(ends, len(raw) - 1)], 32)
-            odd = (after != 32) & (after != 10) & (after != 46) & (after != 44)
+            # what follows a row's last word is another document
+            odd = (after != 32) & (after != 10) & (after != 46) & (after != 44) & (ends < off[rows + 1])
             f[:, base + 8] = np.bincount(rows, weights=odd, minlength=n) / some
         lines = hist[:, 10] + 1
         f[:, base + 6] = np.log1p(sizes / lines) / 10
