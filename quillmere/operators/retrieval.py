@@ -13,6 +13,8 @@ from quillmere.functions import text as T
 RRF_K = 60
 WINDOW, WIDE_WINDOW = 20, 40
 K1, B = 1.2, 0.75
+#: A number behind one of these is a place in a document and no identifier.
+NUMBERED = "chapter|fig|figure|item|page|part|ref|section|step|table"
 
 
 def route(queries: DataFrame, vec: float = 1.0, fts: float = 1.0, graph: float = 0.5) -> DataFrame:
@@ -178,11 +180,10 @@ def merge_followup(first: DataFrame, extra: DataFrame, key: str = "chunk_id") ->
     return first.unionByName(moved, allowMissingColumns=True)
 
 
-def missing_terms(answers: DataFrame, corpus: str = "corpus", answer: str = "answer", guard: bool = True) -> DataFrame:
-    """Adds ``missing``: identifiers of an answer that its sources don't hold; ``guard`` leaves out those behind words like ``figure``."""
+def missing_terms(answers: DataFrame, corpus: str = "corpus", answer: str = "answer") -> DataFrame:
+    """Adds ``missing``: identifiers of an answer that its sources don't hold, minus those behind words like ``figure``."""
     ids = F.filter(T.identifiers(F.col(answer), T.ANSWER_PATTERNS), lambda s: s != "")
     once = F.filter(ids, lambda s, i: F.array_position(F.transform(ids, F.lower), F.lower(s)) == i + 1)
     low = F.lower(F.col(answer))
-    prefixes = "chapter|fig|figure|item|page|part|ref|section|step|table"
-    behind = lambda s: F.right(F.substring_index(low, F.lower(s), 1), F.lit(10))
-    return answers.withColumn("missing", F.filter(once, lambda s: ~F.contains(F.lower(F.col(corpus)), F.lower(s)) & (~behind(s).rlike(f"({prefixes}) $") if guard else F.lit(True))))
+    behind = lambda s: F.right(F.split_part(low, F.lower(s), F.lit(1)), F.lit(10))
+    return answers.withColumn("missing", F.filter(once, lambda s: ~F.contains(F.lower(F.col(corpus)), F.lower(s)) & ~behind(s).rlike(f"({NUMBERED}) $")))

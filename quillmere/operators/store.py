@@ -81,15 +81,29 @@ def counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()])
 
 
-def number_chunks(chunks: DataFrame, start: int = 0, document: str = "document_id") -> DataFrame:
-    """Ids for chunks of (document, position_in_doc), and parent positions turned into the parents' ids; a parent that isn't there is null.
+CELLS = 1024
 
-    Ids are consecutive: a chunk's id is the number of chunks of the documents before plus its place in its own document; only one row a document is
-    sorted in one place.
+
+def numbered(df: DataFrame, key: str, start: int = 0, weight: str | None = None, name: str = "q_first") -> DataFrame:
+    """Adds ``name``: ``start`` plus the weights (1 each by default) of all rows before, in the order of a hash cell and then of the key.
+
+    Only the sums of ``CELLS`` cells meet in one place; within a cell rows are numbered where they are. Keys are distinct.
     """
-    sizes = chunks.groupBy(document).agg(F.count(F.lit(1)).alias("n"))
-    first = sizes.withColumn("q_first", F.coalesce(F.sum("n").over(W.orderBy(document).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + start).drop("n")
-    placed = chunks.join(first, document).withColumn("id", (F.col("q_first") + F.row_number().over(W.partitionBy(document).orderBy("position_in_doc"))).cast("bigint")).drop("q_first")
+    w = F.lit(1) if weight is None else F.col(weight)
+    celled = df.withColumn("q_cell", F.pmod(F.xxhash64(key), F.lit(CELLS)))
+    sums = celled.groupBy("q_cell").agg(F.sum(w).alias("q_sum"))
+    before = sums.select(F.col("q_cell").alias("q_c"), F.coalesce(F.sum("q_sum").over(W.orderBy("q_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("q_before"))
+    inside = F.coalesce(F.sum(w).over(W.partitionBy("q_cell").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # a fixed number of cells
+    out = celled.withColumn("q_inside", inside).join(F.broadcast(before), F.col("q_cell") == F.col("q_c"))
+    return out.withColumn(name, (F.col("q_before") + F.col("q_inside") + start).cast("bigint")).drop("q_cell", "q_c", "q_before", "q_inside")
+
+
+def number_chunks(chunks: DataFrame, start: int = 1, document: str = "document_id") -> DataFrame:
+    """Ids for chunks of (document, position_in_doc, parent_position), dense from ``start`` and consecutive within a document, and ids for parent positions; a
+    parent that isn't there is null."""
+    sizes = numbered(chunks.groupBy(document).agg(F.count(F.lit(1)).alias("q_n")), document, start, "q_n").drop("q_n")
+    placed = chunks.join(sizes, document).withColumn("id", (F.col("q_first") + F.row_number().over(W.partitionBy(document).orderBy("position_in_doc")) - 1).cast("bigint")).drop("q_first")
     parents = placed.select(F.col(document).alias("q_d"), F.col("position_in_doc").alias("q_p"), F.col("id").alias("parent_chunk_id"))
     return placed.join(parents, (F.col(document) == F.col("q_d")) & (F.col("parent_position") == F.col("q_p")), "left").drop("q_d", "q_p", "parent_position")
 

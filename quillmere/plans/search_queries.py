@@ -142,13 +142,13 @@ def followup_merge(spark, sf):
 
 @query(f"""
 WITH d AS (SELECT doc_id, text, coalesce(string_split(text, chr(10))[1], '') AS answer, flatten([{", ".join(D.find_all("text", p) for p in T.ANSWER_PATTERNS)}]) AS ids FROM documents),
- e AS (SELECT doc_id, answer, list_filter(ids, lambda s: s <> '') AS ids FROM d), k AS (SELECT doc_id, answer, list_filter(ids, lambda s, i: list_position(list_transform(ids, lambda x: lower(x)), lower(s)) = i) AS ids FROM e)
-SELECT doc_id, list_filter(ids, lambda s: NOT contains(lower(answer), lower(s))) AS missing FROM k
+ e AS (SELECT doc_id, text, answer, list_filter(ids, lambda s: s <> '') AS ids FROM d), k AS (SELECT doc_id, text, answer, list_filter(ids, lambda s, i: list_position(list_transform(ids, lambda x: lower(x)), lower(s)) = i) AS ids FROM e)
+SELECT doc_id, list_filter(ids, lambda s: NOT contains(lower(answer), lower(s)) AND NOT regexp_matches(right(split_part(lower(text), lower(s), 1), 10), '({retrieval.NUMBERED}) $')) AS missing FROM k
 """)
 def missing_identifiers(spark, sf):
     """Identifiers of a document that its first line doesn't hold: what a follow-up search would ask for."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"), F.coalesce(F.element_at(F.split("text", "\n"), 1), F.lit("")).alias("corpus"))
-    return retrieval.missing_terms(docs, guard=False).select("doc_id", "missing")
+    return retrieval.missing_terms(docs).select("doc_id", "missing")
 
 
 @query("SELECT source, lang AS language, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)) WHERE r = 1")
