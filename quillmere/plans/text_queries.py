@@ -259,3 +259,45 @@ def key_phrases(spark, sf):
     """Phrases by which a ground-truth snippet is looked up: short texts whole, else clauses of at least 20 bytes."""
     pieces = F.filter(F.transform(F.split("text", "[.;!?]"), T.trimmed), lambda s: F.octet_length(s) >= 20)
     return table(spark, sf, "documents").select("doc_id", F.when(F.octet_length("text") <= 200, F.array("text")).otherwise(pieces).alias("phrases"))
+
+
+@query(f"""
+WITH {_LINES}, b AS (SELECT *, regexp_matches({D.trim('line')}, '^\\d+(\\.\\d+)+\\s') AS begins FROM l),
+p AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS part FROM b),
+m AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY n) AS content FROM p GROUP BY ALL)
+SELECT doc_id, part, {D.trim('content')} AS content FROM m WHERE {D.trim('content')} <> ''
+""")
+def split_clauses(spark, sf):
+    return rules.split_by_clauses(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(f"""
+WITH {_LINES}, m AS (SELECT *, {D.trim('line')} <> '' AND (contains(line, '|') OR length({D.trim('line')}) - length(replace({D.trim('line')}, chr(9), '')) >= 2 OR {_SEPARATOR}) AS is_table FROM l),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, is_table ORDER BY n) AS island FROM m),
+t AS (SELECT *, is_table AND count(*) OVER (PARTITION BY doc_id, is_table, island) >= 2 AS t FROM i),
+r AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, t ORDER BY n) AS run FROM t),
+f AS (SELECT doc_id, min(n) AS start_line, t AS is_table, string_agg(line, chr(10) ORDER BY n) AS content FROM r GROUP BY doc_id, t, run)
+SELECT doc_id, start_line, is_table, CASE WHEN is_table THEN content ELSE {D.trim('content')} END AS content FROM f WHERE {D.trim('content')} <> ''
+""")
+def table_fragments(spark, sf):
+    return rules.table_fragments(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(f"""
+WITH {_LINES}, x AS (SELECT doc_id, n AS line_number, regexp_extract({D.trim('line')}, '^(\\d+(?:\\.\\d+)*)\\.\\s', 1) AS number FROM l)
+SELECT doc_id, line_number, number, length(number) - length(replace(number, '.', '')) + 1 AS depth FROM x WHERE number <> ''
+""")
+def numbered_lines(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    found = rows.select("doc_id", F.col("n").cast("bigint").alias("line_number"), rules.numbering(F.col("line")).alias("number")).where("number is not null")
+    return found.withColumn("depth", rules.depth(F.col("number")).cast("bigint"))
+
+
+@query("""
+WITH f AS (SELECT source, bool_or(length(text) - length(replace(text, chr(9), '')) > 5 OR length(text) - length(replace(text, '|', '')) > 5) AS has_tables,
+ bool_or(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S {4,}\\S'))) > len(string_split(text, chr(10))) / 3) AS multi_column FROM documents GROUP BY 1)
+SELECT *, round(has_tables::INT * 0.3::DOUBLE + multi_column::INT * 0.2::DOUBLE, 6) AS score, round(has_tables::INT * 0.3::DOUBLE + multi_column::INT * 0.2::DOUBLE, 6) >= 0.5 AS is_complex FROM f
+""")
+def layout_complexity(spark, sf):
+    """Sources as files, documents as their pages."""
+    return rules.complexity(table(spark, sf, "documents"), "source", "text")

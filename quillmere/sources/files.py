@@ -149,17 +149,6 @@ def images(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     return _rows(files, registry or Registry(), IMAGES, 1)
 
 
-def complexity(pages: DataFrame, file: str = "path", content: str = "content") -> DataFrame:
-    """(file, tables, images, columns, fonts, score, complex): shares .3, .3, .2 and .2, complex from a half. Images and fonts can't be told from text."""
-    text_ = F.col(content)
-    lines = F.split(text_, "\n")
-    share = F.size(F.filter(lines, lambda x: x.rlike(r"\S {3,}\S"))) / F.greatest(F.size(lines), F.lit(1))
-    flags = pages.select(file, ((F.length(text_) - F.length(F.translate(text_, "|\t", ""))) > 3).alias("t"), (share > 0.3).alias("c"))
-    out = flags.groupBy(file).agg(F.bool_or("t").alias("tables"), F.lit(False).alias("images"), F.bool_or("c").alias("columns"), F.lit(False).alias("fonts"))
-    score = F.round(0.3 * F.col("tables").cast("int") + 0.3 * F.col("images").cast("int") + 0.2 * F.col("columns").cast("int") + 0.2 * F.col("fonts").cast("int"), 6)
-    return out.withColumn("score", score).withColumn("complex", F.col("score") >= 0.5)
-
-
 BENCHMARK = "tests array<struct<query:string, snippets:array<struct<file_path:string, span:array<int>, answer:string>>, tags:array<string>>>"
 
 

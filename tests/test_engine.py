@@ -11,19 +11,13 @@ from pyspark.sql import functions as F
 from quillmere import errors
 from quillmere.config import Config
 from quillmere.engine import Engine
+from quillmere.operators import evaluation, experiments, rules
 from quillmere.operators import store as S
 from quillmere.sources import files, office, pdf
+from quillmere.sources.providers import Deterministic
 from quillmere.streaming import ingest
 
 
-def zipped(**parts):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in parts.items():
-            z.writestr(name.replace("__", "/"), body)
-    return out.getvalue()
-
-
 def raw_zip(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -104,9 +98,25 @@ def test_service_polls_until_done():
 
 
 def test_complexity(spark):
-    pages = spark.createDataFrame([("a", "| x | y | z |\na   b\nc   d"), ("a", "plain"), ("b", "plain text")], "path string, content string")
-    got = {r["path"]: (r["score"], r["complex"]) for r in files.complexity(pages).collect()}
-    assert got == {"a": (0.5, True), "b": (0.0, False)}
+    rows = "| x | y | z |\n| 1 | 2 | 3 |\na     b\nc     d\ne     f"
+    pages = spark.createDataFrame([("a", rows), ("a", "plain"), ("b", "plain text")], "path string, content string")
+    got = rules.complexity(pages, "path", "content")
+    assert {r["path"]: (r["score"], r["is_complex"]) for r in got.collect()} == {"a": (0.5, True), "b": (0.0, False)}
+    wanted = spark.createDataFrame([("a", True), ("b", True)], "path string, expected boolean")
+    assert experiments.detection_accuracy(got.join(wanted, "path"), "is_complex", "expected").first()["accuracy"] == 50.0
+
+
+def test_experiments(spark, tmp_path):
+    tests = spark.createDataFrame([(1, "What is the price?", "the price is 5 EUR\n\nmore", ["5 EUR"], "easy"), (2, "Who?", "nobody", ["somebody"], "easy")], "query_id bigint, question string, document string, facts array<string>, category string")
+    out = experiments.full_context(tests, Deterministic())
+    got = {r["query_id"]: (r["accuracy"], r["confidence"], r["passed"]) for r in out.collect()}
+    assert got == {1: (1.0, 0.8, True), 2: (0.0, 0.8, False)}
+    report = evaluation.report(out, ["accuracy"])
+    assert "easy" in experiments.report_text(report, ["accuracy"]) and "1/2" in experiments.report_text(report, ["accuracy"])
+    experiments.write_run(report, out, str(tmp_path / "run"), {"name": "x"})
+    assert spark.read.json(str(tmp_path / "run" / "metadata")).first()["name"] == "x" and spark.read.json(str(tmp_path / "run" / "results")).count() == 2
+    texts = spark.createDataFrame([(0, 1, "- a (term)")], "level int, community bigint, text string")
+    assert experiments.summarise(texts, Deterministic()).first()["summary"]
 
 
 def test_benchmark_source(spark, tmp_path):
@@ -198,7 +208,5 @@ def test_config_bounds():
 
 
 def test_vectors_are_unit():
-    from quillmere.sources.providers import Deterministic
-
     v = np.array(Deterministic(32).embed(["a b c"])[0])
     assert abs(np.linalg.norm(v) - 1) < 1e-9
