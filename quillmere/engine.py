@@ -104,7 +104,7 @@ class Engine:
 
     def update_all(self) -> DataFrame:
         """Every registered file; the ones that no longer exist have the status ``missing``."""
-        registered = self._open().table("documents").select("path")
+        registered = cut(self._open().table("documents").select("path"), "registered")
         folders = [r[0] for r in registered.select(F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("f")).distinct().toLocalIterator()]
         if not folders:
             return self.spark.createDataFrame([], "path string, status string, error string")

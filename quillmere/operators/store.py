@@ -171,11 +171,13 @@ class Store:
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """The table's next state; the old one is deleted after the switch."""
+        """The table's next state. The state before it is kept for those who still read it, and deleted by the replacement after."""
         old, part = self.current(name), uuid.uuid4().hex
         self._shaped(name, df).write.parquet(f"{self.folder}/{name}/{part}")
         self._write_text(f"{self.folder}/{name}/CURRENT", json.dumps([part]))
-        for p in old:
+        older = json.loads(self._read_text(f"{self.folder}/{name}/PREVIOUS") or "[]")
+        self._write_text(f"{self.folder}/{name}/PREVIOUS", json.dumps(old))
+        for p in older:
             fs, path = self._fs(f"{self.folder}/{name}/{p}")
             fs.delete(path, True)
 

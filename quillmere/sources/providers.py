@@ -39,7 +39,7 @@ class Deterministic:
         return out
 
     def chat(self, prompt: str) -> str:
-        m = re.search(r"--- Source 1: ([^\n|]+?)(?: \|[^\n]*)? ---\n(.*?)\n\n", prompt, re.S)
+        m = re.search(r"--- Source 1: ([^\n|]+?)(?: \|[^\n]*)? ---\n(.*?)\n\n(?=--- Source 2: |\nQuestion: )", prompt, re.S)
         return f"{m.group(2)} ({m.group(1)})" if m else "This was not found."
 
 
