@@ -49,7 +49,7 @@ class Transducer:
     token: it is kept as that prefix's node in the trie of tokens, and the tokens that lead to it from the last emitted one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.most_states = most_states
@@ -124,7 +124,7 @@ class Transducer:
             return len(self.bytes_of[b]) == 1 or self.halves(b)[0] != b
         got = self.pairs.get(a << 32 | b)
         if got is None:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             got = self.pairs[a << 32 | b] = self._fits(a, b)
         return got
@@ -212,7 +212,7 @@ class Transducer:
 class Words(dict):
     """Word -> its tokens as packed int32, made when first asked for; two generations, the older is forgotten."""
 
-    def __init__(self, transducer: Transducer, most: int = 150_000):
+    def __init__(self, transducer: Transducer, most: int = 350_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
