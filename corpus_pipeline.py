@@ -25,13 +25,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the Pfair mix."""
+    """All documents in the order of the Pfair mix; the order stands in the files, where ``tokens`` finds it again."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode_documents(docs)
+    """Token ids of every document, with its position in the mix."""
+    return bpe.encode_documents(mixing.positioned(docs), carry=("position",))
 
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", source_mix), ("tokens", tokens)]

@@ -338,14 +338,15 @@ def _vocabulary(path: str) -> tuple[str, dict[bytes, int]]:
     return key, read_ranks(path)
 
 
-def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(id, n_bytes, n_tokens, tokens, round_trip) of every document; round_trip: decoding the tokens gave the text again."""
+def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_bytes, n_tokens, tokens, round_trip) of every document, and the columns ``carry`` as they are; round_trip: decoding the tokens gave the text again."""
     spark = docs.sparkSession
     C.settle(spark)
     key, ranks = _vocabulary(vocabulary)
     sent = spark.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't depend on the data
-    rows = C.pick(docs, k=id_column, t=text_column)
+    rows = C.pick(docs, k=id_column, t=text_column, **{f"x{i}": c for i, c in enumerate(carry)})
     kind = rows.schema["k"].dataType.simpleString()
+    carried = "".join(f", `{c}` {rows.schema[f'x{i}'].dataType.simpleString()}" for i, c in enumerate(carry))
 
     def run(batches):
         own = codec(key, sent.value, pattern)
@@ -367,6 +368,6 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
             mask = None if not texts.null_count else pa.array([x is None for x in good])
             tokens = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.array(sizes, np.int64)), tokens, pa.array(good, pa.bool_())], names=[id_column, "n_bytes", "n_tokens", "tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.array(sizes, np.int64)), tokens, pa.array(good, pa.bool_()), *batch.columns[2:]], names=[id_column, "n_bytes", "n_tokens", "tokens", "round_trip", *carry])
 
-    return rows.mapInArrow(C.lean(run), f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, tokens array<int>, round_trip boolean")
+    return rows.mapInArrow(C.lean(run), f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, tokens array<int>, round_trip boolean{carried}")

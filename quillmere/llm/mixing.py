@@ -18,6 +18,7 @@ of greater weight and then of lesser name; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -152,3 +153,28 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", source_column: str = "sour
     rows = C.wrapped(docs, k=id_column, s=source_column)
     placed = place(rows, "s", ["k"], weights, block_docs, resolution, alpha)
     return C.unwrapped(placed.orderBy("q_slot", "q_rank"), docs)
+
+
+def positioned(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs``, as read from the files of a mix, with the 0-based place of every row in it.
+
+    Spark packs files into tasks by length, so reading doesn't keep their order; but partition *n* of a sorted table was written to the file of number *n*, and a
+    row's index in its file stands in the file's metadata.  A table that doesn't come from files as it is, is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = C.cut(docs, "mix")
+    read = docs.select("*", F.col("_metadata.file_path").alias("q_file"), F.col("_metadata.row_index").alias("q_index"))
+    files = {r[0]: r[1] for r in read.groupBy("q_file").agg(F.max("q_index") + 1).toLocalIterator()}
+
+    def number(path: str) -> tuple:
+        found = re.search(r"part-(\d+)-.*?(?:-c(\d+))?[.][^/]*$", path)
+        return (int(found[1]), int(found[2] or 0), path) if found else (0, 0, path)
+
+    starts, start = [], 0
+    for path in sorted(files, key=number):
+        starts.append((path, start))
+        start += files[path]
+    # files are few: their number is that of the tasks that wrote them
+    table = docs.sparkSession.createDataFrame(starts, "q_path string, q_start bigint")
+    joined = read.join(F.broadcast(table), F.col("q_file") == F.col("q_path"))
+    return joined.select(*[f"`{c}`" for c in docs.columns], (F.col("q_start") + F.col("q_index")).alias(name))

@@ -298,6 +298,30 @@ def test_pipeline(spark, sf):
     assert spark.createDataFrame(start.limit(0).toArrow()).count() == 0
 
 
+def test_pipeline_keeps_the_mix(spark, sf):
+    import corpus_pipeline as P
+
+    out = P.run(spark, sf).select("doc_id", "position").collect()
+    assert sorted(r["position"] for r in out) == list(range(len(out)))
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()}
+    got = [source[r["doc_id"]] for r in sorted(out, key=lambda r: r["position"])]
+    kept = spark.createDataFrame([(r["doc_id"], source[r["doc_id"]]) for r in out], "doc_id bigint, source string")
+    want = sorted((r["slot"], str(r["source"])) for r in mixing.mix_documents(kept).collect())
+    assert len(set(got)) > 1 and [str(s) for s in got] == [s for _, s in want]
+
+
+def test_positions_survive_the_reread(spark):
+    # the later a file, the longer it is: reading takes the longest first
+    rows = spark.range(0, 4000, numPartitions=1).selectExpr("id", "repeat(cast(rand(1) as string), cast(id / 40 as int)) text")
+    docs = C.cut(rows.repartitionByRange(8, "id").sortWithinPartitions("id"), "test-mix")
+    out = mixing.positioned(docs)
+    assert out.columns == ["id", "text", "position"]
+    assert all(r["id"] == r["position"] for r in out.select("id", "position").collect())
+    again = mixing.positioned(spark.range(50).sort("id", ascending=False))
+    assert all(r["id"] + r["position"] == 49 for r in again.collect())
+    assert mixing.positioned(docs.limit(0)).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
