@@ -2,12 +2,12 @@
 
 Documents of a source form blocks of ``block_docs``.  Block *j* (from 0) of a source of weight *w* has the release time
 ``floor(j / w)`` and the deadline ``ceil((j + 1) / w)``; in every slot the released block of earliest deadline goes.  With weights that
-add up to 1 every slot is filled, every deadline is met, and at any moment a source's share differs from its target
+add up to 1 every slot is filled, every deadline is met, and at any moment the blocks dealt from a source differ from its target
 by less than one block.
 
-Weights are whole multiples of 1/``resolution`` (largest remainders), so the schedule repeats after ``resolution`` slots: one period is
-simulated with a heap, and the slot of any block follows from it in closed form.  When a source runs out, the
-remaining sources go on at their weights in proportion (a new phase); the bound holds within each phase.  Every document
+Weights are exact: whole numbers of any size in their proportion, never rounded to ticks, so the bound holds however long the mix is.  The
+slots are dealt with a heap in one task, one step a block (not a document), and joined to the documents by source and run of blocks.  When a source runs
+out, the remaining sources go on at their weights in proportion (a new phase); the bound holds within each phase.  Every document
 is placed, none is dropped or repeated.
 
 Defined results: a null source is a source like any other; a source that has no positive target goes after all others, as one last phase
@@ -19,9 +19,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import common as C
@@ -29,6 +33,10 @@ from quillmere.llm import common as C
 BLOCK_DOCS = 16
 RESOLUTION = 10_000
 ALPHA = 0.7
+#: Blocks of a source that share a row of the schedule.
+PIECE = 1024
+#: A deadline beyond all slots, of a block of almost no weight, is cut to this.
+LATEST = (1 << 63) - 1
 
 
 def tempered(counts: dict, alpha: float = ALPHA) -> dict:
@@ -37,108 +45,102 @@ def tempered(counts: dict, alpha: float = ALPHA) -> dict:
     return {s: n**alpha / total for s, n in counts.items()} if total else {}
 
 
-def whole(weights: dict, resolution: int) -> dict:
-    """Weights as whole ticks of 1/resolution, at least one each, adding up to it (largest remainders)."""
-    total = sum(weights.values())
-    resolution = max(resolution, 2 * len(weights))
-    exact = {s: w / total * resolution for s, w in weights.items()}
-    ticks = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is None, str(s)))
-    while (rest := resolution - sum(ticks.values())) > 0:
-        for s in order[:rest]:
-            ticks[s] += 1
-    while sum(ticks.values()) > resolution:
-        ticks[max(ticks, key=lambda s: (ticks[s] - exact[s], ticks[s]))] -= 1
-    return ticks
-
-
-def period(ticks: dict) -> dict:
-    """Slots of every source's blocks within one period of ``sum(ticks)`` slots, by earliest deadline first."""
-    h = sum(ticks.values())
-    slots: dict = {s: [] for s in ticks}
-    order = {s: i for i, s in enumerate(sorted(ticks, key=lambda s: (-ticks[s], s is None, str(s))))}
-    names = {i: s for s, i in order.items()}
-    future = [(0, i) for i in names]
-    ready: list[tuple[int, int]] = []
-    heapq.heapify(future)
-    for t in range(h):
-        while future and future[0][0] <= t:
-            _, i = heapq.heappop(future)
-            a = ticks[names[i]]
-            heapq.heappush(ready, (-(-(len(slots[names[i]]) + 1) * h // a), i))
-        _, i = heapq.heappop(ready)
-        own = slots[names[i]]
-        own.append(t)
-        if len(own) < ticks[names[i]]:
-            heapq.heappush(future, (len(own) * h // ticks[names[i]], i))
-    return slots
-
-
-@dataclass
-class Phase:
-    """Sources in play, their first block of this phase, blocks before their end, and where the phase begins in the mix."""
-
-    start: int
-    h: int
-    ticks: dict
-    slots: dict
-    first: dict
-    until: dict
-
-
-def phases(blocks: dict, weights: dict, resolution: int = RESOLUTION) -> list[Phase]:
-    """Phases of the mix: each ends when a source has run out."""
+def exact(weights: dict) -> dict:
+    """Whole numbers in exactly the proportion of the weights; a float counts as the decimal it is written as."""
+    parts = {s: Fraction(str(w)) for s, w in weights.items()}
+    common = lcm(*(p.denominator for p in parts.values()))
+    ticks = {s: int(p * common) for s, p in parts.items()}
+    divisor = gcd(*ticks.values())
+    return {s: a // divisor for s, a in ticks.items()}
+
+
+def dealt(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, block, phase, slot, release, deadline) of every block in the order of slots; a phase ends when a source has run out.
+
+    Earliest deadline first, in whole numbers of any size. Memory is that of the sources, however many the blocks.
+    """
     live = {s: w for s, w in weights.items() if blocks.get(s, 0) > 0 and w > 0}
     rest = {s: n for s, n in blocks.items() if n > 0 and s not in live}
-    done, start, out = dict.fromkeys(blocks, 0), 0, []
+    done, start, phase = dict.fromkeys(blocks, 0), 0, 0
     while live or rest:
         if not live:
-            live, rest = {s: float(n) for s, n in rest.items()}, {}
-        ticks = whole(live, resolution)
+            live, rest = {s: n for s, n in rest.items()}, {}
+        ticks = exact(live)
         h = sum(ticks.values())
-        slots = period(ticks)
-        # the phase ends after the slot in which the first source is used up
-        end = min((blocks[s] - done[s] - 1) // a * h + slots[s][(blocks[s] - done[s] - 1) % a] + 1 for s, a in ticks.items())
-        from bisect import bisect_left
-
-        until = {s: done[s] + end // h * a + bisect_left(slots[s], end % h) for s, a in ticks.items()}
-        out.append(Phase(start, h, ticks, slots, {s: done[s] for s in ticks}, until))
-        done.update(until)
-        start += end
+        names = sorted(ticks, key=lambda s: (-ticks[s], s is None, str(s)))
+        tick, first, left = [ticks[s] for s in names], [done[s] for s in names], [blocks[s] - done[s] for s in names]
+        own = [0] * len(names)
+        future = [(0, i) for i in range(len(names))]
+        ready: list[tuple[int, int]] = []
+        t = 0
+        while True:
+            while future and future[0][0] <= t:
+                _, i = heapq.heappop(future)
+                heapq.heappush(ready, (-(-(own[i] + 1) * h // tick[i]), i))
+            due, i = heapq.heappop(ready)
+            j, a = own[i], tick[i]
+            yield names[i], first[i] + j, phase, start + t, start + j * h // a, min(start + due, LATEST)
+            own[i] = j + 1
+            t += 1
+            if j + 1 == left[i]:
+                break
+            heapq.heappush(future, ((j + 1) * h // a, i))
+        done.update({s: first[i] + own[i] for i, s in enumerate(names)})
+        start, phase = start + t, phase + 1
         live = {s: w for s, w in live.items() if done[s] < blocks[s]}
-    return out
 
 
-def schedule_rows(plan: list[Phase]) -> list[tuple]:
-    """(source, phase, first block, end block, period, ticks, begin of the phase, slots) of every source in every phase."""
-    return [(s, i, p.first[s], p.until[s], p.h, a, p.start, p.slots[s]) for i, p in enumerate(plan) for s, a in p.ticks.items() if p.until[s] > p.first[s]]
+def pieces(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """(source, piece, phase, first block, slots, releases, deadlines) of the blocks of one phase whose number divided by ``PIECE`` is ``piece``."""
+    open_: dict = {}
+    now = 0
+    for s, j, phase, *times in dealt(blocks, weights):
+        if phase != now:
+            yield from open_.values()
+            open_, now = {}, phase
+        if s in open_ and open_[s][1] != j // PIECE:
+            yield open_.pop(s)
+        row = open_.setdefault(s, (s, j // PIECE, phase, j, [], [], []))
+        for column, x in zip(row[4:], times, strict=True):
+            column.append(x)
+    yield from open_.values()
+
 
+SCHEMA = "src string, piece bigint, phase int, lo bigint, slots array<bigint>, releases array<bigint>, deadlines array<bigint>"
 
-SCHEMA = "src string, phase int, lo bigint, hi bigint, h bigint, ticks bigint, begin bigint, slots array<int>"
+
+def schedule(spark: SparkSession, blocks: dict, weights: dict) -> DataFrame:
+    """The pieces as a table, written once; they are dealt in one task, a batch at a time, and never meet in the driver."""
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+    names = ["src", "piece", "phase", "lo", "slots", "releases", "deadlines"]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = pieces(blocks, weights)
+                while some := list(islice(rows, 64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+    return C.cut(spark.range(0, 1, 1, 1).mapInArrow(C.lean(run), SCHEMA), "schedule")
 
 
 def place(df: DataFrame, source_column: str, order: list[str], weights: dict | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION, alpha: float = ALPHA) -> DataFrame:
     """``df`` with q_block, q_phase, q_position, q_release and q_deadline; ``source_column`` and ``order`` are columns of ``df``.
 
-    ``weights``: target weight by source; None means sizes tempered by ``alpha``.
+    ``weights``: target weight by source; None means sizes tempered by ``alpha``. ``resolution`` rounds nothing any more: calls that have it still work.
     """
     spark = df.sparkSession
     # sources are few (a mixture names them); their counts cover every document
     counts = {r[0]: r[1] for r in df.groupBy(source_column).count().toLocalIterator()}
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = phases(blocks, tempered(counts, alpha) if weights is None else weights, resolution)
-    rows = schedule_rows(plan)
-    table = spark.createDataFrame(rows, SCHEMA)
+    table = schedule(spark, blocks, tempered(counts, alpha) if weights is None else weights)
     ranked = C.spread_rank(df, source_column, order, counts).withColumn("q_block", F.floor(F.col("q_rank") / block_docs).cast("bigint"))
-    small = sum(len(r[7]) for r in rows) < 4_000_000
-    hit = F.col(source_column).eqNullSafe(F.col("src")) & (F.col("q_block") >= F.col("lo")) & (F.col("q_block") < F.col("hi"))
-    joined = ranked.join(F.broadcast(table) if small else table, hit)
+    small = sum(blocks.values()) < 1_000_000
     j = F.col("q_block") - F.col("lo")
-    whole_periods = F.floor(j / F.col("ticks"))
-    slot: Column = F.col("begin") + whole_periods * F.col("h") + F.element_at("slots", (j % F.col("ticks") + 1).cast("int"))
-    release = F.col("begin") + F.floor(j * F.col("h") / F.col("ticks"))
-    deadline = F.col("begin") + F.ceil((j + 1) * F.col("h") / F.col("ticks"))
-    return joined.select(*df.columns, "q_rank", "q_block", F.col("phase").alias("q_phase"), slot.cast("bigint").alias("q_slot"), release.cast("bigint").alias("q_release"), deadline.cast("bigint").alias("q_deadline"))
+    hit = F.col(source_column).eqNullSafe(F.col("src")) & (F.floor(F.col("q_block") / PIECE).cast("bigint") == F.col("piece")) & (j >= 0) & (j < F.size("slots"))
+    joined = ranked.join(F.broadcast(table) if small else table, hit)
+    at = lambda name: F.element_at(name, (j + 1).cast("int"))
+    return joined.select(*df.columns, "q_rank", "q_block", F.col("phase").alias("q_phase"), at("slots").alias("q_slot"), at("releases").alias("q_release"), at("deadlines").alias("q_deadline"))
 
 
 def mix_documents(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", weights: dict | None = None, block_docs: int = BLOCK_DOCS, resolution: int = RESOLUTION, alpha: float = ALPHA) -> DataFrame:

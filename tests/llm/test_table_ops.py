@@ -32,6 +32,48 @@ def test_mix_keeps_within_a_block_of_the_target(spark):
         assert all(abs(seen[x] - w * (t + 1)) < 1 for x, w in weights.items())
 
 
+def within_a_block(rows, weights):
+    """Dealt blocks of every source against its exact target, after every slot of the first phase. rows: (phase, slot, source)."""
+    from fractions import Fraction
+
+    total = sum(Fraction(w) for w in weights.values())
+    target = {s: Fraction(w) / total for s, w in weights.items()}
+    seen = Counter()
+    first = sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])
+    for t, (_, slot, s) in enumerate(first):
+        assert slot == t
+        seen[s] += 1
+        # the one just dealt is furthest ahead, all others are checked now and then
+        assert seen[s] - target[s] * (t + 1) < 1
+        if t % 997 == 0 or t + 1 == len(first):
+            assert all(abs(seen[x] - w * (t + 1)) < 1 for x, w in target.items())
+    return len(first)
+
+
+def test_weights_are_not_rounded():
+    # twenty sources, one hot; the first phase has hundreds of thousands of slots
+    counts = {"hot": 2_000_000} | {f"s{i:02}": 200_000 + 7_477 * i for i in range(19)}
+    weights = mixing.tempered(counts)
+    blocks = {s: -(-n // 16) for s, n in counts.items()}
+    rows = [(phase, slot, s) for s, _, phase, slot, release, deadline in mixing.dealt(blocks, weights) if release <= slot < deadline]
+    assert len(rows) == sum(blocks.values())
+    assert within_a_block(rows, weights) > 300_000
+    # weights far under a tick of 1/10,000
+    tiny = {"a": 1, "b": 1e-7, "c": 3e-7}
+    rows = [(phase, slot, s) for s, _, phase, slot, _, _ in mixing.dealt({"a": 50_000, "b": 900, "c": 900}, tiny)]
+    assert within_a_block(rows, tiny) >= 50_000
+
+
+def test_mix_of_weights_that_are_no_multiples(spark):
+    sizes = {"a": 24_000, "b": 9_000, None: 5_000}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id bigint, source string")
+    weights = {"a": 2 / 3, "b": 1 / 4 + 1e-3 / 7, None: 1 / 12 - 1e-3 / 7}
+    out = mixing.mix_documents(docs, weights=weights, block_docs=1, resolution=100).collect()
+    assert len(out) == sum(sizes.values()) and sorted(r["slot"] for r in out) == list(range(len(out)))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    assert within_a_block([(r["phase"], r["slot"], r["source"]) for r in out], weights) > 30_000
+
+
 def test_mix_edges(spark):
     assert mixing.mix_documents(spark.createDataFrame([], "doc_id bigint, source string")).count() == 0
     docs = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "b", "y"), (3, "zero", "z")], "doc_id bigint, source string, q_rank string")
