@@ -83,18 +83,26 @@ class Engine:
     def _graph(self, chunks: DataFrame) -> None:
         """Entities, links, edges and communities; names that are known keep their ids."""
         store = self._open()
-        mentions, edges = graph.extract(chunks)
+        # the offline provider names no entities: the rules stand in
+        mentions, edges = graph.extract(chunks, provider=None if isinstance(self.provider, Deterministic) else self.provider)
         mentions, edges = cut(mentions, "mentions"), cut(edges, "edges")
+        told = [c for c in ("description", "name_en") if c in mentions.columns]
         known = cut(store.table("entities"), "entities")
-        new = mentions.select("name", "entity_type").distinct().join(known.select("name", "entity_type"), ["name", "entity_type"], "left_anti").withColumn("q_key", F.concat_ws("\x1f", "entity_type", "name"))
-        made = S.numbered(new, "q_key", store.next_id("entities"), name="id").select("id", "name", "entity_type")
-        every = cut(known.select("id", "name", "entity_type").unionByName(made), "all-entities")
+        named = mentions.groupBy("name", "entity_type").agg(*[F.max(c if c in told else F.lit(None).cast("string")).alias(c) for c in ("description", "name_en")])
+        new = named.join(known.select("name", "entity_type"), ["name", "entity_type"], "left_anti").withColumn("q_key", F.concat_ws("\x1f", "entity_type", "name"))
+        made = cut(S.numbered(new, "q_key", store.next_id("entities"), name="id").select("id", "name", "entity_type", "description", "name_en"), "new-entities")
+        if told:  # what a model says now goes before what was known
+            again = named.select("name", "entity_type", *[F.col(c).alias(f"q_{c}") for c in ("description", "name_en")])
+            both = known.join(again, ["name", "entity_type"], "left")
+            known = cut(both.select(*[F.coalesce(f"q_{c}", c).alias(c) if c in told else F.col(c) for c in known.columns]), "entities")
+            store.replace("entities", known)
+        every = cut(known.select(*made.columns).unionByName(made), "all-entities")
         store.append("entities", made)
         local = mentions.join(every, ["name", "entity_type"]).select("chunk_id", "name", "id")
         store.append("entity_chunks", local.select(F.col("id").alias("entity_id"), "chunk_id").distinct())
         store.append("relationships", graph.resolve_endpoints(edges, local, every).withColumn("source_chunk_id", F.col("chunk_id")))
         found = graph.communities(every.select("id"), store.table("relationships"))
-        store.replace("communities", found.join(graph.community_text(found, every.withColumn("description", F.lit(""))).withColumnRenamed("text", "summary"), ["level", "community"], "left"))
+        store.replace("communities", found.join(graph.community_text(found, every).withColumnRenamed("text", "summary"), ["level", "community"], "left"))
 
     def update(self, path: str) -> DataFrame:
         """Ingest one registered file again if it has changed."""

@@ -11,12 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmere import errors
 from quillmere.functions import text as T
+from quillmere.operators import reasoning
 from quillmere.operators.lineage import cut
+from quillmere.sources.providers import Provider
 
 FUZZY_LIMIT, HOP_LIMIT = 50, 100
 MIN_SPLIT, MAX_SPLIT, PASSES = 6, 200, 20
 RELATIONS = ["amends", "contradicts", "defines", "references", "requires", "supersedes"]
+#: Cue verbs by relation, in lower case, English and Spanish.
+CUES = {
+    "amends": "amend(?:s|ed|ing)?|modif(?:y|ies|ied|ying)|enmiendan?|modifican?|modificad[oa]s?",
+    "contradicts": "contradict(?:s|ed|ing)?|conflict(?:s|ed|ing)?|contradicen?",
+    "defines": "defin(?:e|es|ed|ing)|definen?|definid[oa]s?",
+    "references": "referenc(?:e|es|ed|ing)|refer(?:s|red|ring)?|cit(?:e|es|ed|ing)|citan?|citad[oa]s?",
+    "requires": "requir(?:e|es|ed|ing)|depend(?:s|ed|ing)?|mandat(?:e|es|ed|ing)|requieren?|requerid[oa]s?",
+    "supersedes": "supersed(?:e|es|ed|ing)|replac(?:e|es|ed|ing)|reemplazan?|reemplazad[oa]s?|sustituyen?|sustituid[oa]s?",
+}
 KINDS = ["clause", "concept", "organization", "person", "regulation", "standard", "term"]
 
 
@@ -194,19 +206,102 @@ def resolve_endpoints(edges: DataFrame, local: DataFrame, entities: DataFrame) -
         out = out.join(own.select("chunk_id", F.col("name").alias(side), F.col("own_id").alias(f"{side}_own")), ["chunk_id", side], "left")
         out = out.join(anywhere.select(F.col("name").alias(side), F.col("any_id").alias(f"{side}_any")), side, "left")
         out = out.withColumn(f"{side}_entity_id", F.coalesce(f"{side}_own", f"{side}_any"))
-    return out.where("source_entity_id is not null and target_entity_id is not null").select("chunk_id", "source_entity_id", "target_entity_id", "relation_type", F.when(F.coalesce("weight", F.lit(0.0)) <= 0, 1.0).otherwise(F.col("weight")).alias("weight"))
+    more = [c for c in ("description",) if c in edges.columns]
+    return out.where("source_entity_id is not null and target_entity_id is not null").select("chunk_id", "source_entity_id", "target_entity_id", "relation_type", F.when(F.coalesce("weight", F.lit(0.0)) <= 0, 1.0).otherwise(F.col("weight")).alias("weight"), *more)
 
 
-def extract(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(mentions, edges) without a model: identifiers are entities, typed by pattern; two of one chunk are related by a cue verb between them or as references.
+def _wide(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(chunk_id, content) of the chunks of an estimate of at least 30 tokens."""
+    return chunks.where(T.token_estimate(T.n_words(F.col(text))) >= 30).select(F.col(key).alias("chunk_id"), F.col(text).alias("content"))
 
-    Chunks of an estimate under 30 tokens are left out.
+
+def _cued(wide: DataFrame) -> DataFrame:
+    """(chunk_id, source, target, relation_type) of identifiers of one sentence with a cue verb between them; of several the last, the one beside the target.
+
+    A verb with "by" or "por" turns the relation round: what is superseded by another is its target.
     """
-    wide = chunks.where(T.token_estimate(T.n_words(F.col(text))) >= 30)
-    ids = F.filter(T.identifiers(F.col(text)), lambda s: s != "")
-    found = wide.select(F.col(key).alias("chunk_id"), F.posexplode(ids).alias("pos", "name")).groupBy("chunk_id", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"))
+    verb = "|".join(f"(?:{v})" for v in CUES.values())
+    cue = rf"\b((?:{verb})(?:\s+(?:by|por)\b)?)(?!\w)"
+    sentence = wide.select("chunk_id", F.explode(T.sentences(F.lower("content"))).alias("s")).where(F.col("s").rlike(cue))
+    names = F.array_distinct(F.transform(F.filter(T.identifiers(F.col("s")), lambda x: x != ""), lambda x: F.lower(x)))
+    places = F.transform(names, lambda x: F.struct(F.call_function("instr", F.col("s"), x).alias("at"), x.alias("name")))
+    here = sentence.withColumn("here", F.filter(places, lambda x: x["at"] > 0)).where(F.size("here") > 1)
+    pairs = here.select("chunk_id", "s", "here", F.explode("here").alias("a")).select("chunk_id", "s", "a", F.explode("here").alias("b")).where("b.at >= a.at + length(a.name)")
+    last = F.regexp_extract(F.expr("substring(s, a.at + length(a.name), b.at - a.at - length(a.name))"), f"(?s).*{cue}", 1)
+    found = pairs.select("chunk_id", F.col("a.name").alias("left"), F.col("b.name").alias("right"), last.alias("cue")).where("cue <> ''")
+    kind = F.coalesce(*[F.when(F.col("cue").rlike(f"^(?:{v})"), F.lit(k)) for k, v in CUES.items()])
+    back = F.col("cue").rlike(r"\s(?:by|por)$")
+    return found.select("chunk_id", F.when(back, F.col("right")).otherwise(F.col("left")).alias("source"), F.when(back, F.col("left")).otherwise(F.col("right")).alias("target"), kind.alias("relation_type")).distinct()
+
+
+def by_rules(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions, edges) without a model. ``wide``: chunk_id, content."""
+    ids = F.filter(T.identifiers(F.col("content")), lambda s: s != "")
+    found = wide.select("chunk_id", F.posexplode(ids).alias("pos", "name")).groupBy("chunk_id", F.lower("name").alias("name")).agg(F.min("pos").alias("pos"))
     kind = F.when(F.col("name").rlike(f"(?i)^(?:{T.STANDARD[4:]})$"), "standard").otherwise("term")
     mentions = found.select("chunk_id", "name", kind.alias("entity_type"), "pos")
     a, b = mentions.alias("a"), mentions.alias("b")
-    edges = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.chunk_id").alias("chunk_id"), F.col("a.name").alias("source"), F.col("b.name").alias("target"), F.lit("references").alias("relation_type"), F.lit(1.0).alias("weight"))
-    return mentions.drop("pos"), edges
+    pairs = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.chunk_id").alias("chunk_id"), F.col("a.name").alias("source"), F.col("b.name").alias("target"))
+    cued = _cued(wide)
+    either = cued.select("chunk_id", "source", "target").unionByName(cued.select("chunk_id", F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    plain = pairs.join(either, ["chunk_id", "source", "target"], "left_anti").withColumn("relation_type", F.lit("references"))
+    return mentions.drop("pos"), plain.unionByName(cued).withColumn("weight", F.lit(1.0))
+
+
+_TOLD = "language string, entities array<struct<name:string,type:string,description:string,name_en:string>>"
+_RELATED = "relationships array<struct<source:string,target:string,relation_type:string,description:string,weight:double>>"
+
+
+def _name(c):
+    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+
+
+def asked(wide: DataFrame, provider: Provider) -> DataFrame:
+    """(chunk_id, content, language, entities, relationships, error) of every chunk, as a model tells them in two calls; the second needs two entities.
+
+    Without a usable first reply ``entities`` is null and ``error`` says why; a failed second call leaves the entities.
+    """
+    hints = F.array_join(F.array_distinct(F.filter(T.identifiers(F.col("content")), lambda x: x != "")), ", ")
+    first = F.concat(
+        F.lit(f'Extract all entities from the text, each of one type of: {", ".join(KINDS)}. Names in lower case, name_en being the name in English. Take only what the text supports.\n'
+              'Reply with one JSON object alone: {"language": name of the text\'s language in English, "entities": [{"name": "", "type": "", "description": "", "name_en": ""}]}\n'),
+        F.when(hints != "", F.concat(F.lit("These identifiers are in the text and belong to the entities: "), hints, F.lit("\n"))).otherwise(F.lit("")),
+        F.lit("\nTEXT:\n"), F.col("content"),
+    )
+    told = cut(reasoning.ask(wide.withColumn("q_prompt", first), "q_prompt", "q_reply", provider), "told")
+    read = F.from_json(reasoning.salvage_json(F.col("q_reply")), _TOLD)
+    told = told.select("chunk_id", "content", read["language"].alias("language"), F.filter(read["entities"], lambda e: _name(e["name"]) != "").alias("entities"), "q_reply_error")
+    told = told.withColumn("error", F.when(F.col("entities").isNull(), F.coalesce("q_reply_error", F.lit("no entities in the reply")))).drop("q_reply_error")
+    second = F.concat(
+        F.lit(f'Extract all relationships between the known entities that the text supports, each of one type of: {", ".join(RELATIONS)}. The weight is the confidence from 0 to 1.\n'
+              'Reply with one JSON object alone: {"relationships": [{"source": "", "target": "", "relation_type": "", "description": "", "weight": 0}]}\nKNOWN ENTITIES:\n'),
+        F.to_json(F.transform("entities", lambda e: _name(e["name"]))), F.lit("\n\nTEXT:\n"), F.col("content"),
+    )
+    more = told.withColumn("q_prompt", second).withColumn("q_where", F.coalesce(F.size("entities") > 1, F.lit(False)))
+    related = reasoning.ask(more, "q_prompt", "q_reply", provider, "q_where")
+    return cut(related.select(*told.columns, F.from_json(reasoning.salvage_json(F.col("q_reply")), _RELATED)["relationships"].alias("relationships")), "related")
+
+
+def extract(chunks: DataFrame, key: str = "chunk_id", text: str = "content", provider: Provider | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mentions, edges).  With a provider a model names entities and relations, and mentions also have description and name_en, edges a description; a chunk
+    for which it gives no usable reply goes by the rules, and if it fails for all of them ``ExtractionFailed`` is raised.
+
+    The rules: identifiers are entities, typed by pattern; two of one sentence are related by a cue verb between them (English and Spanish), other two of one
+    chunk as references.  Chunks of an estimate under 30 tokens are left out.
+    """
+    wide = _wide(chunks, key, text)
+    if provider is None:
+        return by_rules(wide)
+    told = asked(wide, provider)
+    n = told.agg(F.count(F.lit(1)).alias("all"), F.count("entities").alias("good"), F.min("error").alias("error")).first()
+    if n["all"] and not n["good"]:
+        raise errors.ExtractionFailed(n["error"])
+    e, r = F.col("e"), F.col("r")
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    kind = F.coalesce(F.nullif(_name(e["type"]), F.lit("")), F.lit("concept"))
+    named = told.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", _name(e["name"]).alias("name"), kind.alias("entity_type"), full(e["description"]).alias("description"), F.nullif(_name(e["name_en"]), F.lit("")).alias("name_en"))
+    named = named.groupBy("chunk_id", "name", "entity_type").agg(F.max("description").alias("description"), F.max("name_en").alias("name_en"))
+    verb = F.coalesce(F.nullif(_name(r["relation_type"]), F.lit("")), F.lit("references"))
+    tied = told.select("chunk_id", F.explode("relationships").alias("r")).select("chunk_id", _name(r["source"]).alias("source"), _name(r["target"]).alias("target"), verb.alias("relation_type"), r["weight"].alias("weight"), full(r["description"]).alias("description"))
+    mentions, edges = by_rules(told.where("entities is null").select("chunk_id", "content"))
+    return named.unionByName(mentions, allowMissingColumns=True), tied.where("source <> '' and target <> ''").unionByName(edges, allowMissingColumns=True)

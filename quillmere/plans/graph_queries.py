@@ -193,6 +193,14 @@ def graph_extract(spark, sf):
     return graph.extract(paragraph_chunks(spark, sf))[0]
 
 
+@query()
+def graph_extract_edges(spark, sf):
+    """Relations of those entities: by cue verbs, else as references."""
+    from quillmere.plans.text_queries import paragraph_chunks
+
+    return graph.extract(paragraph_chunks(spark, sf))[1]
+
+
 # ------------------------------------------------------------------------------------------------ the store
 
 
