@@ -49,6 +49,12 @@ SPECIALS = "\"*()+-^:?[]{}!.,;"
 EDGE_MARKS = ".,;:!?\"'()[]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row. A column that a lambda names is computed anew for every element, and the optimizer puts columns of an
+    earlier step back into the lambda; a variable of a lambda isn't."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end (all kinds, not spaces only)."""
     return F.regexp_replace(text, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")

@@ -19,14 +19,15 @@ PREVIEW = 200
 
 def parent_text(heading: Column, content: Column) -> Column:
     """Heading, blank line, and the content's first 200 bytes cut at the last space, with dots if it was cut."""
-    body = T.trimmed(content)
-    head = F.left(body, F.lit(PREVIEW))
-    size = F.length(head)
-    spots = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    spaces = F.filter(spots, lambda i: (F.substring(head, i, F.lit(1)) == " ") & (F.octet_length(F.left(head, i - 1)) < PREVIEW))
-    hard = F.array_max(F.filter(spots, lambda i: F.octet_length(F.left(head, i)) <= PREVIEW))
-    cut = F.left(head, F.coalesce(F.array_max(spaces) - 1, hard))
-    shown = F.when(F.octet_length(body) > PREVIEW, F.concat(cut, F.lit("..."))).otherwise(body)
+
+    def cut(head: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1)))
+        spaces = F.filter(spots, lambda i: (F.substring(head, i, F.lit(1)) == " ") & (F.octet_length(F.left(head, i - 1)) < PREVIEW))
+        hard = F.array_max(F.filter(spots, lambda i: F.octet_length(F.left(head, i)) <= PREVIEW))
+        return F.left(head, F.coalesce(F.array_max(spaces) - 1, hard))
+
+    long = lambda body: F.concat(T.let(F.left(body, F.lit(PREVIEW)), cut), F.lit("..."))
+    shown = T.let(T.trimmed(content), lambda body: F.when(F.octet_length(body) > PREVIEW, long(body)).otherwise(body))
     return F.concat(F.when(heading != "", F.concat(heading, F.lit("\n\n"))).otherwise(F.lit("")), shown)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as T
+from quillmere.operators.retrieval import SEPARATORS, asked_postings, terms
 
 NUMBERS = T.B0 + r"[0-9]+(?:\.[0-9]+)?" + T.B1
 KS = [1, 4, 8, 16, 32, 64]
@@ -37,33 +38,38 @@ def faithfulness(answer: Column, sources: Column) -> Column:
 
 def relevance(question: Column, sources: Column) -> Column:
     """Share of sources that hold at least 30 % of the question's words."""
-    words = T.evaluation_words(question)
     low = lambda s: F.lower(F.concat(s["content"], F.lit(" "), s["heading"]))
-    good = F.size(F.filter(sources, lambda s: F.size(F.filter(words, lambda w: F.contains(low(s), w))) / F.size(words) >= 0.3))
-    return F.when(F.size(sources) == 0, 0.0).when(F.size(words) == 0, 0.5).otherwise(_round(good / F.size(sources)))
+
+    def of(words: Column) -> Column:
+        good = F.size(F.filter(sources, lambda s: T.let(low(s), lambda text: F.size(F.filter(words, lambda w: F.contains(text, w)))) / F.size(words) >= 0.3))
+        return F.when(F.size(words) == 0, 0.5).otherwise(_round(good / F.size(sources)))
+
+    return F.when(F.size(sources) == 0, 0.0).otherwise(T.let(T.evaluation_words(question), of))
 
 
 def covered(text: Column, facts: Column) -> Column:
     """Share of facts of which an alternative (between bars) is in the text: as it is, without spaces, or without spaces and hyphens."""
-    plain = T.normal(F.lower(text))
-    tight = F.replace(plain, F.lit(" "), F.lit(""))
-    bare = F.replace(tight, F.lit("-"), F.lit(""))
+    without = lambda x, mark: F.replace(x, F.lit(mark), F.lit(""))
+
+    def of(plain: Column, tight: Column, bare: Column) -> Column:
+        def hit(a: Column) -> Column:
+            return (a != "") & (F.contains(plain, a) | T.let(without(a, " "), lambda t: F.contains(tight, t) | F.contains(bare, without(t, "-"))))
 
-    def hit(alternative: Column) -> Column:
-        a = T.normal(F.lower(T.trimmed(alternative)))
-        t = F.replace(a, F.lit(" "), F.lit(""))
-        return (a != "") & (F.contains(plain, a) | F.contains(tight, t) | F.contains(bare, F.replace(t, F.lit("-"), F.lit(""))))
+        found = F.size(F.filter(facts, lambda f: F.exists(F.split(f, "\\|"), lambda a: T.let(T.normal(F.lower(T.trimmed(a))), hit))))
+        return _round(found / F.size(facts))
 
-    found = F.size(F.filter(facts, lambda f: F.exists(F.split(f, "\\|"), hit)))
-    return F.when((text == "") | (F.size(facts) == 0), 0.0).otherwise(_round(found / F.size(facts)))
+    told = T.let(T.normal(F.lower(text)), lambda plain: T.let(without(plain, " "), lambda tight: T.let(without(tight, "-"), lambda bare: of(plain, tight, bare))))
+    return F.when((text == "") | (F.size(facts) == 0), 0.0).otherwise(told)
 
 
 def accuracy(answer: Column, facts: Column) -> Column:
     return covered(answer, facts)
 
 
-def context_recall(sources: Column, facts: Column) -> Column:
-    return F.when(F.size(sources) == 0, 0.0).otherwise(covered(corpus(sources), facts))
+def context_recall(sources: Column, facts: Column, text: Column | None = None) -> Column:
+    """``text``: the corpus of the sources, if it is known."""
+    own = lambda x: covered(x, facts)
+    return F.when(F.size(sources) == 0, 0.0).otherwise(T.let(corpus(sources), own) if text is None else own(text))
 
 
 def citation_quality(answer: Column, sources: Column) -> Column:
@@ -76,39 +82,53 @@ def _numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1))
 
 
-def claim_grounding(answer: Column, sources: Column) -> Column:
+def claim_grounding(answer: Column, sources: Column, text: Column | None = None) -> Column:
     """Share of the answer's distinct words and numbers that some source holds; 1 if there are none."""
-    low, text = F.lower(answer), corpus(sources)
-    terms = F.array_distinct(F.concat(T.evaluation_words(low), _numbers(low)))
-    return F.when((answer == "") | (F.size(sources) == 0), 0.0).when(F.size(terms) == 0, 1.0).otherwise(_round(F.size(F.filter(terms, lambda w: F.contains(text, w))) / F.size(terms)))
+    low = F.lower(answer)
+
+    def of(x: Column) -> Column:
+        terms = F.array_distinct(F.concat(T.evaluation_words(low), _numbers(low)))
+        return T.let(terms, lambda ts: F.when(F.size(ts) == 0, 1.0).otherwise(_round(F.size(F.filter(ts, lambda w: F.contains(x, w))) / F.size(ts))))
 
+    return F.when((answer == "") | (F.size(sources) == 0), 0.0).otherwise(T.let(corpus(sources), of) if text is None else of(text))
 
-def hallucination(answer: Column, sources: Column) -> Column:
+
+def hallucination(answer: Column, sources: Column, text: Column | None = None) -> Column:
     """1 less the share of penalties: numbers other than 0 to 10 weigh 1, words over five bytes 0.5, repeats count; 0.5 without sources."""
-    low, text = F.lower(answer), corpus(sources)
-    numbers = F.filter(_numbers(low), lambda n: ~n.rlike("^([0-9]|10)$"))
-    words = F.filter(T.evaluation_words(low), lambda w: F.octet_length(w) > 5)
-    missing = lambda xs: F.size(F.filter(xs, lambda w: ~F.contains(text, w)))
-    most = F.size(numbers) + 0.5 * F.size(words)
-    return F.when(answer == "", 0.0).when(F.size(sources) == 0, 0.5).when(most == 0, 1.0).otherwise(_round(T.clamp(1 - (missing(numbers) + 0.5 * missing(words)) / most)))
+    low = F.lower(answer)
+
+    def of(x: Column, numbers: Column, words: Column) -> Column:
+        missing = lambda xs: F.size(F.filter(xs, lambda w: ~F.contains(x, w)))
+        most = F.size(numbers) + 0.5 * F.size(words)
+        return F.when(most == 0, 1.0).otherwise(_round(T.clamp(1 - (missing(numbers) + 0.5 * missing(words)) / most)))
+
+    def within(x: Column) -> Column:
+        numbers = F.filter(_numbers(low), lambda n: ~n.rlike("^([0-9]|10)$"))
+        words = F.filter(T.evaluation_words(low), lambda w: F.octet_length(w) > 5)
+        return T.let(numbers, lambda ns: T.let(words, lambda ws: of(x, ns, ws)))
+
+    return F.when(answer == "", 0.0).when(F.size(sources) == 0, 0.5).otherwise(T.let(corpus(sources), within) if text is None else within(text))
 
 
 def score(answers: DataFrame) -> DataFrame:
     """Adds every metric of an answer, and whether it passes (accuracy and context recall of at least a half)."""
     a, q, f, s = (F.col(c) for c in ("answer", "question", "facts", "sources"))
-    made = answers.withColumns(
-        {
+
+    def metrics(text: Column) -> Column:
+        made = {
             "faithfulness": faithfulness(a, s),
             "relevance": relevance(q, s),
             "accuracy": accuracy(a, f),
-            "context_recall": context_recall(s, f),
+            "context_recall": context_recall(s, f, text),
             "citation_quality": citation_quality(a, s),
-            "claim_grounding": claim_grounding(a, s),
-            "hallucination": hallucination(a, s),
+            "claim_grounding": claim_grounding(a, s, text),
+            "hallucination": hallucination(a, s, text),
             "confidence": heuristic_confidence(a, s),
         }
-    )
-    return made.withColumn("passed", (F.col("accuracy") >= 0.5) & (F.col("context_recall") >= 0.5))
+        return F.struct(*[c.alias(name) for name, c in made.items()])
+
+    out = answers.withColumn("q_metrics", T.let(corpus(s), metrics)).select(*answers.columns, "q_metrics.*")
+    return out.withColumn("passed", (F.col("accuracy") >= 0.5) & (F.col("context_recall") >= 0.5))
 
 
 def heuristic_confidence(answer: Column, sources: Column) -> Column:
@@ -176,14 +196,20 @@ def composite_confidence(answer: Column, sources: Column) -> Column:
 
 def snippet(content: Column, words: Column) -> Column:
     """The sentence that shares most words with the answer, and the better neighbour if both fit in 300 bytes; empty if none shares any."""
-    s = T.sentences(content)
-    scores = F.transform(s, lambda x: F.size(F.array_intersect(T.answer_words(x), words)))
-    top = F.array_max(scores)
-    i = F.array_position(scores, top).cast("int")
-    own = F.try_element_at(s, i)
-    after, before = F.coalesce(F.try_element_at(scores, i + 1), F.lit(0)), F.coalesce(F.when(i > 1, F.try_element_at(scores, F.greatest(i - 1, F.lit(1)))), F.lit(0))
-    both = F.when((after >= before) & (after > 0), F.concat(own, F.lit(" "), F.try_element_at(s, i + 1))).when(before > 0, F.concat(F.try_element_at(s, F.greatest(i - 1, F.lit(1))), F.lit(" "), own))
-    return F.when((F.coalesce(top, F.lit(0)) == 0), "").otherwise(F.when((F.octet_length(own) < 300) & (F.octet_length(both) <= 300), both).otherwise(own))
+    near = lambda xs, i: F.when(i > 0, F.try_element_at(xs, F.greatest(i, F.lit(1))))
+
+    def at(s: Column, scores: Column, i: Column) -> Column:
+        own = F.try_element_at(s, i)
+        after, before = F.coalesce(near(scores, i + 1), F.lit(0)), F.coalesce(near(scores, i - 1), F.lit(0))
+        both = F.when((after >= before) & (after > 0), F.concat(own, F.lit(" "), near(s, i + 1))).when(before > 0, F.concat(near(s, i - 1), F.lit(" "), own))
+        return F.when((F.octet_length(own) < 300) & (F.octet_length(both) <= 300), both).otherwise(own)
+
+    def best(s: Column, scores: Column) -> Column:
+        top = F.coalesce(F.array_max(scores), F.lit(0))
+        return F.when(top == 0, "").otherwise(T.let(F.array_position(scores, top).cast("int"), lambda i: at(s, scores, i)))
+
+    shared = lambda s: F.transform(s, lambda x: F.size(F.array_intersect(T.answer_words(x), words)))
+    return T.let(T.sentences(content), lambda s: T.let(shared(s), lambda scores: best(s, scores)))
 
 
 def found(answer: Column) -> Column:
@@ -218,14 +244,39 @@ def at_k(retrieved: DataFrame, truth: DataFrame, ks: list[int] = KS) -> DataFram
 STAGES = ["PASS", "MODEL_MISS", "RETRIEVAL_MISS", "EMBEDDING_MISS", "CHUNK_MISS"]
 
 
+def holding(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(low, chunk_id) of every chunk whose lower-case content holds a text. ``wanted``: low, each once.
+
+    Containment has no equi-join key, so every text gets a key that its chunks must have: of the whole words inside it the one in fewest chunks; without such a word,
+    each word of the corpus that contains its longest piece, found by the piece's first three characters; without letters and digits, its first character.  Chunks
+    found by key are then tested.
+    """
+    pieces = wanted.withColumn("pieces", F.split("low", SEPARATORS)).select("low", "pieces", F.filter(F.expr("slice(pieces, 2, greatest(size(pieces) - 2, 0))"), lambda w: w != "").alias("inner"))
+    inner = pieces.select("low", F.explode(F.array_distinct("inner")).alias("term"))
+    low_chunks = chunks.select("chunk_id", F.lower("content").alias("content"))
+    posts = asked_postings(low_chunks, inner)
+    df = posts.groupBy("term").agg(F.count(F.when(F.col("chunk_id").isNotNull() & (F.col("tf") > 0) & (F.col("dl") > 0), 1)).alias("df"))
+    rarest = inner.join(df, "term", "left").groupBy("low").agg(F.min_by("term", F.coalesce("df", F.lit(0))).alias("term"))
+    by_word = posts.join(rarest, "term").select("low", "chunk_id")
+    # texts without a whole word inside
+    edges = pieces.where("size(inner) = 0").select("low", F.array_max(F.transform(F.filter("pieces", lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("piece"))
+    words = low_chunks.select("chunk_id", F.explode_outer(F.array_distinct(terms(F.col("content")))).alias("word"))
+    starts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.array(*[F.substring(w, i, F.lit(n)) for n in (1, 2, 3)])))
+    grams = words.select("word").where("word is not null").distinct().select("word", F.explode(F.array_distinct(starts(F.col("word")))).alias("gram"))
+    around = edges.where("piece is not null").withColumn("gram", F.left("piece", F.lit(3))).join(grams, "gram").where(F.contains("word", F.col("piece"))).select("low", "word")
+    by_piece = words.join(around, "word").select("low", "chunk_id")
+    marks = low_chunks.select("chunk_id", F.explode(F.array_distinct(F.split(F.regexp_replace("content", r"[\p{L}\p{Nd}]+", ""), ""))).alias("mark"))
+    by_mark = marks.join(edges.where("piece is null").withColumn("mark", F.left("low", F.lit(1))), "mark").select("low", "chunk_id")
+    found = by_word.unionByName(by_piece).unionByName(by_mark).distinct()
+    return found.join(low_chunks, "chunk_id").where(F.contains("content", F.col("low"))).select("low", "chunk_id")
+
+
 def diagnose(facts: DataFrame, chunks: DataFrame, embedded: DataFrame, retrieved: DataFrame) -> DataFrame:
     """(query_id, fact, chunk_id, stage): where a fact got lost. Only the first chunk that holds the fact is followed.
 
     ``facts``: query_id, fact, answer.  ``chunks``: chunk_id, content.  ``embedded``: chunk_id.  ``retrieved``: query_id, chunk_id.
     """
-    wanted = facts.select(F.lower("fact").alias("low")).distinct()
-    # facts are few and have no key to join on: a chunk is compared to each
-    holds = chunks.join(wanted, F.contains(F.lower("content"), F.col("low"))).groupBy("low").agg(F.min("chunk_id").alias("chunk_id"))
+    holds = holding(chunks, facts.select(F.lower("fact").alias("low")).distinct()).groupBy("low").agg(F.min("chunk_id").alias("chunk_id"))
     rows = facts.withColumn("low", F.lower("fact")).join(holds, "low", "left")
     rows = rows.join(embedded.select("chunk_id").distinct().withColumn("is_embedded", F.lit(True)), "chunk_id", "left")
     rows = rows.join(retrieved.select("query_id", "chunk_id").distinct().withColumn("is_found", F.lit(True)), ["query_id", "chunk_id"], "left")

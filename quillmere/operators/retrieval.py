@@ -36,9 +36,13 @@ def route(queries: DataFrame, vec: float = 1.0, fts: float = 1.0, graph: float =
     )
 
 
+#: Between two index terms.
+SEPARATORS = r"[^\p{L}\p{Nd}]+"
+
+
 def terms(text: Column) -> Column:
     """Index terms: lower case, runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
@@ -64,20 +68,38 @@ def bm25(chunks: DataFrame, queries: DataFrame, top: int | None = None, key: str
     """(query_id, key, score, matched, rank): BM25 over one text column, all questions at once.
 
     Only postings of asked terms are formed: the corpus is exploded, filtered by a semi-join on the terms of the questions (broadcast when they are
-    few, which the optimizer decides by size), and aggregated; N and the mean length come from one more aggregate that keeps no term.  With
-    ``top`` the rank window is cut inside each task before the shuffle.
+    few, which the optimizer decides by size), and shuffled once, by chunk; N and the mean length come from one more aggregate that keeps no term.  A chunk's
+    scores add up in its own task, and with ``top`` the rank window is cut there before the hits are shuffled by question.
     """
     asked = query_terms(queries)
-    # one pass over the corpus: a row a chunk and asked term, with the chunk's length
-    exploded = chunks.select(key, F.size(terms(F.col(text))).cast("bigint").alias("dl"), F.explode(terms(F.col(text))).alias("term"))
-    posts = exploded.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths(chunks, key, text).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    scored = posts.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats is one row
+    return ranked(score_postings(asked_postings(chunks, asked, key, text), lengths(chunks, key, text), asked, key), "score", key, top)
+
+
+def tokenised(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """(key, dl, ts): the terms of every chunk and their number.
+
+    ``ts`` is a column of its own below ``dl``: it is used twice, so the optimizer keeps it apart and a text is cut once.
+    """
+    return chunks.select(key, terms(F.col(text)).alias("ts")).select(key, F.size("ts").cast("bigint").alias("dl"), "ts")
+
+
+def asked_postings(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """(term, key, dl, tf) of the asked terms only, all of a chunk in one task."""
+    # the outer form infers no filter on the array, which would cut every text a second time
+    exploded = tokenised(chunks, key, text).select(key, "dl", F.explode_outer("ts").alias("term"))
+    hit = exploded.join(asked.select("term").distinct(), "term", "left_semi")
+    return hit.repartition(F.col(key)).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def score_postings(posts: DataFrame, sizes: DataFrame, asked: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, key, score, matched). ``posts``: term, key, dl, tf, partitioned by chunk, so that scores add up where they are; ``sizes``: dl of every chunk."""
+    # names every column, so that both uses of the postings are one exchange
+    df = posts.groupBy("term").agg(F.count(F.when(F.col(key).isNotNull() & (F.col("tf") > 0) & (F.col("dl") > 0), 1)).alias("df"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    scored = posts.join(df.join(asked, "term"), "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    total = scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
-    return ranked(total, "score", key, top)
+    return scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
 
 
 def ranked(hits: DataFrame, score: str, key: str, top: int | None = None) -> DataFrame:

@@ -22,5 +22,20 @@ def query(sql: str | None = None):
     return wrap
 
 
+#: A table of fewer files than cores is dealt over the cores before work on it, if a core's share is at most this.
+SMALL_SHARE = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it comes from fewer files and is small; a table of one row group would be one task.
+
+    What this moves is bounded by ``SMALL_SHARE`` a core; larger tables have splits enough.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_SHARE * cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
