@@ -46,15 +46,17 @@ def exact_entities(entities: DataFrame, terms: DataFrame) -> DataFrame:
 def fuzzy_entities(entities: DataFrame, terms: DataFrame, column: str = "name", limit: int = FUZZY_LIMIT) -> DataFrame:
     """(query_id, id, name): entities whose name contains a term of at least four bytes, ``limit`` a query by id.
 
-    Containment has no equi-join key.  Names are cut into their 4-grams and terms keep the 4-gram they begin with: a name that contains the term contains that gram,
-    so an equi-join on grams finds all candidates and ``contains`` decides.
+    Containment has no equi-join key.  Names are cut into their 4-grams, and a term goes by that of its own 4-grams which fewest names have: a name that contains the
+    term contains all of them, so an equi-join finds all candidates and ``contains`` decides.
     """
+    grams = lambda x: F.when(F.length(x) >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 3), lambda i: F.substring(x, i, F.lit(4)))))
+    long = terms.where((F.octet_length("term") >= 4) & (F.length("term") >= 4)).select("query_id", F.lower("term").alias("term")).distinct()
+    cut_up = long.select("term").distinct().select("term", F.explode(grams(F.col("term"))).alias("gram"))
     named = entities.where(F.col(column).isNotNull()).select("id", F.col(column).alias("name"), F.lower(column).alias("low"))
-    low = F.col("low")
-    grams = F.when(F.length(low) >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 3), lambda i: F.substring(low, i, F.lit(4)))))
-    names = named.select("id", "name", F.explode(grams).alias("gram"))
-    long = terms.where((F.octet_length("term") >= 4) & (F.length("term") >= 4)).select("query_id", F.lower("term").alias("term")).withColumn("gram", F.left("term", F.lit(4)))
-    hits = long.join(names, "gram").where(F.contains(F.lower("name"), F.col("term"))).select("query_id", "id", "name").distinct()
+    names = named.select("id", "name", "low", F.explode(grams(F.col("low"))).alias("gram"))
+    common = names.groupBy("gram").agg(F.count(F.lit(1)).alias("q_names"))
+    rarest = cut_up.join(common, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("q_names", F.lit(0)), "gram")).alias("gram"))
+    hits = long.join(rarest.join(names, "gram").where(F.contains("low", F.col("term"))).select("term", "id", "name"), "term").select("query_id", "id", "name").distinct()
     return hits.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("id"))).where(F.col("n") <= limit).drop("n")
 
 
@@ -73,8 +75,12 @@ def matched_entities(entities: DataFrame, terms: DataFrame, limit: int = FUZZY_L
 def search_chunks(seeds: DataFrame, entity_chunks: DataFrame, relationships: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks of the seeds by the greatest weight of any edge of an entity; 0.5 without edges.
 
-    The greatest weight of each entity is aggregated first; a join on "source or target" would be a nested loop.
+    The greatest weight of each entity is aggregated first; a join on "source or target" would be a nested loop.  With ``top``, of an entity only its ``top`` least
+    chunks go on, cut in each task before they are shuffled: chunks of one entity score at least its weight, so a later one has ``top`` others before it.
     """
+    if top is not None:
+        place = F.dense_rank().over(W.partitionBy("entity_id").orderBy("chunk_id"))
+        entity_chunks = entity_chunks.join(seeds.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").withColumn("q_place", place).where(F.col("q_place") <= top).drop("q_place")
     strongest = both_ways(relationships).groupBy(F.col("node").alias("entity_id")).agg(F.max("weight").alias("w"))
     found = seeds.select("query_id", F.col("id").alias("entity_id")).distinct().join(entity_chunks, "entity_id").join(strongest, "entity_id", "left")
     scored = found.groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("w"), F.lit(0.5)).alias("score"))

@@ -161,12 +161,12 @@ def modularity(spark, sf):
 
 
 @query(f"""
-WITH {_ENTITIES}, g AS (SELECT (id // 4) % 10 AS community, id, '- ' || name || ' (' || entity_type || ')' AS line FROM e WHERE entity_type <> 'person')
+WITH {_ENTITIES}, g AS (SELECT (id // 4) % 10 AS community, id, '- ' || name || ' (' || entity_type || ')' AS line FROM e)
 SELECT 0 AS level, community, string_agg(line, chr(10) ORDER BY id) AS text FROM g GROUP BY community
 """)
 def community_texts(spark, sf):
     """What a summary of a community is made from."""
-    own = entities(spark, sf).where("entity_type <> 'person'").withColumn("description", F.lit(""))
+    own = entities(spark, sf).withColumn("description", F.lit(""))
     made = own.groupBy((F.floor(F.col("id") / 4) % 10).alias("community")).agg(F.collect_list("id").alias("entity_ids")).select(F.lit(0).alias("level"), "community", "entity_ids")
     return graph.community_text(made, own)
 
