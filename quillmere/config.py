@@ -21,6 +21,7 @@ class Config:
     separator: str = "\n\n"
     skip_graph: bool = False
     caption_images: bool = False
+    translate_terms: bool = True
 
     def __post_init__(self):
         if self.chunk_tokens < 1 or self.chunk_overlap < 0 or self.embedding_dim < 1 or not 0 <= self.confidence_threshold <= 1:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmere import errors
 from quillmere.config import Config
 from quillmere.functions import text as T
-from quillmere.operators import captions, chunking, embedding, entities, evaluation, graph, reasoning, retrieval
+from quillmere.operators import captions, chunking, embedding, entities, evaluation, experiments, fulltext, graph, reasoning, retrieval
 from quillmere.operators import store as S
 from quillmere.operators.lineage import cut
 from quillmere.sources import files as sources
@@ -22,6 +22,7 @@ class Engine:
         self.provider = provider or Deterministic(self.config.embedding_dim)
         self.registry = registry or sources.Registry()
         self.store: S.Store | None = S.Store(spark, folder)
+        self.voted: DataFrame | None = None
 
     # -------------------------------------------------------------------------------------------- ingest
 
@@ -59,7 +60,9 @@ class Engine:
         if docs.isEmpty():
             return found.select("path", F.lit("unchanged").alias("status"), F.lit(None).cast("string").alias("error"))
         good = parsed.where("error is null")
-        marked = captions.with_marks(good, pictures)
+        if self.config.caption_images:
+            pictures = cut(captions.captioned(pictures, self.provider), "captions")
+        marked = captions.with_marks(good, pictures, "caption" if self.config.caption_images else None)
         rows = marked.join(docs.select("path", F.col("id").alias("doc_id")), "path").select("doc_id", "section_idx", "heading", "content", "section_type", "page_number")
         made = chunking.chunk_sections(rows, self.config.chunk_tokens, self.config.chunk_overlap, self.config.separator).withColumnRenamed("doc_id", "document_id")
         made = cut(S.number_chunks(made, store.next_id("chunks")), "new-chunks")
@@ -69,14 +72,18 @@ class Engine:
             raise errors.EmbeddingFailed(vectors.select("error").first()["error"])
         store.delete_documents(docs.select("id"), registry=False)
         store.append("chunks", made)
+        store.append("chunk_terms", fulltext.index(made.withColumnRenamed("id", "chunk_id"), heading="heading"))
         store.append("embeddings", vectors.where("embedding is not null").select("chunk_id", "embedding"))
         first = chunking.section_chunk_map(made.withColumnRenamed("document_id", "doc_id")).join(made.select(F.col("document_id").alias("doc_id"), "position_in_doc", F.col("id").alias("chunk_id")), ["doc_id", "position_in_doc"])
         placed = pictures.join(docs.select("path", F.col("id").alias("document_id")), "path").join(first.withColumnRenamed("doc_id", "document_id"), ["document_id", "section_idx"], "left")
         start = store.next_id("images")
         keyed = S.numbered(placed.withColumn("q_key", F.concat_ws("/", "document_id", "image_idx")), "q_key", start, name="id")
         store.append("images", keyed.select("id", "chunk_id", "document_id", "page_number", "mime", "width", "height", "data"))
+        self.voted = None
         if not self.config.skip_graph:
             self._graph(made.select(F.col("id").alias("chunk_id"), "content"))
+        if self.voted is not None:
+            docs = docs.join(self.voted, "id", "left").withColumn("language", F.coalesce("q_language", "language")).drop("q_language")
         store.replace("documents", cut(S.upsert(known, docs.drop("q_error"), ["path"], keep=("created_at",)), "documents"))
         return found.select("path").join(docs.select("path", "status", F.col("q_error").alias("error")), "path", "left").select("path", F.coalesce("status", F.lit("unchanged")).alias("status"), "error")
 
@@ -101,8 +108,21 @@ class Engine:
         local = mentions.join(every, ["name", "entity_type"]).select("chunk_id", "name", "id")
         store.append("entity_chunks", local.select(F.col("id").alias("entity_id"), "chunk_id").distinct())
         store.append("relationships", graph.resolve_endpoints(edges, local, every).withColumn("source_chunk_id", F.col("chunk_id")))
-        found = graph.communities(every.select("id"), store.table("relationships"))
-        store.replace("communities", found.join(graph.community_text(found, every).withColumnRenamed("text", "summary"), ["level", "community"], "left"))
+        found = cut(graph.communities(every.select("id"), store.table("relationships")), "communities")
+        texts = graph.community_text(found, every)
+        # the offline provider has nothing to say of a list: the list itself stands
+        summed = texts.withColumnRenamed("text", "summary") if isinstance(self.provider, Deterministic) else experiments.summarise(texts, self.provider).drop("text")
+        store.replace("communities", found.join(summed, ["level", "community"], "left"))
+        self._languages(mentions)
+
+    def _languages(self, mentions: DataFrame) -> None:
+        """The language of every document with chunks a model told the language of: the commonest one."""
+        if "language" not in mentions.columns:
+            return
+        store = self._open()
+        told = mentions.select("chunk_id", "language").distinct().join(store.table("chunks").select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id")
+        votes = graph.language_vote(told, "document_id", "language").select(F.col("document_id").alias("id"), F.col("language").alias("q_language"))
+        self.voted = cut(votes, "languages")
 
     def update(self, path: str) -> DataFrame:
         """Ingest one registered file again if it has changed."""
@@ -132,32 +152,62 @@ class Engine:
 
     # -------------------------------------------------------------------------------------------- query
 
-    def search(self, questions: DataFrame) -> DataFrame:
-        """(query_id, chunk_id, score, methods, ranks, rank): three legs and fusion for every question. ``questions``: query_id, question and options."""
+    def _terms(self, routed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(query_id, term) of the entities of every question, and (query_id, term) of their translations into the corpus's languages, if there are any.
+
+        What the cache of translations lacks is asked for once and remembered, also where there is none.
+        """
+        store = self._open()
+        terms = cut(routed.select("query_id", F.explode(entities.query_entities(F.col("question"))).alias("term")).withColumn("term", F.lower("term")).distinct(), "terms")
+        languages = entities.corpus_languages(store.table("documents"))
+        if isinstance(self.provider, Deterministic) or not self.config.translate_terms or languages.isEmpty():
+            return terms, None
+        missing = cut(entities.untranslated(terms, store.table("translations"), languages), "untranslated")
+        if not missing.isEmpty():
+            store.append("translations", entities.translated(missing, self.provider))
+        every = cut(entities.expand(terms, store.table("translations"), languages), "expanded")
+        return every.select("query_id", F.lower("term").alias("term")).distinct(), every.where("language is not null").select("query_id", "term")
+
+    def _legs(self, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(routed questions, (query_id, chunk_id, leg, rank) of the three legs, (query_id, error) of the questions that got no vector)."""
         store = self._open()
         c = self.config
         routed = cut(retrieval.route(questions, c.weight_vector, c.weight_fts, c.weight_graph), "routed")
-        chunks = store.table("chunks").select(F.col("id").alias("chunk_id"), "content")
         most = routed.agg(F.max("max_results")).first()[0] or c.max_results
-        fts = retrieval.bm25(chunks, routed, top=most)
-        asked = embedding.embed(routed.select("query_id", F.lit("").alias("heading"), F.col("question").alias("content")), self.provider).where("embedding is not null").select("query_id", "embedding")
-        near = retrieval.nearest(store.table("embeddings"), asked, most, key="chunk_id")
-        terms = routed.select("query_id", F.explode(entities.query_entities(F.col("question"))).alias("term")).withColumn("term", F.lower("term")).distinct()
+        terms, translations = self._terms(routed)
+        # stems of headings and contents are kept in the store
+        fts = fulltext.search(None, routed, top=most, indexed=store.table("chunk_terms"), groups=translations)
+        embedded = cut(embedding.embed(routed.select("query_id", F.lit("").alias("heading"), F.col("question").alias("content")), self.provider), "asked")
+        near = retrieval.nearest(store.table("embeddings"), embedded.where("embedding is not null").select("query_id", "embedding"), most, key="chunk_id")
         seeds = cut(graph.matched_entities(store.table("entities").select("id", "name", "name_en"), terms).select("query_id", "id"), "seeds")
         # questions for everything also take the entities one step away
         wide = graph.neighbours(seeds.join(routed.where("synthesis").select("query_id"), "query_id", "left_semi"), store.table("relationships"))
         by_graph = graph.search_chunks(seeds.unionByName(wide), store.table("entity_chunks"), store.table("relationships"), top=most)
         leg = lambda df, name: df.select("query_id", "chunk_id", F.lit(name).alias("leg"), "rank")
-        return retrieval.fuse(leg(near, "vector").unionByName(leg(fts, "fts")).unionByName(leg(by_graph, "graph")), routed)
+        return routed, leg(near, "vector").unionByName(leg(fts, "fts")).unionByName(leg(by_graph, "graph")), embedded.where("error is not null").select("query_id", "error")
+
+    def search(self, questions: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score, methods, ranks, rank): three legs and fusion for every question. ``questions``: query_id, question and options."""
+        routed, legs, _ = self._legs(questions)
+        return retrieval.fuse(legs, routed)
+
+    def traced(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the results of ``search``, a trace of every question): results a leg and fused, weights, identifiers, synthesis, and the error of a leg that others stood in for."""
+        routed, legs, failed = self._legs(questions)
+        legs = cut(legs, "legs")
+        fused = cut(retrieval.fuse(legs, routed), "fused")
+        return fused, retrieval.trace(routed, legs, fused, failed)
 
     def sources_of(self, hits: DataFrame) -> DataFrame:
         """(query_id, sources): what was found, with its documents, in rank order."""
         store = self._open()
-        chunks = store.table("chunks").select(F.col("id").alias("chunk_id"), "document_id", "content", "heading", "chunk_type", "page_number", "position_in_doc")
-        docs = store.table("documents").select(F.col("id").alias("document_id"), "filename", "path", F.col("metadata").alias("doc_metadata"))
+        chunks = store.table("chunks").select(F.col("id").alias("chunk_id"), "document_id", "content", "heading", "chunk_type", "page_number", "position_in_doc", F.coalesce("metadata", F.lit("{}")).alias("chunk_metadata"))
+        docs = store.table("documents").select(F.col("id").alias("document_id"), "filename", "path", F.coalesce(F.to_json("metadata"), F.lit("{}")).alias("doc_metadata"))
         rows = hits.join(chunks, "chunk_id").join(docs, "document_id")
-        one = F.struct("rank", "score", "chunk_id", "document_id", "filename", "path", F.coalesce("heading", F.lit("")).alias("heading"), "content", F.coalesce("chunk_type", F.lit("")).alias("chunk_type"), F.coalesce("page_number", F.lit(0)).alias("page_number"), "position_in_doc", "methods")
-        return rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("sources"))
+        one = F.struct("rank", "score", "chunk_id", "document_id", "filename", "path", F.coalesce("heading", F.lit("")).alias("heading"), "content", F.coalesce("chunk_type", F.lit("")).alias("chunk_type"), F.coalesce("page_number", F.lit(0)).alias("page_number"), "position_in_doc", "methods", "chunk_metadata", "doc_metadata")
+        sorted_ = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
+        read = lambda x, c: F.from_json(x[c], "map<string,string>")
+        return sorted_.select("query_id", F.transform("s", lambda x: x.withField("chunk_metadata", read(x, "chunk_metadata")).withField("doc_metadata", read(x, "doc_metadata"))).alias("sources"))
 
     def query(self, questions: DataFrame, rounds: int | None = None, structured: bool = False, log: bool = True) -> DataFrame:
         """(query_id, question, answer, confidence, rounds_used, sources, snippets, …) of every question; one without results has no answer."""

@@ -17,8 +17,8 @@ __all__ = ["BATCH", "MOST_BYTES", "Deterministic", "embed", "embedding_text"]
 def embedding_text(heading: Column, content: Column, most: int = MOST_BYTES) -> Column:
     """``heading: content``, at most ``most`` bytes, cut at the last space before that."""
     whole = F.when(F.coalesce(heading, F.lit("")) != "", F.concat(heading, F.lit(": "), F.coalesce(content, F.lit("")))).otherwise(F.coalesce(content, F.lit("")))
-    # a prefix of bytes may end inside a character, which decodes to a mark that is cut off with the last word
-    head = F.regexp_replace(F.try_validate_utf8(F.decode(F.substring(F.encode(whole, "utf-8"), 1, most), "utf-8")), "�+$", "")
+    # a prefix of bytes may end inside a character, which becomes a mark that is cut off with the last word
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(whole, "utf-8"), 1, most).cast("string")), "\uFFFD+$", "")
     return F.when(F.octet_length(whole) <= most, whole).otherwise(F.regexp_replace(head, r" [^ ]*$", ""))
 
 

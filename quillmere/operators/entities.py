@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillmere.functions import text as T
+from quillmere.operators import reasoning
+from quillmere.sources.providers import Provider
 
 _QUOTED = re.compile(r"\"([^\"]+)\"|'([^']+)'")
 _STANDARD = re.compile(r"(?i)^(?:iso|iec|astm|ieee)[-/]?\d*")
@@ -70,3 +72,12 @@ def untranslated(terms: DataFrame, dictionary: DataFrame, languages: DataFrame)
     """(term, language) that the cache doesn't know yet: what a model is asked for, and then appended to the cache."""
     grid = terms.select(F.lower("term").alias("term")).distinct().crossJoin(languages)  # languages of a corpus are a handful
     return grid.join(dictionary.select(F.lower("term").alias("term"), "language"), ["term", "language"], "left_anti")
+
+
+def translated(missing: DataFrame, provider: Provider) -> DataFrame:
+    """(term, language, translation) of terms the cache lacks, a model call a language and batch of terms; what it doesn't give is null, which is remembered too."""
+    together = missing.groupBy("language", F.pmod(F.xxhash64("term"), F.lit(64)).alias("part")).agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    prompt = F.concat(F.lit("Translate each of these terms into "), F.col("language"), F.lit('. Reply with one JSON object alone: {"term": "translation"}.\n'), F.to_json("terms"))
+    told = reasoning.ask(together.withColumn("q_prompt", prompt), "q_prompt", "q_reply", provider)
+    read = F.from_json(reasoning.salvage_json(F.col("q_reply")), "map<string,string>")
+    return told.select("language", read.alias("m"), F.explode("terms").alias("term")).select("term", "language", F.nullif(F.trim(F.try_element_at("m", F.col("term"))), F.lit("")).alias("translation"))

@@ -100,18 +100,31 @@ def stems(text: Column) -> Column:
     return _stems(text)
 
 
-def search(chunks: DataFrame, queries: DataFrame, top: int | None = None, key: str = "chunk_id", text: str = "content") -> DataFrame:
+def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", heading: str | None = None) -> DataFrame:
+    """(key, dl, ts): stems of every chunk in order, and their number; of heading and text, if a heading column is named. What a store keeps, so that texts are stemmed once."""
+    whole = F.col(text) if heading is None else F.concat_ws(" ", F.col(heading), F.col(text))
+    return chunks.select(key, stems(whole).alias("ts")).withColumn("dl", F.size("ts").cast("bigint"))
+
+
+def search(chunks: DataFrame | None, queries: DataFrame, top: int | None = None, key: str = "chunk_id", text: str = "content", indexed: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, matched, rank): BM25 over stemmed terms; the whole question as a phrase counts as one more term where it occurs.
 
-    A phrase can only stand in a chunk that holds its terms: matched chunks are tested for it as strings of stems, and no positions are shuffled.
+    A phrase can only stand in a chunk that holds its terms: matched chunks are tested for it as strings of stems, and no positions are shuffled.  ``indexed`` is an
+    index made before; ``groups`` (query_id, term) are more terms of a question, such as translations: one of several words counts where all of them are, once.
     """
     low = F.lower(T.without_specials(F.col("question")))
     kept = F.filter(T.fields(low), lambda w: (F.octet_length(w) > 2) & ~F.array_contains(T.literals(T.RETRIEVAL_STOPS), w))
     asked = queries.select("query_id", stems(F.concat_ws(" ", kept)).alias("kept"), stems(low).alias("words")).select("query_id", F.array_distinct("kept").alias("kept"), F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).alias("phrase"), F.size("words").alias("n_words"))
     terms = asked.select("query_id", F.explode("kept").alias("term"))
-    indexed = chunks.select(key, stems(F.col(text)).alias("ts")).withColumn("dl", F.size("ts").cast("bigint"))
+    wanted = terms.select("term")
+    grouped = None
+    if groups is not None:
+        parts = groups.select("query_id", F.array_distinct(stems(F.col("term"))).alias("parts")).where("size(parts) > 0").select("query_id", "parts", F.concat(F.lit(" "), F.concat_ws(" ", "parts")).alias("group")).distinct()
+        grouped = parts.select("query_id", "group", F.size("parts").alias("n_parts"), F.explode("parts").alias("term"))
+        wanted = wanted.union(grouped.select("term"))
+    indexed = index(chunks, key, text) if indexed is None else indexed.select(key, "ts", "dl")
     stats = indexed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    posts = indexed.select(key, "dl", F.explode("ts").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    posts = indexed.select(key, "dl", F.explode_outer("ts").alias("term")).join(wanted.distinct(), "term", "left_semi").repartition(F.col(key)).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
     matched = posts.join(terms, "term").select("query_id", key, "dl", F.col("term"), "tf")
     # phrases: among chunks that hold every kept term of the question
     whole = matched.groupBy("query_id", key, "dl").agg(F.count(F.lit(1)).alias("m")).join(asked.where("n_words > 1"), "query_id").where("m = size(kept)")
@@ -119,6 +132,9 @@ def search(chunks: DataFrame, queries: DataFrame, top: int | None = None, key: s
     times = F.size(F.split("line", F.concat(F.lit("\\Q"), F.rtrim("phrase"), F.lit("\\E(?= )")), -1)) - 1
     phrases = whole.join(text_of, key).withColumn("tf", times.cast("bigint")).where("tf > 0").select("query_id", key, "dl", F.col("phrase").alias("term"), "tf")
     every = matched.unionByName(phrases)
+    if grouped is not None:
+        all_of = posts.join(grouped, "term").groupBy("query_id", "group", "n_parts", key, "dl").agg(F.count(F.lit(1)).alias("m"), F.min("tf").alias("tf")).where("m = n_parts")
+        every = every.unionByName(all_of.select("query_id", key, "dl", F.col("group").alias("term"), "tf"))
     df = every.select("term", key).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

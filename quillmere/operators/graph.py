@@ -75,15 +75,21 @@ def matched_entities(entities: DataFrame, terms: DataFrame, limit: int = FUZZY_L
 def search_chunks(seeds: DataFrame, entity_chunks: DataFrame, relationships: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): chunks of the seeds by the greatest weight of any edge of an entity; 0.5 without edges.
 
-    The greatest weight of each entity is aggregated first; a join on "source or target" would be a nested loop.  With ``top``, of an entity only its ``top`` least
-    chunks go on, cut in each task before they are shuffled: chunks of one entity score at least its weight, so a later one has ``top`` others before it.
+    The greatest weight of each entity is aggregated first; a join on "source or target" would be a nested loop.  With ``top``, chunks are looked for among the ``top`` least
+    of every entity with edges, cut in each task before they are shuffled: all chunks of such an entity score at least its weight, so a later one has ``top`` others before it.
+    What is found so is then scored by all its entities.
     """
+    seeds = seeds.select("query_id", F.col("id").alias("entity_id")).distinct()
+    strongest = both_ways(relationships).groupBy(F.col("node").alias("entity_id")).agg(F.max("weight").alias("w"))
+    linked = seeds.join(entity_chunks, "entity_id")
     if top is not None:
+        links = entity_chunks.join(seeds.select("entity_id").distinct(), "entity_id", "left_semi")
         place = F.dense_rank().over(W.partitionBy("entity_id").orderBy("chunk_id"))
-        entity_chunks = entity_chunks.join(seeds.select(F.col("id").alias("entity_id")).distinct(), "entity_id", "left_semi").withColumn("q_place", place).where(F.col("q_place") <= top).drop("q_place")
-    strongest = both_ways(relationships).groupBy(F.col("node").alias("entity_id")).agg(F.max("weight").alias("w"))
-    found = seeds.select("query_id", F.col("id").alias("entity_id")).distinct().join(entity_chunks, "entity_id").join(strongest, "entity_id", "left")
-    scored = found.groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("w"), F.lit(0.5)).alias("score"))
+        first = links.join(strongest, "entity_id", "left_semi").withColumn("q_place", place).where(F.col("q_place") <= top).select("entity_id", "chunk_id")
+        bare = links.join(strongest, "entity_id", "left_anti").select("entity_id", "chunk_id")
+        near = seeds.join(first.unionByName(bare), "entity_id").select("query_id", "chunk_id").distinct()
+        linked = near.join(entity_chunks, "chunk_id").join(seeds, ["query_id", "entity_id"], "left_semi")
+    scored = linked.join(strongest, "entity_id", "left").groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("w"), F.lit(0.5)).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("bigint"))
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
@@ -289,7 +295,7 @@ def asked(wide: DataFrame, provider: Provider) -> DataFrame:
 
 
 def extract(chunks: DataFrame, key: str = "chunk_id", text: str = "content", provider: Provider | None = None) -> tuple[DataFrame, DataFrame]:
-    """(mentions, edges).  With a provider a model names entities and relations, and mentions also have description and name_en, edges a description; a chunk
+    """(mentions, edges).  With a provider a model names entities and relations, and mentions also have description, name_en and the chunk's language, edges a description; a chunk
     for which it gives no usable reply goes by the rules, and if it fails for all of them ``ExtractionFailed`` is raised.
 
     The rules: identifiers are entities, typed by pattern; two of one sentence are related by a cue verb between them (English and Spanish), other two of one
@@ -305,8 +311,8 @@ def extract(chunks: DataFrame, key: str = "chunk_id", text: str = "content", pro
     e, r = F.col("e"), F.col("r")
     full = lambda c: F.nullif(F.trim(c), F.lit(""))
     kind = F.coalesce(F.nullif(_name(e["type"]), F.lit("")), F.lit("concept"))
-    named = told.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", _name(e["name"]).alias("name"), kind.alias("entity_type"), full(e["description"]).alias("description"), F.nullif(_name(e["name_en"]), F.lit("")).alias("name_en"))
-    named = named.groupBy("chunk_id", "name", "entity_type").agg(F.max("description").alias("description"), F.max("name_en").alias("name_en"))
+    named = told.select("chunk_id", "language", F.explode("entities").alias("e")).select("chunk_id", "language", _name(e["name"]).alias("name"), kind.alias("entity_type"), full(e["description"]).alias("description"), F.nullif(_name(e["name_en"]), F.lit("")).alias("name_en"))
+    named = named.groupBy("chunk_id", "name", "entity_type").agg(F.max("description").alias("description"), F.max("name_en").alias("name_en"), F.max(full(F.col("language"))).alias("language"))
     verb = F.coalesce(F.nullif(_name(r["relation_type"]), F.lit("")), F.lit("references"))
     tied = told.select("chunk_id", F.explode("relationships").alias("r")).select("chunk_id", _name(r["source"]).alias("source"), _name(r["target"]).alias("target"), verb.alias("relation_type"), r["weight"].alias("weight"), full(r["description"]).alias("description"))
     mentions, edges = by_rules(told.where("entities is null").select("chunk_id", "content"))

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from quillmere.errors import BadConfig
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it again; survives the loss of executors.
 
-    The folder is that of ``spark.checkpoint.dir``; only where none is set, as in local tests, is one made beside the warehouse.
-    """
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share. In local mode, as in tests, one beside the warehouse stands in where none is set."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise BadConfig("spark.checkpoint.dir is not set: it names the folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it again; survives the loss of executors."""
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

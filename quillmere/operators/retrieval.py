@@ -209,3 +209,12 @@ def missing_terms(answers: DataFrame, corpus: str = "corpus", answer: str = "ans
     low = F.lower(F.col(answer))
     behind = lambda s: F.right(F.split_part(low, F.lower(s), F.lit(1)), F.lit(10))
     return answers.withColumn("missing", F.filter(once, lambda s: ~F.contains(F.lower(F.col(corpus)), F.lower(s)) & ~behind(s).rlike(f"({NUMBERED}) $")))
+
+
+def trace(routed: DataFrame, legs: DataFrame, fused: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(query_id, vec_results, fts_results, graph_results, fused_results, identifiers, synthesis, weights, error) of every question of a search, also of one that found nothing."""
+    counted = legs.groupBy("query_id").agg(*[F.count_if(F.col("leg") == leg).alias(f"{c}_results") for c, leg in (("vec", "vector"), ("fts", "fts"), ("graph", "graph"))])
+    ends = fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("fused_results"))
+    out = routed.select("query_id", "identifiers", "synthesis", "weight_vec", "weight_fts", "weight_graph").join(counted, "query_id", "left").join(ends, "query_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("vec_results", "fts_results", "graph_results", "fused_results")})
+    return out.withColumn("error", F.lit(None).cast("string")) if failed is None else out.join(failed.groupBy("query_id").agg(F.min("error").alias("error")), "query_id", "left")

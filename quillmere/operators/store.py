@@ -18,6 +18,8 @@ SCHEMAS = {
     "documents": "id bigint, path string, filename string, format string, content_hash string, parse_method string, status string, metadata map<string,string>, language string, created_at timestamp, updated_at timestamp",
     "chunks": "id bigint, document_id bigint, parent_chunk_id bigint, content string, chunk_type string, heading string, page_number int, position_in_doc bigint, token_count bigint, metadata string, content_hash string",
     "embeddings": "chunk_id bigint, embedding array<float>",
+    "chunk_terms": "chunk_id bigint, dl bigint, ts array<string>",
+    "translations": "term string, language string, translation string",
     "entities": "id bigint, name string, name_en string, entity_type string, description string, metadata map<string,string>",
     "relationships": "source_entity_id bigint, target_entity_id bigint, relation_type string, weight double, description string, source_chunk_id bigint",
     "entity_chunks": "entity_id bigint, chunk_id bigint",
@@ -32,6 +34,7 @@ MIGRATIONS = [
     (1, "first layout", None, None, None),
     (2, "English names of entities", "entities", "name_en", "string"),
     (3, "language of documents", "documents", "language", "string"),
+    (4, "index of stems, translations of terms", None, None, None),
 ]
 
 
@@ -203,12 +206,21 @@ class Store:
     def delete_documents(self, ids: DataFrame, registry: bool = True) -> None:
         """Chunks, vectors, images, links and edges of documents go, and with ``registry`` the documents; entities stay. ``ids``: id."""
         chunks = self.table("chunks").join(ids.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi").select("id")
-        left = cascade({"embeddings": (self.table("embeddings"), "chunk_id"), "entity_chunks": (self.table("entity_chunks"), "chunk_id"), "relationships": (self.table("relationships"), "source_chunk_id")}, chunks)
+        left = cascade({"embeddings": (self.table("embeddings"), "chunk_id"), "chunk_terms": (self.table("chunk_terms"), "chunk_id"), "entity_chunks": (self.table("entity_chunks"), "chunk_id"), "relationships": (self.table("relationships"), "source_chunk_id")}, chunks)
         left |= cascade({"images": (self.table("images"), "document_id"), "chunks": (self.table("chunks"), "document_id")} | ({"documents": (self.table("documents"), "id")} if registry else {}), ids)
         # tables that depend on chunks come before them: a failure in between leaves no dangling rows
-        for name in ("embeddings", "entity_chunks", "relationships", "images", "chunks", "documents"):
+        for name in ("embeddings", "chunk_terms", "entity_chunks", "relationships", "images", "chunks", "documents"):
             if name in left:
                 self.replace(name, left[name])
 
+    def document(self, path: str | None = None, id: int | None = None) -> DataFrame:  # noqa: A002
+        """The document of a path or an id; the filter goes down to the files."""
+        docs = self.table("documents")
+        return docs.where(F.col("path") == path) if path is not None else docs.where(F.col("id") == id)
+
+    def chunks_of(self, document_id: int) -> DataFrame:
+        """The chunks of a document by position."""
+        return self.table("chunks").where(F.col("document_id") == document_id).orderBy("position_in_doc")
+
     def stats(self) -> DataFrame:
         return counts({t: self.table(t) for t in ("documents", "chunks", "embeddings", "entities", "relationships", "communities")})

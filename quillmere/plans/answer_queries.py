@@ -114,13 +114,43 @@ def found_answers(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", E.found(F.col("text")).alias("found"))
 
 
-@query()
+def _cited(p: str) -> str:
+    return f"list_transform(range(1, len(regexp_extract_all(answer, '{p}', 0)) + 1), lambda i: struct_pack(t := {D.trim(f"regexp_extract_all(answer, '{p}', 0)[i]")}, r := regexp_extract_all(answer, '{p}', 1)[i]))"
+
+
+_BY = "list_filter(sources, lambda s: {})[1].chunk_id"
+_NUMBER = "TRY_CAST(regexp_extract(c.r, '^(\\d{1,9})', 1) AS INT)"
+_MATCH = f"""coalesce({_BY.format("contains(lower(s.filename), lower(c.r))")}, {_BY.format("s.heading <> '' AND contains(lower(s.heading), lower(c.r))")}, {_BY.format(f"{_NUMBER} > 0 AND s.page_number = {_NUMBER}")},
+ CASE WHEN {_NUMBER} > 0 AND {_NUMBER} <= len(sources) THEN sources[{_NUMBER}].chunk_id END)"""
+_USED = f"(s.filename <> '' AND contains(low, lower(s.filename))) OR (s.heading <> '' AND contains(low, lower(s.heading))) OR (len({D.fields('s.content')}) > 5 AND contains(low, lower(array_to_string({D.fields('s.content')}[1:5], ' '))))"
+_LENGTH = "CASE WHEN w < 10 THEN 0.2::DOUBLE WHEN w < 30 THEN 0.5::DOUBLE WHEN w < 100 THEN 0.8::DOUBLE WHEN w < 500 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END"
+_STEADY = f"greatest(0, 1 - 0.15::DOUBLE * {D.count_of('low', T.CONTRADICTIONS)} - 0.2::DOUBLE * {D.count_of('low', T.UNCERTAIN)})"
+_COMPOSITE = f"0.3::DOUBLE * (len(list_filter(sources[1:5], lambda s: {_USED}))::DOUBLE / len(sources[1:5])) + 0.3::DOUBLE * CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE v::DOUBLE / n END + 0.25::DOUBLE * {_STEADY} + 0.15::DOUBLE * {_LENGTH}"
+
+
+@query(f"""
+WITH {_ANSWERS}, c1 AS (SELECT *, list_concat({', '.join(_cited(p) for p in E.CITED)}) AS found FROM base),
+c2 AS (SELECT *, list_filter(found, lambda c, i: list_position(list_transform(found, lambda x: x.t), c.t) = i) AS once FROM c1),
+c3 AS (SELECT *, len(once) AS n, len(list_filter(once, lambda c: {_MATCH} IS NOT NULL)) AS v, {D.n_words('answer')} AS w FROM c2)
+SELECT query_id, {_clamp(_COMPOSITE)} AS confidence, n::INT AS citations, v::INT AS verified FROM c3
+""")
 def composite_confidence(spark, sf):
-    """Confidence from coverage, citations, consistency and length, with the citations themselves; held against hand-computed cases in the tests."""
-    return answers(spark, sf).select("query_id", E.composite_confidence(F.col("answer"), F.col("sources")).alias("confidence"), E.citations(F.col("answer"), F.col("sources")).alias("citations"))
+    """Confidence from coverage, citations, consistency and length, with the numbers of citations and of verified ones."""
+    made = answers(spark, sf).select("query_id", E.composite_confidence(F.col("answer"), F.col("sources")).alias("confidence"), E.citations(F.col("answer"), F.col("sources")).alias("c"))
+    return made.select("query_id", "confidence", F.size("c").alias("citations"), F.size(F.filter("c", lambda c: c["verified"])).alias("verified"))
 
 
-@query()
+def _answer_words(x: str) -> str:
+    return rf"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{Nd}}]+'), lambda w: strlen(w) >= 4 AND NOT list_contains({D.lst(T.SNIPPET_STOPS)}, w)))"
+
+
+@query(f"""
+WITH {_ANSWERS}, a AS (SELECT query_id, {_answer_words('answer')} AS words, unnest(sources) AS s, generate_subscripts(sources, 1) - 1 AS rank FROM ans),
+b AS (SELECT query_id, rank, s.chunk_id AS chunk_id, words, {D.sentences('s.content')} AS ss FROM a), c AS (SELECT *, list_transform(ss, lambda x: len(list_intersect({_answer_words('x')}, words))) AS sc FROM b),
+e AS (SELECT *, coalesce(list_max(sc), 0) AS top, list_position(sc, list_max(sc)) AS i FROM c), f AS (SELECT *, ss[i] AS own, coalesce(sc[i + 1], 0) AS after, CASE WHEN i > 1 THEN sc[i - 1] ELSE 0 END AS before FROM e),
+g AS (SELECT *, CASE WHEN after >= before AND after > 0 THEN own || ' ' || ss[i + 1] WHEN before > 0 THEN ss[i - 1] || ' ' || own END AS pair FROM f)
+SELECT query_id, rank::INT AS rank, chunk_id, CASE WHEN top = 0 THEN '' WHEN strlen(own) < 300 AND strlen(pair) <= 300 THEN pair ELSE own END AS snippet FROM g
+""")
 def snippets(spark, sf):
     """The part of every source that its answer is from."""
     own = answers(spark, sf).select("query_id", T.answer_words(F.col("answer")).alias("words"), F.posexplode("sources").alias("rank", "s"))

@@ -179,3 +179,34 @@ def embedding_texts(spark, sf):
     chunks = paragraph_chunks(spark, sf).withColumn("heading", F.col("lang"))
     return embedding.embed(chunks, embedding.Deterministic()).select("chunk_id", "embedding", "error")
 
+
+@query(f"""
+WITH {_PARAS}, w AS (SELECT chunk_id, CASE WHEN lang <> '' THEN lang || ': ' || content ELSE content END AS w FROM chunks),
+h AS (SELECT chunk_id, w, left(w, coalesce(list_max(list_filter(range(1, 101), lambda i: strlen(left(w, i)) <= 100)), 0)) AS head FROM w)
+SELECT chunk_id, CASE WHEN strlen(w) <= 100 THEN w ELSE regexp_replace(head, ' [^ ]*$', '') END AS text FROM h
+""")
+def embedding_cut(spark, sf):
+    """Texts as they are embedded, cut at a hundred bytes, as the production bound would cut none of these."""
+    from quillmere.operators import embedding
+
+    chunks = paragraph_chunks(spark, sf)
+    return chunks.select("chunk_id", embedding.embedding_text(F.col("lang"), F.col("content"), 100).alias("text"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def windowed_counts(spark, sf):
+    """Events by hour and kind, as a batch."""
+    from quillmere.streaming import ingest
+
+    return ingest.windowed_counts(table(spark, sf, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""
+WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, total FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+""")
+def windowed_stream(spark, sf):
+    """The same as a stream that is read to its end: the windows that the watermark has closed."""
+    from quillmere.streaming import ingest
+
+    return ingest.closed_windows(spark, sf, "events.parquet", table(spark, sf, "events").schema).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))

@@ -179,16 +179,32 @@ def section_classify(spark, sf):
     return docs.select("doc_id", rules.is_heading(line).alias("is_heading"), rules.heading_level(line).cast("bigint").alias("level"), rules.section_type(line, F.col("text")).alias("section_type"))
 
 
+#: Documents as specifications: the corpus has no normative words, clause numbers, definitions or references, so every text gets some, by its number.
+_SPEC = """spec AS (SELECT doc_id, doc_id % 9 + 1 || '.' || doc_id % 4 || ' Scope of clause ' || doc_id % 7 || chr(10) || 'The unit ' || CASE doc_id % 5 WHEN 0 THEN 'shall  not' WHEN 1 THEN 'Must' WHEN 2 THEN 'should' WHEN 3 THEN 'may' ELSE 'is required to' END
+ || ' fit section ' || doc_id % 8 || '.2 (see ' || doc_id % 3 || '.1), annex B and ISO 9001:2015 or IEEE Std 802.' || doc_id % 6 || chr(10) || '"Term ' || doc_id % 11 || '" ' || CASE WHEN doc_id % 2 = 0 THEN 'means' ELSE 'shall mean' END || ' a thing of clause 4' || chr(10)
+ || 'Greatest Load: ' || doc_id || chr(10) || doc_id % 5 || '.1. A numbered line' || chr(10) || replace(text, chr(10), chr(10) || '2.' || doc_id % 3 || '.4 ') AS text FROM documents)"""
+
+
+def specifications(spark, sf):
+    n = F.col("doc_id")
+    number = lambda m: (n % m).cast("string")
+    verb = F.when(n % 5 == 0, "shall  not").when(n % 5 == 1, "Must").when(n % 5 == 2, "should").when(n % 5 == 3, "may").otherwise("is required to")
+    parts = [(n % 9 + 1).cast("string"), ".", number(4), " Scope of clause ", number(7), "\nThe unit ", verb, " fit section ", number(8), ".2 (see ", number(3), ".1), annex B and ISO 9001:2015 or IEEE Std 802.", number(6)]
+    parts += ['\n"Term ', number(11), '" ', F.when(n % 2 == 0, "means").otherwise("shall mean"), " a thing of clause 4\nGreatest Load: ", n.cast("string"), "\n", number(5), ".1. A numbered line\n", F.replace("text", F.lit("\n"), F.concat(F.lit("\n2."), number(3), F.lit(".4 ")))]
+    return table(spark, sf, "documents").select("doc_id", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+
+
 @query(f"""
-WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+WITH {_SPEC}, t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM spec),
 k AS (SELECT doc_id, n, {D.trim('line')} AS line, upper(regexp_extract({D.trim('line')}, '(?i)\\b(shall\\s+not|must\\s+not|should\\s+not|shall|must|should|required|recommended|may|optional)\\b', 1)) AS keyword FROM t)
 SELECT doc_id, n AS line_number, line, keyword, CASE WHEN keyword IN ('SHOULD', 'SHOULD NOT', 'RECOMMENDED') THEN 'recommended' WHEN keyword IN ('MAY', 'OPTIONAL') THEN 'optional' ELSE 'mandatory' END AS level FROM k WHERE keyword <> ''
 """)
 def requirement_lines(spark, sf):
-    return rules.requirements(table(spark, sf, "documents"), "doc_id", "text")
+    return rules.requirements(specifications(spark, sf), "doc_id", "text")
 
 
 _LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"
+_SPEC_LINES = f"{_SPEC}, " + _LINES.replace("FROM documents", "FROM spec")
 _SEPARATOR = "regexp_matches(replace(replace(replace(trim(line), '|', ''), ' ', ''), ':', ''), '^-{3,}$')"
 
 
@@ -202,36 +218,42 @@ def table_blocks(spark, sf):
 
 
 @query(f"""
-WITH {_LINES}, c AS (SELECT doc_id, n, regexp_extract({D.trim('line')}, '^(\\d+(?:\\.\\d+)+)\\s', 1) AS clause, strlen(line) + 1 AS bytes FROM l),
+WITH {_SPEC_LINES}, c AS (SELECT doc_id, n, regexp_extract({D.trim('line')}, '^(\\d+(?:\\.\\d+)+)\\s', 1) AS clause, strlen(line) + 1 AS bytes FROM l),
 o AS (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_bytes FROM c)
 SELECT doc_id, n AS line_number, clause, length(clause) - length(replace(clause, '.', '')) + 1 AS depth, offset_bytes FROM o WHERE clause <> ''
 """)
 def clause_boundaries(spark, sf):
-    return rules.clauses(table(spark, sf, "documents"), "doc_id", "text")
+    return rules.clauses(specifications(spark, sf), "doc_id", "text")
 
 
 @query(f"""
-WITH {_LINES}, d AS (SELECT doc_id, n, {D.trim('line')} AS line FROM l)
+WITH {_SPEC_LINES}, d AS (SELECT doc_id, n, {D.trim('line')} AS line FROM l)
 SELECT doc_id, n AS line_number, line AS definition, CASE WHEN regexp_matches(line, '{rules.MEANS}') THEN regexp_extract(line, '{rules.MEANS}', 1) ELSE {D.trim(f"regexp_extract(line, '{rules.COLON}', 1)")} END AS term
 FROM d WHERE regexp_matches(line, '{rules.MEANS}') OR regexp_matches(line, '{rules.COLON}')
 """)
 def definition_lines(spark, sf):
-    return rules.definitions(table(spark, sf, "documents"), "doc_id", "text")
+    return rules.definitions(specifications(spark, sf), "doc_id", "text")
 
 
 @query(f"""
-WITH x AS (SELECT doc_id, 'license' AS kind, unnest(regexp_extract_all(text, '(?i)\\bversion\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target FROM documents
-{' '.join(f"UNION ALL SELECT doc_id, '{k}', unnest(regexp_extract_all(text, '{p}', 1)) FROM documents" for k, p in rules.CROSS_REFERENCES.items())})
+WITH {_SPEC}, x AS (SELECT doc_id, 'license' AS kind, unnest(regexp_extract_all(text, '(?i)\\bversion\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target FROM spec
+{' '.join(f"UNION ALL SELECT doc_id, '{k}', unnest(regexp_extract_all(text, '{p}', 1)) FROM spec" for k, p in rules.CROSS_REFERENCES.items())})
 SELECT doc_id, kind, target, count(*) AS mentions FROM x GROUP BY ALL
 """)
 def cross_reference_counts(spark, sf):
-    return rules.reference_counts(table(spark, sf, "documents"), "doc_id", "text", {"license": r"(?i)\bversion\s+(\d+(?:\.\d+)*)", **rules.CROSS_REFERENCES})
+    return rules.reference_counts(specifications(spark, sf), "doc_id", "text", {"license": r"(?i)\bversion\s+(\d+(?:\.\d+)*)", **rules.CROSS_REFERENCES})
 
 
-@query()
+def _offsets_sql(kind: str, pattern: str, group: int) -> str:
+    # a match stands behind the pieces between matches, and the matches, before it
+    return f"""SELECT doc_id, '{kind}' AS kind, m[i] AS match, t[i] AS target, (list_sum(list_transform(s[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: strlen(x))), 0))::BIGINT AS "offset"
+FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}', 0) AS m, regexp_extract_all(text, '{pattern}', {group}) AS t, regexp_split_to_array(text, '{pattern}') AS s FROM spec))"""
+
+
+@query(f"WITH {_SPEC} " + " UNION ALL ".join([_offsets_sql(k, p, 1) for k, p in rules.CROSS_REFERENCES.items()] + [_offsets_sql(f"standard:{k}", p, 0) for k, p in rules.STANDARDS.items()]))
 def reference_offsets(spark, sf):
-    """Cross-references and standards with byte offsets; SQL has no find-all with offsets."""
-    return rules.references(table(spark, sf, "documents"), "doc_id", "text")
+    """Cross-references and standards with byte offsets."""
+    return rules.references(specifications(spark, sf), "doc_id", "text")
 
 
 @query(f"""
@@ -262,13 +284,13 @@ def key_phrases(spark, sf):
 
 
 @query(f"""
-WITH {_LINES}, b AS (SELECT *, regexp_matches({D.trim('line')}, '^\\d+(\\.\\d+)+\\s') AS begins FROM l),
+WITH {_SPEC_LINES}, b AS (SELECT *, regexp_matches({D.trim('line')}, '^\\d+(\\.\\d+)+\\s') AS begins FROM l),
 p AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY n)::BIGINT AS part FROM b),
 m AS (SELECT doc_id, part, string_agg(line, chr(10) ORDER BY n) AS content FROM p GROUP BY ALL)
 SELECT doc_id, part, {D.trim('content')} AS content FROM m WHERE {D.trim('content')} <> ''
 """)
 def split_clauses(spark, sf):
-    return rules.split_by_clauses(table(spark, sf, "documents"), "doc_id", "text")
+    return rules.split_by_clauses(specifications(spark, sf), "doc_id", "text")
 
 
 @query(f"""
@@ -284,11 +306,11 @@ def table_fragments(spark, sf):
 
 
 @query(f"""
-WITH {_LINES}, x AS (SELECT doc_id, n AS line_number, regexp_extract({D.trim('line')}, '^(\\d+(?:\\.\\d+)*)\\.\\s', 1) AS number FROM l)
+WITH {_SPEC_LINES}, x AS (SELECT doc_id, n AS line_number, regexp_extract({D.trim('line')}, '^(\\d+(?:\\.\\d+)*)\\.\\s', 1) AS number FROM l)
 SELECT doc_id, line_number, number, length(number) - length(replace(number, '.', '')) + 1 AS depth FROM x WHERE number <> ''
 """)
 def numbered_lines(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = specifications(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     found = rows.select("doc_id", F.col("n").cast("bigint").alias("line_number"), rules.numbering(F.col("line")).alias("number")).where("number is not null")
     return found.withColumn("depth", rules.depth(F.col("number")).cast("bigint"))
 

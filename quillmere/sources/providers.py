@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -81,6 +82,11 @@ class OpenAIStyle:
     def chat(self, prompt: str) -> str:
         return self.post("/chat/completions", {"model": self.model, "messages": [{"role": "user", "content": prompt}]})["choices"][0]["message"]["content"]
 
+    def see(self, prompt: str, images: list[tuple[str, bytes]]) -> str:
+        """A reply to a prompt with images (MIME type, bytes), sent as data URLs."""
+        parts = [{"type": "text", "text": prompt}] + [{"type": "image_url", "image_url": {"url": f"data:{mime};base64,{base64.b64encode(data).decode()}"}} for mime, data in images]
+        return self.post("/chat/completions", {"model": self.model, "messages": [{"role": "user", "content": parts}]})["choices"][0]["message"]["content"]
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         rows = self.post("/embeddings", {"model": self.embedding_model or self.model, "input": texts})["data"]
         return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillmere.engine import Engine
+from quillmere.operators.lineage import place
 from quillmere.sources import files as sources
 
 
@@ -39,3 +40,14 @@ def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type
     timed = events.withWatermark(time, delay) if events.isStreaming else events
     made = timed.groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     return made.select(F.col("window.start").alias("start"), kind, "n", "total")
+
+
+def closed_windows(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """``windowed_counts`` of files of a folder as a stream that is read to its end; the windows that the watermark has closed, from a table in the shared folder."""
+    # a watermark needs a point in time, not a date and time without zone
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    home = place(spark, "windows")
+    made = windowed_counts(events)
+    query = made.writeStream.format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{home}/rows")
