@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,45 +115,45 @@ def _masks(b: list) -> dict:
 
 
 def _lcs(a: list, b: list, store_bits: int) -> list[int]:
-    """Bit-parallel rows with traceback; beyond ``store_bits`` of rows, halves by Hirschberg's method."""
+    """Bit-parallel rows with traceback: bit j of the row after i lines is 0 where line j of ``b`` makes the subsequence longer.
+
+    Rows that need more than ``store_bits`` in all are kept at every so many lines only and made again from there, which changes nothing in the result.
+    """
     if not a or not b:
         return []
-    if len(a) * len(b) > store_bits and len(a) > 1:
-        half = len(a) // 2
-        left, right = _row(a[:half], b), _row(a[half:][::-1], b[::-1])
-        j = max(range(len(b) + 1), key=lambda x: (left[x] + right[len(b) - x], -x))
-        return _lcs(a[:half], b[:j], store_bits) + [half + i for i in _lcs(a[half:], b[j:], store_bits)]
     full = (1 << len(b)) - 1
-    masks, v, rows = _masks(b), full, []
-    for x in a:
+    masks = _masks(b)
+
+    def following(v: int, x) -> int:
         u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    i, j, out = len(a), len(b), []
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
-            if not (i and not rows[i - 1] >> (j - 1) & 1):
-                out.append(i)
+        return ((v + u) | (v - u)) & full
+
+    step = len(a) if len(a) * len(b) <= store_bits else isqrt(len(a)) + 1
+    v, marks = full, []
+    for i, x in enumerate(a):
+        if i % step == 0:
+            marks.append(v)
+        v = following(v, x)
+    j, out = len(b), []
+    for block in range(len(marks) - 1, -1, -1):
+        if not j:
+            break
+        start = block * step
+        rows = [marks[block]]
+        for x in a[start : start + step]:
+            rows.append(following(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
                 j -= 1
+            else:
+                i -= 1
+                if rows[i] >> (j - 1) & 1:
+                    out.append(start + i)
+                    j -= 1
     return out[::-1]
 
 
-def _row(a: list, b: list) -> list[int]:
-    """LCS lengths of ``a`` with every prefix of ``b``."""
-    full = (1 << len(b)) - 1
-    masks, v = _masks(b), full
-    for x in a:
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    out = [0]
-    for bit in bin(~v & full)[2:].zfill(len(b))[::-1]:
-        out.append(out[-1] + (bit == "1"))
-    return out
-
-
 def prefix(a: str, b: str) -> int:
     """Characters at the start that two strings share."""
     n = min(len(a), len(b))
