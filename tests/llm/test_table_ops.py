@@ -203,7 +203,9 @@ def test_shared_is_a_longest_common_subsequence():
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        for bits in (1, 40, 1 << 28):
+        # rows that are made again give the very same lines
+        assert pagediff.shared(a, b, 1) == pagediff.shared(a, b, 40) == pagediff.shared(a, b)
+        for bits in (1, 1 << 28):
             hit = pagediff.shared(a, b, bits)
             assert len(hit) == table[-1][-1] and hit == sorted(set(hit)) and is_subsequence([a[i] for i in hit], b)
 
@@ -248,21 +250,21 @@ def test_surrogates_are_distinct_and_not_real(spark, sf):
     real = defaultdict(set)
     image: dict = {}
     for d, t in before.items():
-        old = list(surrogates.entities(t))
+        old = surrogates.scan(t)[0]
         if not old:
             assert after[d] == t
             continue
         for _, _, values, _ in old:
             for k, v in values:
                 real[k].add(v)
-    odd = {(r["kind"], r["value"]): r["attempt"] for r in surrogates.exceptions(docs.selectExpr("text AS t"), surrogates.KEY).collect()}
+    odd = {(r["kind"], r["value"]): (r["attempt"], r["gender"]) for r in surrogates.exceptions(docs.selectExpr("text AS t"), surrogates.KEY).collect()}
     f = surrogates.Feistel(surrogates.KEY)
     for k, vs in real.items():
         for v in vs:
-            s = surrogates.surrogate(f, k, v, odd.get((k, v), 0))
+            s = surrogates.surrogate(f, k, v, *odd.get((k, v), (0, "u")))
             assert s not in vs and image.setdefault((k, s), v) == v
     assert sum(map(len, real.values())) > 0
-    assert not any(v in after[d] for d, t in before.items() for _, _, values, _ in surrogates.entities(t) for k, v in values if k in ("ssn", "card", "secret") and len(v) > 8)
+    assert not any(v in after[d] for d, t in before.items() for _, _, values, _ in surrogates.scan(t)[0] for k, v in values if k in ("ssn", "card", "secret") and len(v) > 8)
 
 
 def test_permutation_of_small_domains():
@@ -337,7 +339,6 @@ def test_pipeline(spark, sf):
     good = set(labels[labels.quality == 1].doc_id)
     after = {r["doc_id"] for r in P.STAGES[0][1](spark, start, sf).select("doc_id").collect()}
     assert len(good & after) >= 0.97 * len(good)
-    assert spark.createDataFrame(start.limit(0).toArrow()).count() == 0
 
 
 def test_pipeline_keeps_the_mix(spark, sf):
