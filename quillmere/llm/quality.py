@@ -167,7 +167,8 @@ def threshold(scored: DataFrame, labels: DataFrame, id_column: str, label_column
 def score_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", quantile: float = 0.002, fit_rows: int = 12_000, pairs: int = 100_000) -> DataFrame:
     """(id, score, threshold, keep) of every document."""
     model = train(docs, labels, id_column, text_column, label_column, fit_rows, pairs)
-    scored = C.pick(docs, k=id_column, t=text_column).select("k", _udf(model)("t").alias("score"))
+    # scores are computed once and written: an id and a number a row
+    scored = C.cut(C.pick(docs, k=id_column, t=text_column).select("k", _udf(model)("t").alias("score")), "scores")
     limit = threshold(scored, labels, id_column, label_column, quantile) if model is not None else float("-inf")
     return scored.select(F.col("k").alias(id_column), "score", F.lit(limit).alias("threshold"), (F.col("score") >= F.lit(limit)).alias("keep"))
 
@@ -177,8 +178,10 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     model = train(docs, labels, id_column, text_column, label_column, fit_rows, pairs)
     if model is None:
         return docs
+    # only the good documents' scores make the threshold, so only they are scored ahead of the rest
+    good = C.pick(labels, k=id_column, y=label_column).where("y > 0 and k is not null").select("k").distinct()
     score = _udf(model)
-    scored = C.pick(docs, k=id_column, t=text_column).select("k", score("t").alias("score"))
-    limit = threshold(scored, labels, id_column, label_column, quantile)
+    known = C.pick(docs, k=id_column, t=text_column).join(good, "k", "left_semi").select("k", score("t").alias("score"))
+    limit = threshold(known, labels, id_column, label_column, quantile)
     rows = C.wrapped(docs, t=text_column)
     return C.unwrapped(rows.where(score("t") >= F.lit(limit)), docs)
