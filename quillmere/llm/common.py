@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +56,39 @@ def lean(run):
     return trimmed
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope():
+    """Tables that ``cut`` writes inside are deleted at the end, but for those it is told to keep: for steps whose result has been written by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        spark = SparkSession.active()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut lineage in a way that outlives executors: write to the shared checkpoint folder and read again.
 
-    The folder is the one of ``spark.checkpoint.dir``.  Only where no folder is set, as in local tests, is one
-    made beside the session's warehouse.
+    The folder is the one of ``spark.checkpoint.dir``.  In local mode, as in tests, one beside the session's warehouse stands in where none is set.
     """
     spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -219,40 +241,37 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def spread_rank(df: DataFrame, key: str, order: list[str], counts: dict, rows_per_cell: int = 50_000) -> DataFrame:
     """``df`` with ``q_rank``: the 0-based place of each row within its key, by a hash of ``order`` and then ``order``.
 
-    ``counts`` has the rows of every key.  A hot key never meets one task: each key is cut into cells, which are
+    ``counts`` has the rows of every key of more than ``rows_per_cell``; others may be in it.  A hot key never meets one task: it is cut into cells, which are
     ranges of the hash, and a row's place is the rows of the cells before plus its place in its own cell.  ``df`` is shuffled
-    once, by cell; the tables of cells are broadcast while they are small.  Rows that agree in everything get different places.
+    once, by key and cell; the tables of hot keys and their cells are broadcast while they are small.  Rows that agree in everything get different places.
     """
     from pyspark.sql import Window as W
 
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
-    cells = [(k, -(-n // rows_per_cell)) for k, n in counts.items()]
+    cells = [(k, -(-n // rows_per_cell)) for k, n in counts.items() if n > rows_per_cell]
     small = sum(c for _, c in cells) < 1_000_000
     hint = F.broadcast if small else (lambda x: x)
     sized = spark.createDataFrame(cells, f"qk {kind}, q_cells bigint")
-    celled = df.join(hint(sized), F.col(key).eqNullSafe(F.col("qk"))).drop("qk").withColumn("q_salt", F.shiftrightunsigned(F.xxhash64(*order), 33))
-    celled = celled.withColumn("q_cell", F.floor(F.col("q_salt") * F.col("q_cells") / F.lit(float(1 << 31)))).drop("q_cells")
-    inside = celled.groupBy(key, "q_cell").agg(F.count(F.lit(1)).alias("q_in"))
+    celled = df.join(hint(sized), F.col(key).eqNullSafe(F.col("qk")), "left").drop("qk").withColumn("q_salt", F.shiftrightunsigned(F.xxhash64(*order), 33))
+    celled = celled.withColumn("q_cell", F.floor(F.col("q_salt") * F.coalesce("q_cells", F.lit(1)) / F.lit(float(1 << 31))))
+    inside = celled.where("q_cells is not null").groupBy(key, "q_cell").agg(F.count(F.lit(1)).alias("q_in"))
     before = F.coalesce(F.sum("q_in").over(W.partitionBy(key).orderBy("q_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = inside.select(F.col(key).alias("qk"), F.col("q_cell").alias("qc"), before.alias("q_before"))
-    placed = celled.withColumn("q_place", F.row_number().over(W.partitionBy(key, "q_cell").orderBy("q_salt", *order)))
-    placed = placed.join(hint(inside), F.col(key).eqNullSafe(F.col("qk")) & (F.col("q_cell") == F.col("qc")))
-    return placed.withColumn("q_rank", (F.col("q_place") - 1 + F.col("q_before")).cast("long")).drop("q_salt", "q_cell", "q_place", "q_before", "qc", "qk")
+    placed = celled.drop("q_cells").withColumn("q_place", F.row_number().over(W.partitionBy(key, "q_cell").orderBy("q_salt", *order)))
+    placed = placed.join(hint(inside), F.col(key).eqNullSafe(F.col("qk")) & (F.col("q_cell") == F.col("qc")), "left")
+    return placed.withColumn("q_rank", (F.col("q_place") - 1 + F.coalesce("q_before", F.lit(0))).cast("long")).drop("q_salt", "q_cell", "q_place", "q_before", "qc", "qk")
 
 
 # ------------------------------------------------------------------------------------------------ union-find
 
 
-def shared_cells(batches):
-    """(bucket, node) of the cells of a partition that hold more than one node; cells of equal members once. All rows of a cell are in one partition."""
-    cell, node = [], []
-    for batch in batches:
-        cell.append(batch.column(0).to_numpy())
-        node.append(batch.column(1).to_numpy())
-    if not cell:
-        return
-    cell, node = np.concatenate(cell), np.concatenate(node)
+#: Nodes of one cell that a task holds at once.
+CELL_NODES = 1 << 20
+
+
+def _cells(cell: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(bucket, node) of the cells of two nodes and more; all rows of a cell are there."""
     order = np.lexsort((node, cell))
     cell, node = cell[order], node[order]
     new = np.ones(len(cell), bool)
@@ -262,12 +281,96 @@ def shared_cells(batches):
     size = np.diff(np.append(first, len(cell)))
     many = size > 1
     if not many.any():
-        return
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(0, np.int64)), pa.array(np.zeros(0, np.int64))], names=["bucket", "node"])
     # a name that depends on the members only, so that equal cells are one bucket
     total = np.add.reduceat(mix(node.view(np.uint64)), first)
     keep = np.repeat(many, size)
     name = np.repeat(mix(total + size.astype(np.uint64)).view(np.int64), size)[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(node[keep])], names=["bucket", "node"])
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(node[keep])], names=["bucket", "node"])
+
+
+def shared_cells(batches):
+    """(bucket, node) of the cells that hold more than one node; cells of equal members are one bucket, but for those beyond ``CELL_NODES``.
+
+    Rows come sorted by cell, all of a cell in one partition.  What is held is a batch and the cell that may go on; a cell that grows beyond ``CELL_NODES``
+    is passed on as it comes, under its own name.
+    """
+    cell, node, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def own(node: np.ndarray) -> pa.RecordBatch:
+        name = mix(np.array([passing], np.int64).view(np.uint64) ^ U64(0x5851F42D4C957F2D)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, len(node))), pa.array(node)], names=["bucket", "node"])
+
+    for batch in batches:
+        more, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if passing is not None:
+            stop = int(np.searchsorted(more, passing, side="right"))
+            if stop:
+                yield own(nodes[:stop])
+            more, nodes = more[stop:], nodes[stop:]
+            if not len(more):
+                continue
+            passing = None
+        cell, node = np.concatenate([cell, more]), np.concatenate([node, nodes])
+        if not len(cell):
+            continue
+        tail = int(np.searchsorted(cell, cell[-1]))
+        if tail:
+            yield _cells(cell[:tail], node[:tail])
+            cell, node = cell[tail:], node[tail:]
+        if len(cell) > CELL_NODES:
+            passing = int(cell[-1])
+            yield own(node)
+            cell, node = cell[:0], node[:0]
+    if len(cell):
+        yield _cells(cell, node)
+
+
+#: Members of a bucket that are compared in one task.
+BLOCK_MEMBERS = 8_000
+
+
+def blocked(members: DataFrame, most: int = BLOCK_MEMBERS) -> DataFrame:
+    """``members`` (bucket, h), its buckets of more than ``most`` members replaced by one bucket for every two of their blocks.
+
+    Any two members of a bucket meet in some block pair, so no link is lost, and no task holds more than two blocks.
+    """
+    # buckets that are so large are few: each has thousands of members
+    hot = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    marked = members.join(hot, "bucket", "left").withColumn("i", F.pmod(F.xxhash64("h", F.lit(17)), F.coalesce("blocks", F.lit(1)).cast("bigint")).cast("int"))
+    # block i meets every block: (i, j) and (j, i) are one pair; with two blocks and more, pairs of different blocks cover what is inside them
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))
+    pair = lambda j: F.xxhash64("bucket", F.least(F.col("i"), j), F.greatest(F.col("i"), j))
+    cells = F.when(F.coalesce("blocks", F.lit(1)) < 2, F.array("bucket")).otherwise(F.transform(others, pair))
+    return marked.select(F.explode(cells).alias("bucket"), "h")
+
+
+#: Bits of a filter of hashes, and rows of it.
+FILTER_BITS, FILTER_ROW = 27, 15
+
+
+class Filter:
+    """A set of 64-bit hashes as one bit each by their first 27 bits: it may let others pass, and never holds one back. 16 MB, however many there are."""
+
+    def __init__(self, hashes: DataFrame, column: str = "h"):
+        spark = hashes.sparkSession
+        place = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+        rows = hashes.select(F.shiftright(place, FILTER_ROW).alias("row"), (place.bitwiseAND((1 << FILTER_ROW) - 1) + 1).alias("bit")).groupBy("row").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        width = 1 << FILTER_ROW - 3
+        bits = np.zeros((1 << FILTER_BITS - FILTER_ROW, width), np.uint8)
+        # 4096 rows of 4 KB at most
+        for r in rows.toLocalIterator():
+            bits[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+        self.shared = spark.sparkContext.broadcast(bits.tobytes())
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Whether a hash (uint64) may be in the set."""
+        bits = np.frombuffer(self.shared.value, np.uint8)
+        place = (h >> U64(64 - FILTER_BITS)).astype(np.int64)
+        return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+# ------------------------------------------------------------------------------------------------ components
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@
    Two lines of Jaccard similarity 0.8 share a bucket with probability 0.985.
 2. Buckets of two or more lines are candidates.  Within a bucket, texts are compared by exact Jaccard of their shingle sets, by
    a breadth-first search that compares every line to those it isn't yet connected to.  Buckets with the same members are handled once.  There
-   is no cap on a bucket.
+   is no cap on a bucket: a large one is cut into blocks, and every two blocks meet in a task of their own.
 3. Verified pairs go through distributed union-find; of each component the line with the first place stays, and every other
    occurrence of any of its lines is deleted.
 
@@ -14,7 +14,8 @@ their deleted line numbers.
 
 Defined results: lines of white space only are left alone and never deleted; a line shorter than a shingle is its only shingle, so it
 matches equal lines only; a null text stays null; a null id is placed after all ids, by a hash of the text; rows that agree in id and
-text are one document, so a line that stays in it stays in each of these rows; columns besides id and text are carried along.
+text are one document, so a line that stays in it stays in each of these rows; rows of one id and different texts are different documents, the one of lesser text
+hash first; an empty table gives an empty result; columns besides id and text are carried along.
 """
 
 from __future__ import annotations
@@ -78,19 +79,19 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int = BANDS, rows: i
 
 
 def _scan(bands: int, rows: int):
-    """Rows of (line hash, document key, line number, count, band keys): lines of a batch, equal ones once."""
+    """Rows of (line hash, document key, text hash, line number, count, band keys): lines of a batch, equal ones once."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0)
-            for a, b, raw, off in C.chunks(batch.column(1)):
+            keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, raw, off in C.chunks(batch.column(2)):
                 row, number, starts, ends = lines_of(raw, off)
                 if not len(row):
                     continue
                 h = C.span_hashes(raw, starts, ends)
                 # keys of a batch aren't sorted: first place by key, then number
-                own = np.asarray(keys[a:b].to_numpy(zero_copy_only=False), np.int64)[row]
-                order = np.lexsort((number, own, h))
+                own, mark = keys[a:b][row], marks[a:b][row]
+                order = np.lexsort((number, mark, own, h))
                 new = np.ones(len(order), bool)
                 new[1:] = h[order][1:] != h[order][:-1]
                 one = order[new]
@@ -100,7 +101,7 @@ def _scan(bands: int, rows: int):
                 hashes, first = shingle_hashes(raw, starts[one], ends[one])
                 packed = band_keys(hashes, first, bands, rows)
                 flat = pa.Array.from_buffers(pa.binary(8 * bands), len(one), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(own[one]), pa.array(number[one].astype(np.int32)), pa.array(count.astype(np.int64)), flat], names=["h", "k", "ln", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(own[one]), pa.array(mark[one]), pa.array(number[one].astype(np.int32)), pa.array(count.astype(np.int64)), flat], names=["h", "k", "v", "ln", "n", "bands"])
 
     return run
 
@@ -115,32 +116,43 @@ def _explode(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(h, len(keys) // len(h)))], names=["cell", "node"])
 
 
-def _places(batches):
-    """(line hash, document key, text hash, line number) of every line."""
-    for batch in batches:
-        keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, b, raw, off in C.chunks(batch.column(2)):
-            row, number, starts, ends = lines_of(raw, off)
-            if len(row):
-                h = C.span_hashes(raw, starts, ends).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[a:b][row]), pa.array(marks[a:b][row]), pa.array(number.astype(np.int32))], names=["h", "k", "v", "ln"])
+def _places(wanted: C.Filter):
+    """(line hash, document key, text hash, line number) of every line that may be wanted."""
 
+    def run(batches):
+        for batch in batches:
+            keys, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, raw, off in C.chunks(batch.column(2)):
+                row, number, starts, ends = lines_of(raw, off)
+                h = C.span_hashes(raw, starts, ends)
+                hit = np.flatnonzero(wanted(h))
+                if len(hit):
+                    row = row[hit]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), pa.array(keys[a:b][row]), pa.array(marks[a:b][row]), pa.array(number[hit].astype(np.int32))], names=["h", "k", "v", "ln"])
 
-def _texts(batches):
-    """(line hash, text) of the lines of a batch, equal ones once."""
-    for batch in batches:
-        for _, _, raw, off in C.chunks(batch.column(0)):
-            _, _, starts, ends = lines_of(raw, off)
-            if not len(starts):
-                continue
-            h = C.span_hashes(raw, starts, ends)
-            _, one = np.unique(h, return_index=True)
-            one.sort()
-            sizes = ends[one] - starts[one]
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            spot = np.arange(offsets[-1]) + np.repeat(starts[one] - offsets[:-1], sizes)
-            text = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw[spot].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), text], names=["h", "line"])
+    return run
+
+
+def _texts(wanted: C.Filter):
+    """(line hash, text) of the lines of a batch that may be wanted, equal ones once."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, raw, off in C.chunks(batch.column(0)):
+                _, _, starts, ends = lines_of(raw, off)
+                h = C.span_hashes(raw, starts, ends)
+                hit = np.flatnonzero(wanted(h))
+                if not len(hit):
+                    continue
+                _, one = np.unique(h[hit], return_index=True)
+                one = np.sort(hit[one])
+                sizes = ends[one] - starts[one]
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                spot = np.arange(offsets[-1]) + np.repeat(starts[one] - offsets[:-1], sizes)
+                text = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw[spot].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), text], names=["h", "line"])
+
+    return run
 
 
 def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -244,9 +256,9 @@ def _verify(least: float):
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(q_row, k, v): the row, its place key, and a hash of its text.
+    """(q_row, k, v, t): the row, its place key, a hash of its text, and the text.
 
-    The key is the id where it is a whole number; null ids, and ids of other types, get a hash beyond 2^62.
+    The key is the id where it is a whole number; null ids, and ids of other types, get a hash beyond 2^62, which is after all ids but those as great as that.
     """
     rows = C.wrapped(docs, k=id_column, t=text_column)
     mark = F.xxhash64("t")
@@ -255,39 +267,35 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.select("q_row", (F.coalesce(F.col("k").cast("bigint"), hashed) if whole else hashed).alias("k"), mark.alias("v"), "t")
 
 
-def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band_rows: int = ROWS, broadcast_rows: int = 4_000_000) -> DataFrame:
-    """(h, keep_k, keep_ln) of every line that occurs more than once or has a fuzzy copy: where its component's kept line stands.
+def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """(h, keep_k, keep_v, keep_ln) of every line that occurs more than once or has a fuzzy copy: where its component's kept line stands.
 
-    ``rows``: columns k (bigint) and t.  Hashes of candidate lines are broadcast while there are at most ``broadcast_rows`` (8 bytes
-    each), and joined by shuffle beyond.
+    ``rows``: columns k (bigint), v (bigint) and t.  Texts of lines are read again for candidates only: a filter of fixed size holds back nearly all others where they are,
+    and the join with the buckets all of them.
     """
     C.settle(rows.sparkSession)
-    pairs = rows.select("k", "t")
-    scanned = pairs.mapInArrow(C.lean(_scan(bands, band_rows)), "h bigint, k bigint, ln int, n bigint, bands binary")
-    lines = C.cut(scanned.groupBy("h").agg(F.min(F.struct("k", "ln")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
-    keys = lines.select("h", "bands").mapInArrow(C.lean(_explode), "cell bigint, node bigint").repartition("cell")
+    scanned = rows.select("k", "v", "t").mapInArrow(C.lean(_scan(bands, band_rows)), "h bigint, k bigint, v bigint, ln int, n bigint, bands binary")
+    lines = C.cut(scanned.groupBy("h").agg(F.min(F.struct("k", "v", "ln")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
+    keys = lines.select("h", "bands").mapInArrow(C.lean(_explode), "cell bigint, node bigint").repartition("cell").sortWithinPartitions("cell")
     # buckets with the same members are one
     members = C.cut(keys.mapInArrow(C.lean(C.shared_cells), "bucket bigint, node bigint").distinct().select("bucket", F.col("node").alias("h")), "buckets")
-    wanted = C.cut(members.select("h").distinct(), "candidate-lines")
-    small = wanted.count() <= broadcast_rows
-    texts = pairs.select("t").mapInArrow(C.lean(_texts), "h bigint, line string").join(F.broadcast(wanted) if small else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    grouped = members.join(texts, "h").select("bucket", "h", "line").repartition("bucket").sortWithinPartitions("bucket", "h")
+    texts = rows.select("t").mapInArrow(C.lean(_texts(C.Filter(members))), "h bigint, line string").groupBy("h").agg(F.first("line").alias("line"))
+    grouped = C.blocked(members).join(texts, "h").select("bucket", "h", "line").repartition("bucket").sortWithinPartitions("bucket", "h")
     edges = grouped.mapInArrow(C.lean(_verify(least)), "a bigint, b bigint")
     roots = C.components(edges, "lines-cc")
     # lines that are alone keep themselves and need no entry
     tied = lines.select("h", "first", "n").join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))
     kept = tied.groupBy("root").agg(F.min("first").alias("keep"))
-    out = C.cut(tied.join(kept, "root").select("h", F.col("keep.k").alias("keep_k"), F.col("keep.ln").alias("keep_ln")), "line-decisions")
+    out = C.cut(tied.join(kept, "root").select("h", F.col("keep.k").alias("keep_k"), F.col("keep.v").alias("keep_v"), F.col("keep.ln").alias("keep_ln")), "line-decisions")
     C.discard(lines)
     C.discard(members)
-    C.discard(wanted)
     return out
 
 
 def deletions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """(k, v, gone): line numbers to delete of every document that loses lines."""
-    places = rows.select("k", "v", "t").mapInArrow(C.lean(_places), "h bigint, k bigint, v bigint, ln int")
-    hit = places.join(decisions, "h").where("not (k = keep_k and ln = keep_ln)")
+    places = rows.select("k", "v", "t").mapInArrow(C.lean(_places(C.Filter(decisions))), "h bigint, k bigint, v bigint, ln int")
+    hit = places.join(decisions, "h").where("not (k = keep_k and v = keep_v and ln = keep_ln)")
     return hit.groupBy("k", "v").agg(F.collect_set("ln").alias("gone"))
 
 
