@@ -3,9 +3,10 @@
 Groups are taken by size, largest first; each enters the bin with the least room that still fits it, found in a balanced tree
 of remaining capacities; if none fits, a bin is opened.  The order among groups of one size doesn't change the packing,
 so the tree runs over the *histogram* of sizes: a run of equal groups fills equal bins together.  The result is exactly that
-of packing group by group, but the driver holds only distinct sizes (bounded by the capacity, not by the number of groups) and
-classes of bins.  What it makes is a plan of (size, first place, bin, places a bin); executors place each group within its
-size and look its bin up by a range join on the plan.
+of packing group by group.  The histogram streams through one task in the order of sizes, a row a distinct size; what the task holds is the tree,
+which has at most as many rooms as the capacity has bytes, and nothing meets in the driver.  What it makes is a plan of (size, first place, end place, bin,
+places a bin); executors place each group within its size and find its bin by a range join: plan and groups are cut into pieces of ``PIECE`` places,
+they meet by size and piece, and the places decide.  So a hot size is many pieces.
 
 Defined results: a null text or size weighs 0; groups of size 0 go to the first shard; a null group is a group of its own
 together with all other null groups; a group larger than the capacity gets a shard of its own; among groups of one size,
@@ -16,7 +17,10 @@ an empty result.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from quillmere.llm import common as C
 
 #: Production capacity of a shard, in bytes of text.
 CAPACITY = 16 << 20
+#: Places within a size that meet in one key of the range join.
+PIECE = 4096
 
 
 class RoomTree:
@@ -79,14 +85,19 @@ class RoomTree:
 
 def plan(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """([(size, first place, end place, first bin, places a bin)], bins) of best-fit-decreasing over (size, count)."""
+    out = list(planned(sorted(histogram, reverse=True), capacity))
+    return out, max((first + -(-(end - place) // each) for _, place, end, first, each in out), default=0)
+
+
+def planned(histogram: Iterable[tuple[int, int]], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The rows of a plan, from (size, count) in falling order of sizes."""
     if capacity < 1:
         raise ValueError("the capacity is at least 1")
-    tree, out, bins = RoomTree(), [], 0
-    for size, count in sorted(histogram, reverse=True):
+    tree, bins = RoomTree(), 0
+    for size, count in histogram:
         place = 0
         if size <= 0:
-            out.append((size, 0, count, 0, count))
-            bins = max(bins, 1)
+            yield size, 0, count, 0, count
             continue
         while place < count:
             left = count - place
@@ -102,40 +113,48 @@ def plan(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple[in
             # a bin takes ``each`` groups before the next one of its class is touched: after one it is the tightest
             full = min(hi - lo, left // each)
             if full:
-                out.append((size, place, place + full * each, lo, each))
+                yield size, place, place + full * each, lo, each
                 place += full * each
                 if room - each * size > 0:
                     tree.add(room - each * size, lo, lo + full)
                 lo += full
             rest = count - place
             if lo < hi and rest and rest < each:
-                out.append((size, place, count, lo, each))
+                yield size, place, count, lo, each
                 place = count
                 if room - rest * size > 0:
                     tree.add(room - rest * size, lo, lo + 1)
                 lo += 1
             if lo < hi:
                 tree.add(room, lo, hi)
-    return out, bins
 
 
-def pack(df: DataFrame, group: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+def _plans(capacity: int):
+    """Rows of the plan, a batch at a time; the input is one partition, sorted."""
+
+    def run(batches):
+        rows = planned(((s, n) for b in batches for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), capacity)
+        while some := list(islice(rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], names=["ps", "lo", "hi", "first", "each"])
+
+    return run
+
+
+def pack(df: DataFrame, group: str, size: str, capacity: int = CAPACITY, rows_per_cell: int = 50_000) -> DataFrame:
     """(g, size, shard) of every distinct value of column ``group``; a group's size is the sum over its rows of column ``size``."""
-    spark = df.sparkSession
+    if capacity < 1:
+        raise ValueError("the capacity is at least 1")
     rows = C.pick(df, g=group, s=size)
     groups = C.cut(rows.groupBy("g").agg(F.sum(F.greatest(F.coalesce(F.col("s"), F.lit(0)), F.lit(0))).cast("bigint").alias("size")), "groups")
-    # distinct sizes are bounded by the capacity; they grow far slower than the groups
-    counts = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]
-    runs, _ = plan(counts, capacity)
-    ranked = C.spread_rank(groups, "size", ["g"], dict(counts))
-    by_size: dict[int, list] = {}
-    for s, lo, hi, first, each in runs:
-        by_size.setdefault(s, []).append((lo, hi, first, each))
-    table = spark.createDataFrame([(s, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for s, v in by_size.items()], "ps bigint, los array<bigint>, firsts array<bigint>, eaches array<bigint>")
-    # the run of a place is the last that begins at or before it
-    joined = ranked.join(table, F.col("size") == F.col("ps"))
-    run = F.size(F.filter("los", lambda x: x <= F.col("q_rank")))
-    return joined.withColumn("r", run).select("g", "size", (F.element_at("firsts", F.col("r")) + F.floor((F.col("q_rank") - F.element_at("los", F.col("r"))) / F.element_at("eaches", F.col("r")))).cast("bigint").alias("shard"))
+    histogram = C.cut(groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # a row a distinct size: there are no more of them than the capacity, and of groups beyond it
+    table = C.cut(histogram.coalesce(1).sortWithinPartitions(F.desc("size")).mapInArrow(C.lean(_plans(capacity)), "ps bigint, lo bigint, hi bigint, first bigint, each bigint"), "plan")
+    # hot sizes are at most a group in ``rows_per_cell``
+    hot = {r["size"]: r["n"] for r in histogram.where(F.col("n") > rows_per_cell).toLocalIterator()}
+    ranked = C.spread_rank(groups, "size", ["g"], hot, rows_per_cell).withColumn("piece", F.floor(F.col("q_rank") / PIECE))
+    pieces = table.withColumn("pp", F.explode(F.sequence(F.floor(F.col("lo") / PIECE), F.floor((F.col("hi") - 1) / PIECE))))
+    joined = ranked.join(pieces, (F.col("size") == F.col("ps")) & (F.col("piece") == F.col("pp")) & (F.col("q_rank") >= F.col("lo")) & (F.col("q_rank") < F.col("hi")))
+    return joined.select("g", "size", (F.col("first") + F.floor((F.col("q_rank") - F.col("lo")) / F.col("each"))).cast("bigint").alias("shard"))
 
 
 def shard_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY) -> DataFrame:
