@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm import bpe, linededup, media, mixing, packing, pagediff, quality, rules, simhash, surrogates
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quillmere.plans.registry import table
 
 
 def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
