@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmere.llm import bpe, linededup, mixing, quality, simhash
+from quillmere.llm import bpe, common, linededup, mixing, quality, simhash
+from quillmere.plans.registry import table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn; each result is written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    from quillmere.llm import common
-
-    for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}-{uuid.uuid4().hex[:6]}")
+    """Every stage in turn; each result is written as Parquet in the shared folder and read again. What a stage wrote on its way, and its input, is deleted then."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with common.scope():
+            following = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}-{uuid.uuid4().hex[:6]}", keep=True)
+        if i:
+            common.discard(docs)
+        docs = following
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -215,7 +215,7 @@ class Engine:
         given = cut(questions.select("query_id", "question").join(self.sources_of(hits), "query_id"), "given")
         _, rounds = self.config.bounded(None, rounds)
         out = reasoning.reason(given, self.provider, rounds, self.config.confidence_threshold)
-        out = self._follow_up(questions, hits, cut(out.select("query_id", "question", "answer", "confidence", "rounds_used", "sources"), "answers"), rounds)
+        out = self._follow_up(questions, hits, cut(out.select("query_id", "question", "answer", "tokens", "confidence", "rounds_used", "sources"), "answers"), rounds)
         words = T.answer_words(F.col("answer"))
         out = out.withColumn("snippets", F.transform("sources", lambda s: evaluation.snippet(s["content"], words)))
         if structured:
@@ -223,7 +223,8 @@ class Engine:
         out = cut(questions.select("query_id", "question").join(out.drop("question"), "query_id", "left"), "queried")
         if log:
             found = F.to_json(F.transform("sources", lambda s: F.struct(s["chunk_id"].alias("chunk_id"), s["score"].alias("score"))))
-            tokens = T.token_estimate(T.n_words(F.concat_ws(" ", "question", "answer")))
+            # what the provider counted, else an estimate
+            tokens = F.coalesce("tokens", T.token_estimate(T.n_words(F.concat_ws(" ", "question", "answer"))))
             self._open().append("query_log", out.select(F.current_timestamp().alias("asked_at"), "question", "answer", "confidence", F.col("rounds_used").alias("rounds"), found.alias("sources"), tokens.alias("tokens")))
         return out
 

@@ -335,8 +335,13 @@ def blocked(members: DataFrame, most: int = BLOCK_MEMBERS) -> DataFrame:
 
     Any two members of a bucket meet in some block pair, so no link is lost, and no task holds more than two blocks.
     """
-    # buckets that are so large are few: each has thousands of members
+    # buckets that are so large are few: one in ``most`` members at the most
     hot = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    some = hot.limit(100_001).collect()
+    if not some:
+        return members.select("bucket", "h")
+    if len(some) <= 100_000:
+        hot = F.broadcast(members.sparkSession.createDataFrame(some, hot.schema))
     marked = members.join(hot, "bucket", "left").withColumn("i", F.pmod(F.xxhash64("h", F.lit(17)), F.coalesce("blocks", F.lit(1)).cast("bigint")).cast("int"))
     # block i meets every block: (i, j) and (j, i) are one pair; with two blocks and more, pairs of different blocks cover what is inside them
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))

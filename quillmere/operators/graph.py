@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmere import errors
 from quillmere.functions import text as T
 from quillmere.operators import reasoning
-from quillmere.operators.lineage import cut
+from quillmere.operators.lineage import cut, discard
 from quillmere.sources.providers import Provider
 
 FUZZY_LIMIT, HOP_LIMIT = 50, 100
@@ -129,9 +129,11 @@ def components(nodes: DataFrame, relationships: DataFrame, rounds: int = 60) ->
         hooked = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("hook"))
         parents = hooked.select(F.col("id").alias("hook"), F.col("hook").alias("up"))
         jumped = cut(hooked.join(parents, "hook", "left").select("id", F.coalesce("up", "hook").alias("new"), "component"), "labels")
+        discard(labels)
         done = jumped.where("new <> component").isEmpty()
         labels = jumped.select("id", F.col("new").alias("component"))
         if done:
+            discard(edges)
             return labels
     raise RuntimeError("the components did not settle")
 

@@ -39,8 +39,11 @@ def refinement_prompt(question: Column, answer: Column, text: Column, issues: Co
     return F.concat(F.lit("Sources:\n"), text, F.lit("\nQuestion: "), question, F.lit("\nEarlier answer: "), answer, F.lit("\nIts issues: "), issues, F.lit("\nAnswer again without them."))
 
 
-def ask(df: DataFrame, prompt: str, out: str, provider: Provider, where: str | None = None) -> DataFrame:
-    """Adds ``out`` (the reply) and ``out_error`` for rows where ``where`` holds; a failed call leaves an error, not a failed job."""
+def ask(df: DataFrame, prompt: str, out: str, provider: Provider, where: str | None = None, usage: str | None = None) -> DataFrame:
+    """Adds ``out`` (the reply) and ``out_error`` for rows where ``where`` holds; a failed call leaves an error, not a failed job.
+
+    ``usage`` names a column for the tokens that the provider says a call took; null if it says nothing.
+    """
     schema = df.schema
     names = df.columns
 
@@ -48,29 +51,32 @@ def ask(df: DataFrame, prompt: str, out: str, provider: Provider, where: str | N
         for batch in batches:
             prompts = batch.column(names.index(prompt)).to_pylist()
             wanted = batch.column(names.index(where)).to_pylist() if where else [True] * len(prompts)
-            replies, errors = [], []
+            replies, errors, tokens = [], [], []
             for p, w in zip(prompts, wanted, strict=True):
-                reply = error = None
+                reply = error = used = None
                 if w and p is not None:
                     try:
                         reply = provider.chat(p)
+                        used = getattr(provider, "used", None)
                     except Exception as e:  # noqa: BLE001 - a provider may fail in any way; the row says so
                         error = f"{type(e).__name__}: {e}"
                 replies.append(reply)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*names, out, f"{out}_error"])
+                tokens.append(used)
+            more = [pa.array(tokens, pa.int64())] if usage else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string()), *more], names=[*names, out, f"{out}_error", *([usage] if usage else [])])
 
     from pyspark.sql import types as Ty
 
-    return df.mapInArrow(run, Ty.StructType([*schema.fields, Ty.StructField(out, Ty.StringType()), Ty.StructField(f"{out}_error", Ty.StringType())]))
+    return df.mapInArrow(run, Ty.StructType([*schema.fields, Ty.StructField(out, Ty.StringType()), Ty.StructField(f"{out}_error", Ty.StringType()), *([Ty.StructField(usage, Ty.LongType())] if usage else [])]))
 
 
 def reason(questions: DataFrame, provider: Provider, rounds: int = 3, threshold: float = 0.7) -> DataFrame:
-    """(…, answer, confidence, rounds_used): answer; validate; refine if the confidence is under the threshold and rounds are left.
+    """(…, answer, tokens, confidence, rounds_used): answer; validate; refine if the confidence is under the threshold and rounds are left.
 
     ``questions``: query_id, question, sources.  A failed refinement keeps the first answer.
     """
-    first = ask(questions.withColumn("q_context", context(F.col("sources"))).withColumn("q_prompt", answer_prompt(F.col("question"), F.col("q_context"))), "q_prompt", "answer", provider)
+    first = ask(questions.withColumn("q_context", context(F.col("sources"))).withColumn("q_prompt", answer_prompt(F.col("question"), F.col("q_context"))), "q_prompt", "answer", provider, usage="tokens")
     first = first.withColumn("answer", F.coalesce("answer", F.lit("")))
     if rounds < 2:
         return first.withColumn("confidence", E.heuristic_confidence(F.col("answer"), F.col("sources"))).withColumn("rounds_used", F.lit(1)).drop("q_context", "q_prompt")
@@ -78,7 +84,8 @@ def reason(questions: DataFrame, provider: Provider, rounds: int = 3, threshold:
     if rounds < 3:
         return checked.withColumn("rounds_used", F.lit(2)).drop("q_context", "q_prompt")
     again = checked.withColumn("q_again", F.col("confidence") < threshold).withColumn("q_prompt", refinement_prompt(F.col("question"), F.col("answer"), F.col("q_context"), F.col("validation_summary")))
-    better = ask(again, "q_prompt", "q_better", provider, "q_again")
+    better = ask(again, "q_prompt", "q_better", provider, "q_again", usage="q_more")
+    better = better.withColumn("tokens", F.coalesce(F.col("tokens") + F.col("q_more"), "tokens", "q_more")).drop("q_more")
     out = better.withColumn("rounds_used", F.when(F.col("q_better").isNotNull(), 3).otherwise(2)).withColumn("answer", F.coalesce("q_better", "answer"))
     rescored = E.validate(out.drop("citation_issues", "consistency_issues", "validation_confidence", "validation_summary"))
     return rescored.withColumn("confidence", F.col("validation_confidence")).drop("q_context", "q_prompt", "q_again", "q_better", "q_better_error")

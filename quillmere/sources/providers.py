@@ -57,6 +57,8 @@ class OpenAIStyle:
     wait: float = 2.0
     sleep: Callable[[float], None] = time.sleep
     headers: dict[str, str] = field(default_factory=dict)
+    #: Tokens of the last reply, prompt and answer, as the server counts them.
+    used: int | None = None
 
     def post(self, path: str, body: dict) -> dict:
         data = json.dumps(body).encode()
@@ -80,7 +82,9 @@ class OpenAIStyle:
         raise RuntimeError("unreachable")
 
     def chat(self, prompt: str) -> str:
-        return self.post("/chat/completions", {"model": self.model, "messages": [{"role": "user", "content": prompt}]})["choices"][0]["message"]["content"]
+        got = self.post("/chat/completions", {"model": self.model, "messages": [{"role": "user", "content": prompt}]})
+        self.used = (got.get("usage") or {}).get("total_tokens")
+        return got["choices"][0]["message"]["content"]
 
     def see(self, prompt: str, images: list[tuple[str, bytes]]) -> str:
         """A reply to a prompt with images (MIME type, bytes), sent as data URLs."""

@@ -7,7 +7,7 @@ from quillmere.plans import catalog
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_matches_sql(name, same):
-    assert same(catalog.QUERIES[name], catalog.SQL[name]) >= 0
+    assert same(catalog.QUERIES[name], catalog.SQL[name]) > 0  # nothing against nothing proves nothing
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))

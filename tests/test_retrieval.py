@@ -153,3 +153,23 @@ def test_images_go_as_data_urls(monkeypatch):
 
 def test_rank_columns_of_a_null_question(spark):
     assert retrieval.route(spark.createDataFrame([(1, None)], "query_id bigint, question string")).agg(F.count(F.lit(1))).first()[0] == 1
+
+
+class Counting:
+    """Counts tokens as a server does: ten a call."""
+
+    used = None
+
+    def chat(self, prompt):
+        self.used = 10
+        return "It might be. According to the document, unclear." if "Earlier answer" not in prompt else "Better (a.pdf)."
+
+
+def test_tokens_of_all_rounds_add_up(spark):
+    from quillmere.operators import reasoning
+
+    schema = "query_id bigint, question string, sources array<struct<filename string, heading string, content string, page_number int, chunk_id bigint, chunk_type string>>"
+    asked = spark.createDataFrame([(1, "what?", [("a.pdf", "", "text", 1, 1, "paragraph")])], schema)
+    assert reasoning.reason(asked, Counting(), threshold=0.99).first()["tokens"] == 20
+    assert reasoning.reason(asked, Counting(), rounds=1).first()["tokens"] == 10
+    assert reasoning.reason(asked, Deterministic()).first()["tokens"] is None
