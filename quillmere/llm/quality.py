@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def threshold(scored: DataFrame, labels: DataFrame, id_column: str, label_column: str, quantile: float) -> float:
     """The ``quantile`` of the scores of all documents that are labelled good. ``scored``: columns k, score."""
     good = C.pick(labels, k=id_column, y=label_column).where("y > 0 and k is not null").select("k").distinct()
-    found = scored.join(good, "k", "left_semi").agg(F.percentile_approx("score", F.lit(quantile), F.lit(100_000)).alias("t")).first()["t"]
+    # ids in ``good`` are distinct; a semi-join would be put below the scoring, and shuffle texts in place of scores
+    found = scored.join(good, "k").agg(F.percentile_approx("score", F.lit(quantile), F.lit(100_000)).alias("t")).first()["t"]
     return float("-inf") if found is None else float(found)
 
 
@@ -178,10 +179,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     model = train(docs, labels, id_column, text_column, label_column, fit_rows, pairs)
     if model is None:
         return docs
-    # only the good documents' scores make the threshold, so only they are scored ahead of the rest
-    good = C.pick(labels, k=id_column, y=label_column).where("y > 0 and k is not null").select("k").distinct()
+    # scored where they lie, for the threshold and again for the filter: ids and scores are shuffled, texts never
     score = _udf(model)
-    known = C.pick(docs, k=id_column, t=text_column).join(good, "k", "left_semi").select("k", score("t").alias("score"))
-    limit = threshold(known, labels, id_column, label_column, quantile)
+    limit = threshold(C.pick(docs, k=id_column, t=text_column).select("k", score("t").alias("score")), labels, id_column, label_column, quantile)
     rows = C.wrapped(docs, t=text_column)
     return C.unwrapped(rows.where(score("t") >= F.lit(limit)), docs)
