@@ -46,7 +46,8 @@ class Transducer:
     """Bytes of a word in, tokens out.
 
     A state is the last emitted token and the live boundaries.  A boundary is live while the bytes after it are a proper prefix of a
-    token: it is kept as that prefix's node in the trie of tokens, and the tokens that lead to it from the last emitted one.
+    token: it is kept as that prefix's node in the trie of tokens, and the tokens that lead to it from the last emitted one.  A state's key is
+    flat, ``(last, node, chain, node, chain, ...)``, and equal chains are one object: that is a third of the memory of nested pairs.
     """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
@@ -78,12 +79,13 @@ class Transducer:
         self.moves: dict[int, int] = {}
         self.emits: list[tuple[int, tuple[int, ...]]] = []
         self.ends: list[tuple[int, ...]] = []
-        self._add((-1, ((0, ()),)))
+        self.chains: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self._add((-1, 0, ()))
 
     def _add(self, key: tuple) -> int:
         self.ids[key] = len(self.keys)
         self.keys.append(key)
-        node, chain = key[1][-1] if key[1] else (1, ())
+        node, chain = key[-2:] if len(key) > 1 else (1, ())
         self.ends.append(chain if node == 0 else ())
         return len(self.keys) - 1
 
@@ -149,10 +151,11 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> int:
         """Make the transition of a state on a byte."""
-        last, before = self.keys[state]
+        key = self.keys[state]
+        last = key[0]
         trie, token_at, goes_on = self.trie, self.token_at, self.goes_on
         found, live = None, []
-        for node, chain in before:
+        for node, chain in zip(key[1::2], key[2::2], strict=True):
             node = trie.get(node << 8 | byte)
             if node is None:
                 continue
@@ -161,22 +164,22 @@ class Transducer:
                 if token >= 0 and self.fits(chain[-1] if chain else last, token):
                     found = (*chain, token)
             if goes_on[node]:
-                live.append((node, chain))
+                live += (node, chain)
         if found is not None:
-            live.append((0, found))
+            live += (0, found)
         # the tokens that lead to every live boundary are final
         final: tuple[int, ...] = ()
-        if live and live[0][1]:
-            final = live[0][1]
-            for _, c in live[1:]:
+        if live and live[1]:
+            final = live[1]
+            for c in live[3::2]:
                 k, m = 0, min(len(final), len(c))
                 while k < m and final[k] == c[k]:
                     k += 1
                 final = final[:k]
         if final:
             k, last = len(final), final[-1]
-            live = [(node, c[k:]) for node, c in live]
-        key = (last, tuple(live))
+            live[1::2] = [self.chains.setdefault(c, c) for c in (c[k:] for c in live[1::2])]
+        key = (last, *live)
         to = self.ids.get(key)
         if to is None:
             to = self._add(key)
