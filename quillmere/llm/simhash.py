@@ -1,7 +1,7 @@
-"""SimHash near-dedup by segment popcounts: grid range-join under Manhattan distance, then exact verification.
+"""SimHash near-dedup by segment popcounts: grid range-join under Manhattan distance, exact verification, and an exact join for what the grid can't see.
 
 **Fingerprints.**  A document is the set of its distinct lower-case words.  Its *full* fingerprint is the 128-bit SimHash of that set; two
-documents are near-duplicates when their full fingerprints differ in at most ``DISTANCE`` bits.  No grid can search at such a radius, so
+documents are near-duplicates when their full fingerprints differ in at most ``DISTANCE`` bits.  No grid is selective at such a radius, so
 every document also has ``VIEWS`` *view* fingerprints of 64 bits: SimHashes of the same words under weights that fall off geometrically in the order of a
 view's own hash, so that a few words, others in each view, decide.  A few edits leave most views within one bit.
 
@@ -15,9 +15,11 @@ many near copies don't enter the cells around them many times.
 connected to.  A cell has no cap: a large one is cut into blocks, and every two blocks meet in a task of their own.  Verified pairs go through distributed union-find, and of each
 component the document of least id stays.  Documents of equal word sets are one node from the start, so exact copies cost nothing however many.
 
-What the grid finds is complete for the views: no pair with a view within one bit is lost.  That a pair within ``DISTANCE`` of the full fingerprint has such a view isn't certain; the
-recall over all such pairs is 0.995 on the test tables (0.77 for the few natural pairs at 21 bits and more, which are short texts), and 0.97 to 1 for copies with 5 to 15 % of their
-words replaced.  What is found is exact.
+**The rest.**  The grid is complete for the views: no pair with a view within one bit is lost.  That a pair within ``DISTANCE`` of the full fingerprint has such a view is likely, not
+certain.  So the full fingerprints of all nodes are joined once more, without a miss: they are dealt into blocks, and every two blocks meet in a task.  There the 128 bits are cut into parts
+with a radius each, radii plus one adding up to ``DISTANCE`` plus one; a pair within ``DISTANCE`` is within the radius of at least one part, so only rows whose parts are that near are compared.  Pairs that
+the grid has tied already aren't passed on; the others tie components of the first union-find in a second one.  Every link counts: groups are the components of all pairs within ``DISTANCE``, as a comparison
+of all texts would give them.  The work of this join grows as the square of the number of distinct texts, with a factor that falls as blocks grow.
 
 Defined results: a null text counts as empty; texts without words are near-duplicates of each other only if they are equal; a null id comes after
 all others, by a hash of the text; of rows that agree in id and text one stays, and rows of one id with different texts are different documents; an empty table
@@ -26,6 +28,8 @@ gives an empty result; other columns are carried along.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +41,8 @@ from quillmere.llm.linededup import keyed
 
 VIEWS, TOP, DECAY, DISTANCE = 12, 16, 0.6, 26
 SEGMENTS = 16
+#: Nodes that one block takes; beyond them there are ``BLOCKS``, and more once a block would pass ``BLOCK_MOST``. Blocks of fewer than ``DENSE`` nodes are compared outright.
+BLOCK_LEAST, BLOCKS, BLOCK_MOST, DENSE = 1 << 14, 8, 1 << 19, 8_000
 SEEDS = C.mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FALL = DECAY ** np.arange(TOP)
 #: Byte -> its bits, one in each byte of a word of 64: eight counters are added at once.
@@ -239,6 +245,114 @@ def _verify(most: int):
     return run
 
 
+def parts_of(width: int, most: int) -> list[tuple[int, int, int, int]]:
+    """(word, shift, width, radius) of parts of at most ``width`` bits: whoever is within ``most`` of 128 bits is within the radius of a part."""
+    count = -(-64 // width)
+    sizes = [64 // count + (i < 64 % count) for i in range(count)]
+    places = sorted(((-w, word, sum(sizes[:i])) for word in (0, 1) for i, w in enumerate(sizes)))
+    # beyond the radius in every part is at least the sum of (radius + 1) = most + 1 bits; wide parts take the greater radii
+    base, more = divmod(most + 1, len(places))
+    radii = [base - (n >= more) for n in range(len(places))]
+    return [(word, shift, -w, r) for (w, word, shift), r in zip(places, radii, strict=True) if r >= 0]
+
+
+def flips(width: int, most: int) -> np.ndarray:
+    """Numbers of ``width`` bits of which at most ``most`` are set."""
+    return np.array([sum(1 << i for i in c) for r in range(min(width, most) + 1) for c in combinations(range(width), r)], np.int64)
+
+
+def _compared(a: np.ndarray, b: np.ndarray, most: int):
+    for i in range(0, len(a), 256):
+        for j in range(0, len(b), 4096):
+            d = np.bitwise_count(a[i : i + 256, None, 0] ^ b[None, j : j + 4096, 0])
+            d += np.bitwise_count(a[i : i + 256, None, 1] ^ b[None, j : j + 4096, 1])
+            at = np.flatnonzero(d.ravel() <= most)
+            if len(at):
+                yield at // d.shape[1] + i, at % d.shape[1] + j
+
+
+def within(a: np.ndarray, b: np.ndarray, most: int):
+    """Runs of (row of ``a``, row of ``b``), together all pairs of (n, 2) fingerprints within ``most`` bits, some of them more than once."""
+    least = min(len(a), len(b))
+    if least < DENSE:
+        yield from _compared(a, b, most)
+        return
+    for word, shift, width, radius in parts_of(min(16, int(np.log2(least / 24))), most):
+        mask = np.uint64((1 << width) - 1)
+        own, other = ((x[:, word] >> np.uint64(shift) & mask).astype(np.int64) for x in (a, b))
+        rows, order = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+        there, size = b[order], np.bincount(other, minlength=1 << width)
+        start, near = np.cumsum(size) - size, flips(width, radius)
+        cuts = np.append(np.flatnonzero(np.diff(own[rows], prepend=-1)), len(rows)).tolist()
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            mine = rows[s:e]
+            cell = near ^ own[mine[0]]
+            cell = cell[size[cell] > 0]
+            n = size[cell]
+            at = np.repeat(start[cell] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            for x, y in _compared(a[mine], there[at], most):
+                yield mine[x], order[at[y]]
+
+
+def _ties(most: int):
+    """(a, b) roots that a pair within ``most`` bits ties. Rows come as (pair, side, root, f0, f1), sorted by pair; a pair of a block with itself has one side."""
+
+    def run(batches):
+        pair, held = None, []
+        for batch in batches:
+            part = [batch.column(i).to_numpy() for i in range(5)]
+            if not len(part[0]):
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(part[0][1:] != part[0][:-1]) + 1, [len(part[0])]]).tolist()
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if pair is not None and part[0][s] != pair:
+                    yield from ties_of(held)
+                    held = []
+                pair = part[0][s]
+                held.append([x[s:e].copy() for x in part[1:]])
+        if held:
+            yield from ties_of(held)
+
+    def ties_of(held):
+        side, root, f0, f1 = (np.concatenate(x) for x in zip(*held, strict=True))
+        prints, second = np.stack([f0, f1], 1).view(np.uint64), side == 1
+        left, right = (root, root) if not second.any() else (root[~second], root[second])
+        sides = (prints, prints) if not second.any() else (prints[~second], prints[second])
+        found, many = [], 0
+        for x, y in within(*sides, most):
+            a, b = left[x], right[y]
+            new = a != b
+            if new.any():
+                a, b = a[new], b[new]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+                many += len(found[-1])
+                if many > 1 << 20:  # ties repeat: what is held is the distinct ones, and a full load of them goes out
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    many = len(found[0])
+                    if many > 1 << 19:
+                        yield batch_of(found[0])
+                        found, many = [], 0
+        if found:
+            yield batch_of(np.unique(np.concatenate(found), axis=0))
+
+    def batch_of(ties):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ties[:, 0])), pa.array(np.ascontiguousarray(ties[:, 1]))], names=["a", "b"])
+
+    return run
+
+
+def ties(known: DataFrame, most: int) -> DataFrame:
+    """(a, b) of roots that some pair of nodes within ``most`` bits ties. ``known``: h, root, f0, f1."""
+    n = known.count()
+    blocks = 1 if n <= BLOCK_LEAST else max(BLOCKS, -(-n // BLOCK_MOST))
+    own = known.withColumn("i", F.pmod(F.xxhash64("h", F.lit(29)), F.lit(blocks)).cast("int"))
+    # block i meets every block, itself too; the lesser of two is side 0
+    placed = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = placed.select((F.least("i", "j") * F.lit(blocks).cast("bigint") + F.greatest("i", "j")).alias("pair"), (F.col("i") > F.col("j")).cast("int").alias("side"), "root", "f0", "f1")
+    dealt = met.repartition(blocks * (blocks + 1) // 2, "pair").sortWithinPartitions("pair")
+    return dealt.mapInArrow(C.lean(_ties(most)), "a bigint, b bigint")
+
+
 def groups(rows: DataFrame, most: int = DISTANCE) -> DataFrame:
     """(k, v, group_k, group_v) of every document: the key of the kept document of its group. ``rows``: columns k, v, t."""
     C.settle(rows.sparkSession)
@@ -258,9 +372,12 @@ def groups(rows: DataFrame, most: int = DISTANCE) -> DataFrame:
     members = C.blocked(buckets).join(nodes.select("h", "f0", "f1"), "h").select("bucket", "h", "f0", "f1").repartition("bucket").sortWithinPartitions("bucket", "h")
     roots = C.components(members.mapInArrow(C.lean(_verify(most)), "a bigint, b bigint"), "simhash-cc")
     C.discard(buckets)
-    rooted = nodes.select("node", "h").join(roots.withColumnRenamed("node", "h"), "h").select("node", "root")
-    # a node of no component is a group of its own
-    tied = made.select("k", "v", "node").join(rooted, "node", "left").select("k", "v", F.struct("root", F.when(F.col("root").isNull(), F.col("node")).alias("alone")).alias("g"))
+    # a node of no component is its own root
+    known = C.cut(nodes.join(roots.withColumnRenamed("node", "h"), "h", "left").select("node", "h", F.coalesce("root", "h").alias("root"), "f0", "f1"), "simhash-known")
+    C.discard(nodes)
+    last = C.components(ties(known.select("h", "root", "f0", "f1"), most), "simhash-rest").select(F.col("node").alias("root"), F.col("root").alias("last"))
+    rooted = known.select("node", "root").join(last, "root", "left").select("node", F.coalesce("last", "root").alias("g"))
+    tied = made.select("k", "v", "node").join(rooted, "node").select("k", "v", "g")
     kept = tied.groupBy("g").agg(F.min(F.struct("k", "v")).alias("kept"), F.count(F.lit(1)).alias("n"))
     return tied.join(kept, "g").select("k", "v", F.col("kept.k").alias("group_k"), F.col("kept.v").alias("group_v"), F.col("n").alias("group_size"))
 

@@ -70,3 +70,64 @@ def test_tables_in_between_go_at_the_end_of_a_scope(spark):
     fs = spark._jvm.org.apache.hadoop.fs.Path(kept.inputFiles()[0]).getFileSystem(spark._jsc.hadoopConfiguration())
     assert not any(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f)) for f in gone.inputFiles())
     C.discard(kept)
+
+
+# ------------------------------------------------------------------------------------------------ near-dedup
+
+
+def near_prints(rng, n, most):
+    """(a, b) random fingerprints; of every third row of ``a`` a copy with up to ``most`` + 3 bits flipped is in ``b``."""
+    a, b = rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64), rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
+    for i in range(0, n, 3):
+        bits = np.zeros(128, np.uint8)
+        bits[rng.choice(128, rng.integers(0, most + 4), replace=False)] = 1
+        b[n - 1 - i] = a[i] ^ np.packbits(bits, bitorder="little").view(np.uint64)
+    return a, b
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 11, 26])
+def test_parts_lose_no_pair(monkeypatch, most):
+    from quillmere.llm import simhash
+
+    for width in range(3, 17):
+        parts = simhash.parts_of(width, most)
+        assert sum(r + 1 for *_, r in parts) == most + 1 and all(0 < w <= width for _, _, w, _ in parts)
+        assert len({(word, bit) for word, shift, w, _ in parts for bit in range(shift, shift + w)}) == sum(w for _, _, w, _ in parts)
+    monkeypatch.setattr(simhash, "DENSE", 100)
+    a, b = near_prints(np.random.default_rng(most), 1500, most)
+    want = {(x, y) for x, y in zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= most)), strict=True)}
+    got = {p for x, y in simhash.within(a, b, most) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert want and got == want
+
+
+def test_ties_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    from quillmere.llm import simhash
+
+    monkeypatch.setattr(simhash, "BLOCK_LEAST", 100)
+    a, b = near_prints(np.random.default_rng(4), 400, 26)
+    prints = np.concatenate([a, b])
+    root = [i // 2 for i in range(len(prints))]  # a tie within a root is none
+    known = spark.createDataFrame([(i, root[i], *p) for i, p in enumerate(prints.view(np.int64).tolist())], "h bigint, root bigint, f0 bigint, f1 bigint")
+    want = {(min(root[x], root[y]), max(root[x], root[y])) for x, y in zip(*(v.tolist() for v in np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None]).sum(2) <= 26)), strict=True) if root[x] != root[y]}
+    assert want and {(r["a"], r["b"]) for r in simhash.ties(known, 26).collect()} == want
+
+
+def test_near_duplicates_without_a_near_view_are_found(spark):
+    from quillmere.llm import simhash
+
+    rng, texts, lost = np.random.default_rng(8), [], []
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)]
+    while len(lost) < 5:  # copies with a fifth of their words replaced that are near, though no view is
+        own = [vocabulary[i] for i in rng.integers(0, 3000, rng.integers(80, 400))]
+        copy = [vocabulary[rng.integers(0, 3000)] if rng.random() < 0.2 else w for w in own]
+        full, views = simhash.sketches(pa.array([" ".join(own), " ".join(copy)]))
+        if np.bitwise_count(full[0] ^ full[1]).sum() > simhash.DISTANCE:
+            continue
+        cells = [[set(simhash.cells(views[i : i + 1, v].copy(), v)[0].tolist()) for v in range(simhash.VIEWS)] for i in (0, 1)]
+        if all(x.isdisjoint(y) for x, y in zip(*cells, strict=True)):
+            lost.append((len(texts), len(texts) + 1))
+            texts += [" ".join(own), " ".join(copy)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    group = {r["doc_id"]: r["group"] for r in simhash.near_duplicates(rows).collect()}
+    assert all(group[x] == group[y] for x, y in lost)
+    assert len(set(group.values())) == len(lost)
