@@ -236,6 +236,26 @@ def test_ledger_edges(odd, empty):
     assert not book[6]["pass_v3_full"] and book[1]["pass_v3_full"]
 
 
+def scanned(df):
+    """Columns that a plan reads from its files, and whether it evaluates a text function."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    return {a for line in text.splitlines() if "Relation [" in line for a in line.split("Relation [")[1].split("]")[0].split(",")}, any(f in text for f in ("regexp_", "translate(", "split("))
+
+
+def test_ablation_and_new_policies_read_no_text(spark, sf):
+    for name in ("op7_rule_ledger", "rule_ablation"):
+        columns, evaluates = scanned(queries.QUERIES[name](spark, sf))
+        assert columns and not evaluates and not any(c.startswith("text#") for c in columns)
+    # a policy that came later: leaving a rule out keeps what the report says
+    book = queries.op7_rule_ledger(spark, sf)
+    report = {(r["policy"], r["rule"]): r["kept_without"] for r in queries.rule_ablation(spark, sf).collect()}
+    for rule in rules.POLICIES["v3_full"]:
+        later = rules.decided(book, policies={"later": [r for r in rules.POLICIES["v3_full"] if r != rule]})
+        assert later.columns == [*book.columns, "pass_later"] and not scanned(later)[1]
+        assert later.where("pass_later").count() == report["v3_full", rule]
+
+
 # ------------------------------------------------------------------------------------------------ BPE
 
 
