@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
 from struct import pack
 
@@ -213,9 +214,12 @@ class Transducer:
 
 
 class Words(dict):
-    """Word -> its tokens as packed int32, made when first asked for; two generations, the older is forgotten."""
+    """Word -> its tokens as packed int32, made when first asked for; two generations, the older is forgotten.
 
-    def __init__(self, transducer: Transducer, most: int = 350_000):
+    A generation has as many words as fit a hash table of 2^19 places; with one more it would be twice as large.
+    """
+
+    def __init__(self, transducer: Transducer, most: int = (1 << 20) // 3):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
@@ -226,6 +230,7 @@ class Words(dict):
             got = pack(f"{len(tokens)}i", *tokens)
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = {}  # gone before the copy is made
                 self.old = dict(self)
                 self.clear()
             self[word] = got
@@ -323,11 +328,11 @@ class Codec:
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
-def codec(key: str, ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One codec a process and vocabulary, so that states and words outlive tasks."""
+def codec(key: str, ranks: Callable[[], dict[bytes, int]], pattern: str) -> Codec:
+    """One codec a process and vocabulary, so that states and words outlive tasks; ``ranks`` is asked only if there is none yet."""
     got = _CODECS.get((key, pattern))
     if got is None:
-        got = _CODECS[key, pattern] = Codec(ranks, pattern)
+        got = _CODECS[key, pattern] = Codec(ranks(), pattern)
         # the stores hold no cycles; the collector needn't walk them again and again
         gc.freeze()
         gc.set_threshold(100_000, 50, 1000)
@@ -351,26 +356,30 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
     kind = rows.schema["k"].dataType.simpleString()
     carried = "".join(f", `{c}` {rows.schema[f'x{i}'].dataType.simpleString()}" for i, c in enumerate(carry))
 
+    def encoded(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, sizes, values, good = batch.column(1), [], [], []
+        size = np.zeros(len(texts), np.int64)
+        for i in range(len(texts)):
+            text = texts[i].as_py()
+            if text is None:
+                sizes.append(0)
+                good.append(None)
+                continue
+            tokens = own.encode(text)
+            size[i] = len(text) if text.isascii() else len(text.encode())
+            sizes.append(len(tokens))
+            values.append(tokens)
+            good.append(own.decode(tokens) == text)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
+        mask = None if not texts.null_count else pa.array([x is None for x in good])
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.array(sizes, np.int64)), tokens, pa.array(good, pa.bool_()), *batch.columns[2:]], names=[id_column, "n_bytes", "n_tokens", "tokens", "round_trip", *carry])
+
     def run(batches):
-        own = codec(key, sent.value, pattern)
+        own = codec(key, lambda: sent.value, pattern)
+        # what a batch is made of ends with the call, before the next one is read
         for batch in batches:
-            texts, sizes, values, good = batch.column(1), [], [], []
-            size = np.zeros(len(texts), np.int64)
-            for i in range(len(texts)):
-                text = texts[i].as_py()
-                if text is None:
-                    sizes.append(0)
-                    good.append(None)
-                    continue
-                tokens = own.encode(text)
-                size[i] = len(text) if text.isascii() else len(text.encode())
-                sizes.append(len(tokens))
-                values.append(tokens)
-                good.append(own.decode(tokens) == text)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int32))
-            mask = None if not texts.null_count else pa.array([x is None for x in good])
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=mask)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.array(sizes, np.int64)), tokens, pa.array(good, pa.bool_()), *batch.columns[2:]], names=[id_column, "n_bytes", "n_tokens", "tokens", "round_trip", *carry])
+            yield encoded(own, batch)
 
     return rows.mapInArrow(C.lean(run), f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, tokens array<int>, round_trip boolean{carried}")

@@ -177,6 +177,6 @@ def positioned(docs: DataFrame, name: str = "position") -> DataFrame:
         starts.append((path, start))
         start += files[path]
     # files are few: their number is that of the tasks that wrote them
-    table = docs.sparkSession.createDataFrame(starts, "q_path string, q_start bigint")
+    table = C.local_table(docs.sparkSession, starts, "q_path string, q_start bigint")
     joined = read.join(F.broadcast(table), F.col("q_file") == F.col("q_path"))
     return joined.select(*[f"`{c}`" for c in docs.columns], (F.col("q_start") + F.col("q_index")).alias(name))

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmere.llm import common as C
@@ -365,6 +366,20 @@ def test_positions_survive_the_reread(spark):
     assert mixing.positioned(docs.limit(0)).count() == 0
 
 
+def test_small_tables_start_no_workers_of_their_own(spark):
+    """Plain rows of the driver become an RDD of a Python function, which has a daemon and workers beside those of the operators."""
+    docs = spark.createDataFrame(pa.table({"doc_id": [1, 2, 3], "source": ["a", "a", None], "text": ["x", "y", "z"]}))
+    mix = mixing.mixed(docs)
+    for df in (mix, mixing.positioned(C.cut(mix, "mix")), C.spread_rank(docs, "source", ["doc_id"], {"a": 2}, rows_per_cell=1)):
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString() and df.count() == 3
+    members = spark.createDataFrame(pa.table({"bucket": [7] * 9, "h": list(range(9))}))
+    blocks = C.blocked(members, most=3)
+    assert "ExistingRDD" not in blocks._jdf.queryExecution().toString() and blocks.select("h").distinct().count() == 9
+    for rows, schema in (([("a", 1), (None, 2)], "k string, n bigint"), ([], "k string, n bigint"), ([(True, 3)], "k boolean, n int"), ([(1.5, 3)], "k double, n int")):
+        out = C.local_table(spark, rows, schema)
+        assert out.schema == spark.createDataFrame([], schema).schema and sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str)
+
+
 def test_registered():
     import __spark_entry__ as entry
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -285,6 +286,26 @@ def test_transducer_equals_merging_word_by_word(codec):
         assert t.encode(word) == t.merge(word)
 
 
+def test_words_of_a_generation_fit_their_table():
+    class Plain:
+        def encode(self, word):
+            return [len(word)]
+
+    words = bpe.Words(Plain())
+    for i in range(words.most):
+        words[str(i)]
+    assert len(words) == words.most and not words.old
+    assert sys.getsizeof(words) < 10 << 20  # one word more, and it is 15 MB
+    words["next"]
+    assert len(words) == 1 and len(words.old) == words.most and words["5"] == bpe.pack("i", 1)
+
+
+def test_codec_asks_for_the_vocabulary_once():
+    asked = []
+    ranks = lambda: asked.append(1) or {bytes([b]): b for b in range(256)}
+    assert bpe.codec("once", ranks, bpe.PATTERN) is bpe.codec("once", ranks, bpe.PATTERN) and asked == [1]
+
+
 def test_utf8_machine_decodes_in_any_cuts():
     data = "aé東🙂z".encode() + b"\xff\xc3(\xe2\x82\xf0\x9f\x99\xed\xa0\x80A\xc3"
     want = data.decode("utf-8", "replace")
