@@ -2,10 +2,11 @@
 
 **Encoding.**  In byte-pair encoding every prefix of a text has one encoding, and a token sequence is an encoding exactly when each
 adjacent pair is one (``encode(a + b) == [a, b]``).  So the last token of each prefix follows from the last tokens of shorter prefixes, left
-to right.  The transducer reads one byte at a time.  A state is what the future still depends on: the last token that was emitted
-and the bytes after it that are pending.  On each byte the token boundaries from which a longer token may still grow are
-followed back; the tokens that all of them share are final and are emitted, so lookahead is bounded by the longest
-token.  States and transitions are made when first met and kept, like a lazy DFA; the store is emptied when it is full.
+to right.  The transducer reads one byte at a time.  A state is what the future still depends on: the token boundaries from which a longer
+token may still grow, each with the token before it.  On each byte it names the last token of the prefix; the tokens of the word are those
+names followed back from its end.  In a long word the tokens that all live boundaries share are final and are emitted on the way, so
+lookahead is bounded by the longest token and :data:`PIECE`.  States and transitions are made when first met and kept, like a lazy DFA; the store is
+emptied when it is full.
 
 Words come from the tokenizer's own splitting pattern; a word's tokens are remembered, so a word is run through the transducer once.
 
@@ -43,12 +44,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+#: Bytes of a word after which its final tokens are emitted; a rank beyond all others.
+PIECE, NEVER = 4096, 1 << 62
+
+
 class Transducer:
     """Bytes of a word in, tokens out.
 
-    A state is the last emitted token and the live boundaries.  A boundary is live while the bytes after it are a proper prefix of a
-    token: it is kept as that prefix's node in the trie of tokens, and the tokens that lead to it from the last emitted one.  A state's key is
-    flat, ``(last, node, chain, node, chain, ...)``, and equal chains are one object: that is a third of the memory of nested pairs.
+    A boundary is live while the bytes after it are a proper prefix of a token that may follow the token before it: it is kept as that prefix's node in
+    the trie of tokens, and the token before. A state's key is flat, ``(node, token, node, token, ...)``, and ends with the root and the last token
+    of the prefix, which is also the state's name in ``label``. Earlier tokens aren't in it: they decide nothing that comes, and with them
+    there would be many times the states.
     """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 160_000):
@@ -57,9 +63,10 @@ class Transducer:
         self.most_states = most_states
         self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int]] = {}
-        # the trie: node * 256 + byte -> node; the token that ends at a node, or -1; whether it goes on
+        # the trie: node * 256 + byte -> node; the token that ends at a node, or -1; whether it goes on; its bytes; the first of them
         self.trie: dict[int, int] = {}
-        self.token_at, self.goes_on = [-1], [True]
+        self.token_at, self.goes_on, self.depth, self.first_byte = [-1], [True], [0], bytearray(1)
+        above = [0]
         for word, token in ranks.items():
             node = 0
             for byte in word:
@@ -69,25 +76,44 @@ class Transducer:
                     to = self.trie[node << 8 | byte] = len(self.token_at)
                     self.token_at.append(-1)
                     self.goes_on.append(False)
+                    self.depth.append(self.depth[node] + 1)
+                    self.first_byte.append(word[0])
+                    above.append(node)
                 node = to
             self.token_at[node] = token
+        # of each token: its bytes, the last of them, the merges that its first and its last byte go into; a token that merging never makes goes into none
+        size = max(ranks.values(), default=-1) + 1
+        self.size, self.last_byte, first_join, self.last_join = [0] * size, bytearray(size), [NEVER] * size, [NEVER] * size
+        for token, word in sorted(self.bytes_of.items()):
+            self.size[token], self.last_byte[token] = len(word), word[-1]
+            a, b = self.halves(token)
+            if a != token:
+                first_join[token] = first_join[a] if len(self.bytes_of[a]) > 1 else token
+                self.last_join[token] = self.last_join[b] if len(self.bytes_of[b]) > 1 else token
+        # the earliest merge of the first byte in any token that goes on from a node; a node comes after the one above it
+        self.low = [NEVER] * len(above)
+        for node in range(len(above) - 1, 0, -1):
+            token = self.token_at[node]
+            self.low[above[node]] = min(self.low[above[node]], self.low[node], first_join[token] if token >= 0 else NEVER)
+        # the merge of two bytes
+        self.border = [NEVER] * (1 << 16)
+        for word, token in ranks.items():
+            if len(word) == 2:
+                self.border[word[0] << 8 | word[1]] = token
         self.reset()
 
     def reset(self) -> None:
-        self.keys: list[tuple] = []
-        self.ids: dict[tuple, int] = {}
-        # state * 256 + byte -> state, or -1 - place of (state, tokens) where tokens are emitted
+        self.keys: list[tuple[int, ...]] = []
+        self.ids: dict[tuple[int, ...], int] = {}
+        # state * 256 + byte -> state
         self.moves: dict[int, int] = {}
-        self.emits: list[tuple[int, tuple[int, ...]]] = []
-        self.ends: list[tuple[int, ...]] = []
-        self.chains: dict[tuple[int, ...], tuple[int, ...]] = {}
-        self._add((-1, 0, ()))
+        self.label: list[int] = []
+        self._add((0, -1))
 
-    def _add(self, key: tuple) -> int:
+    def _add(self, key: tuple[int, ...]) -> int:
         self.ids[key] = len(self.keys)
         self.keys.append(key)
-        node, chain = key[-2:] if len(key) > 1 else (1, ())
-        self.ends.append(chain if node == 0 else ())
+        self.label.append(key[-1] if key and key[-2] == 0 else -1)
         return len(self.keys) - 1
 
     def merge(self, word: bytes) -> list[int]:
@@ -151,66 +177,78 @@ class Transducer:
                 bound, b = b + 1, self.split[b][0] if b in self.split else self.halves(b)[0]
 
     def step(self, state: int, byte: int) -> int:
-        """Make the transition of a state on a byte."""
+        """Make the transition of a state on a byte.
+
+        A boundary is dropped when the bytes beside it merge across it before the byte on either side goes into any other merge: then
+        no token that goes on from there fits.
+        """
         key = self.keys[state]
-        last = key[0]
-        trie, token_at, goes_on = self.trie, self.token_at, self.goes_on
-        found, live = None, []
-        for node, chain in zip(key[1::2], key[2::2], strict=True):
+        trie, token_at, goes_on, low, last_join = self.trie, self.token_at, self.goes_on, self.low, self.last_join
+        found, live = -1, []
+        for node, before in zip(key[::2], key[1::2], strict=True):
             node = trie.get(node << 8 | byte)
             if node is None:
                 continue
-            if found is None:
+            if found < 0:
                 token = token_at[node]
-                if token >= 0 and self.fits(chain[-1] if chain else last, token):
-                    found = (*chain, token)
+                if token >= 0 and self.fits(before, token):
+                    found = token
             if goes_on[node]:
-                live += (node, chain)
-        if found is not None:
-            live += (0, found)
-        # the tokens that lead to every live boundary are final
-        final: tuple[int, ...] = ()
-        if live and live[1]:
-            final = live[1]
-            for c in live[3::2]:
-                k, m = 0, min(len(final), len(c))
-                while k < m and final[k] == c[k]:
-                    k += 1
-                final = final[:k]
-        if final:
-            k, last = len(final), final[-1]
-            live[1::2] = [self.chains.setdefault(c, c) for c in (c[k:] for c in live[1::2])]
-        key = (last, *live)
+                # of equal ranks the left one is merged first
+                if before < 0 or low[node] < (across := self.border[self.last_byte[before] << 8 | self.first_byte[node]]) or last_join[before] <= across:
+                    live += (node, before)
+        key = (*live, 0, found) if found >= 0 else tuple(live)
         to = self.ids.get(key)
         if to is None:
             to = self._add(key)
-        move = to
-        if final:
-            move = -1 - len(self.emits)
-            self.emits.append((to, final))
-        self.moves[state << 8 | byte] = move
-        return move
+        self.moves[state << 8 | byte] = to
+        return to
+
+    def back(self, ends: list[int], at: int) -> list[int]:
+        """The tokens of the first ``at`` bytes, by the last token of each prefix."""
+        out, size = [], self.size
+        while at > 0:
+            token = ends[at - 1]
+            out.append(token)
+            at -= size[token]
+        out.reverse()
+        return out
+
+    def shared(self, ends: list[int], state: int) -> int:
+        """The last boundary that the tokens before every live boundary have in common."""
+        live = {len(ends) - self.depth[node] for node in self.keys[state][::2]}
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(last - self.size[ends[last - 1]])
+        return live.pop()
 
     def encode(self, word: bytes) -> list[int]:
         if len(self.keys) > self.most_states:
             self.reset()
-        state, out, moves, emits = 0, [], self.moves, self.emits
-        for byte in word:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(self.keys) > 2 * self.most_states:  # one endless word: keep this state, forget the rest
-                    here = self.keys[state]
-                    self.reset()
-                    moves, emits = self.moves, self.emits
-                    state = self.ids[here] if here in self.ids else self._add(here)
-                move = self.step(state, byte)
-            if move < 0:
-                state, tokens = emits[-1 - move]
-                out += tokens
-            else:
-                state = move
-        out += self.ends[state]
-        return out
+        # ends: the last token of each prefix, from the last byte whose token is emitted
+        state, out, ends, moves, label = 0, [], [], self.moves, self.label
+        for start in range(0, len(word), PIECE):
+            if start:
+                if not self.keys[state]:
+                    break
+                at = self.shared(ends, state)
+                out += self.back(ends, at)
+                del ends[:at]
+            for byte in word[start : start + PIECE]:
+                to = moves.get(state << 8 | byte)
+                if to is None:
+                    if len(self.keys) > 2 * self.most_states:  # one endless word: keep this state, forget the rest
+                        here = self.keys[state]
+                        self.reset()
+                        moves, label = self.moves, self.label
+                        state = self.ids[here] if here in self.ids else self._add(here)
+                    to = self.step(state, byte)
+                state = to
+                ends.append(label[to])
+        if ends and ends[-1] < 0:  # only with a vocabulary whose tokens don't come from merges in the order of ranks
+            return self.merge(word)
+        return out + self.back(ends, len(ends))
 
 
 class Words(dict):

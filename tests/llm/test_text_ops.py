@@ -3,7 +3,7 @@
 import random
 import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -286,6 +286,50 @@ def test_transducer_equals_merging_word_by_word(codec):
         assert t.encode(word) == t.merge(word)
 
 
+def test_states_hold_only_what_decides_the_future():
+    t = bpe.Transducer(bpe.read_ranks(bpe.VOCABULARY))
+    rng = random.Random(5)
+    parts = ["the", "ing", "tion", "er", "heit", "keit", "eau", "qu", "ou", "st", "lich", "ent"]
+    for _ in range(4000):
+        word = (" " + "".join(rng.choice(parts) for _ in range(rng.randrange(2, 6)))).encode()
+        assert t.encode(word) == t.merge(word)
+    # with settled tokens, and boundaries where nothing fits, in the keys there were 6,285
+    assert len(t.keys) < 4000
+
+
+def test_transducer_ties_long_words_and_full_stores(monkeypatch):
+    for seed in range(20):
+        rng = random.Random(seed)
+        letters = rng.sample("abcdefgh", rng.choice([1, 2, 3]))
+        # a vocabulary as it is trained: the most frequent pair is merged again and again
+        parts, ranks = [rng.choice(letters).encode() for _ in range(2000)], {bytes([b]): b for b in range(256)}
+        for _ in range(rng.choice([3, 20, 60])):
+            (a, b), _ = max(Counter(zip(parts, parts[1:], strict=False)).items(), key=lambda x: (x[1], x[0]))
+            ranks.setdefault(a + b, len(ranks))
+            merged = []
+            for part in parts:
+                if merged and merged[-1] == a and part == b:
+                    merged[-1] = a + b
+                else:
+                    merged.append(part)
+            parts = merged
+            if len(parts) < 50:
+                break
+        t = bpe.Transducer(ranks, most_states=rng.choice([10, 100, 160_000]))
+        monkeypatch.setattr(bpe, "PIECE", rng.choice([1, 7, 50, 4096]))
+        for size in [*range(40), 500]:
+            word = "".join(rng.choice(letters) for _ in range(size)).encode()
+            assert t.encode(word) == t.merge(word)
+
+
+def test_words_that_the_transducer_cannot_end_are_merged():
+    # "c" * 18 is a token of 8 and one of 10 by merging, though no prefix has these two for its encoding
+    ranks = {bytes([b]): b for b in range(256)} | {b"c" * n: 256 + i for i, n in enumerate([2, 3, 5, 4, 9, 11, 10, 7, 8])}
+    t = bpe.Transducer(ranks)
+    for n in range(60):
+        assert t.encode(b"c" * n) == t.merge(b"c" * n)
+
+
 def test_words_of_a_generation_fit_their_table():
     class Plain:
         def encode(self, word):
