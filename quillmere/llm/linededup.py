@@ -58,11 +58,18 @@ def shingle_hashes(texts: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarr
     windows = np.maximum(b - a - size + 1, 1)
     first = np.concatenate([[0], np.cumsum(windows)])
     place = np.arange(first[-1]) - np.repeat(first[:-1] - a, windows)
-    stop = np.minimum(place + size, np.repeat(b, windows))
     power, inverse = C._powers(len(points) + 1)
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=total[1:])
-    return C.mix((total[stop] - total[place]) * inverse[place] ^ (stop - place).astype(np.uint64)), first[:-1]
+    # the windows of the whole text stand side by side; those of the lines are taken from them, and lines that are shorter come in between
+    out = np.zeros(first[-1], np.uint64)
+    if len(points) >= size:
+        whole = (total[size:] - total[:-size]) * inverse[: len(points) - size + 1] ^ np.uint64(size)
+        out = whole[np.minimum(place, len(whole) - 1)]
+    short = np.flatnonzero(b - a < size)
+    a, b = a[short], b[short]
+    out[first[short]] = (total[b] - total[a]) * inverse[a] ^ (b - a).astype(np.uint64)
+    return C.mix(out), first[:-1]
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -165,7 +172,7 @@ def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     size = np.array([len(s) for s in sets])
     rest = np.arange(n)
     edges: list[tuple[int, int]] = []
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    flat, owner, there = np.concatenate(sets), np.repeat(np.arange(n), size), n
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
@@ -180,9 +187,11 @@ def linked(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
                 edges += [(p, q) for q in found]
                 queue += found
                 rest = rest[~hit]
-                if 2 * len(rest) < len(np.unique(owner)):
-                    stay = np.isin(owner, rest)
-                    flat, owner = flat[stay], owner[stay]
+                if 2 * len(rest) < there:
+                    left = np.zeros(n, bool)
+                    left[rest] = True
+                    stay = left[owner]
+                    flat, owner, there = flat[stay], owner[stay], len(rest)
     return edges
 
 
@@ -274,14 +283,14 @@ def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band
     and the join with the buckets all of them.
     """
     C.settle(rows.sparkSession)
-    scanned = rows.select("k", "v", "t").mapInArrow(C.lean(_scan(bands, band_rows)), "h bigint, k bigint, v bigint, ln int, n bigint, bands binary")
+    scanned = rows.select("k", "v", "t").mapInArrow(C.lean(_scan(bands, band_rows), pieces=True), "h bigint, k bigint, v bigint, ln int, n bigint, bands binary")
     lines = C.cut(scanned.groupBy("h").agg(F.min(F.struct("k", "v", "ln")).alias("first"), F.sum("n").alias("n"), F.first("bands").alias("bands")), "lines")
     keys = lines.select("h", "bands").mapInArrow(C.lean(_explode), "cell bigint, node bigint").repartition("cell").sortWithinPartitions("cell")
     # buckets with the same members are one
     members = C.cut(keys.mapInArrow(C.lean(C.shared_cells), "bucket bigint, node bigint").distinct().select("bucket", F.col("node").alias("h")), "buckets")
-    texts = rows.select("t").mapInArrow(C.lean(_texts(C.Filter(members))), "h bigint, line string").groupBy("h").agg(F.first("line").alias("line"))
+    texts = rows.select("t").mapInArrow(C.lean(_texts(C.Filter(members)), pieces=True), "h bigint, line string").groupBy("h").agg(F.first("line").alias("line"))
     grouped = C.blocked(members).join(texts, "h").select("bucket", "h", "line").repartition("bucket").sortWithinPartitions("bucket", "h")
-    edges = grouped.mapInArrow(C.lean(_verify(least)), "a bigint, b bigint")
+    edges = grouped.mapInArrow(C.lean(_verify(least), pieces=True), "a bigint, b bigint")
     roots = C.components(edges, "lines-cc")
     # lines that are alone keep themselves and need no entry
     tied = lines.select("h", "first", "n").join(roots, F.col("h") == F.col("node"), "left").where("n > 1 or root is not null").select("h", "first", F.coalesce("root", "h").alias("root"))
@@ -294,7 +303,7 @@ def duplicates(rows: DataFrame, least: float = JACCARD, bands: int = BANDS, band
 
 def deletions(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     """(k, v, gone): line numbers to delete of every document that loses lines."""
-    places = rows.select("k", "v", "t").mapInArrow(C.lean(_places(C.Filter(decisions))), "h bigint, k bigint, v bigint, ln int")
+    places = rows.select("k", "v", "t").mapInArrow(C.lean(_places(C.Filter(decisions)), pieces=True), "h bigint, k bigint, v bigint, ln int")
     hit = places.join(decisions, "h").where("not (k = keep_k and v = keep_v and ln = keep_ln)")
     return hit.groupBy("k", "v").agg(F.collect_set("ln").alias("gone"))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillmere.llm import bpe, linededup, quality, queries, rules, simhash
+from quillmere.llm import bpe, common, linededup, quality, queries, rules, simhash
 
 #: Nulls, empties, repeats, and extra columns whose names clash with those that the operators use inside.
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k string, t string, v string, TEXT2 string"
@@ -124,6 +124,32 @@ def test_verify_keeps_buckets_that_cross_batches():
         assert {tree.find(i) for i in range(100)} == {0, 50}
 
 
+def test_memory_is_trimmed_once_a_batch_that_is_read(monkeypatch):
+    trims = []
+    monkeypatch.setattr(common, "trim", lambda: trims.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(["some words of a line\n" * 5, "other words\n" * 9])], names=["k", "v", "t"])
+    monkeypatch.setattr(common.chunks, "__defaults__", (16,))  # a piece a row
+    out = list(common.lean(linededup._scan(8, 4), pieces=True)(iter([batch, batch, batch])))
+    assert len(out) == 6 and len(trims) == 4
+    with_all = common.lean(linededup._scan(8, 4))(iter([batch, batch, batch]))
+    assert [x.to_pydict() for x in with_all] == [x.to_pydict() for x in out]
+
+
+def test_shingles_of_lines_of_any_length():
+    rng = random.Random(6)
+    seen = {}
+    for _ in range(300):
+        lines = ["".join(rng.choice("ab é🙂") for _ in range(rng.choice([1, 2, 7, 8, 9, 40]))) for _ in range(rng.randrange(1, 5))]
+        ends = np.cumsum([len(x.encode()) + 1 for x in lines]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        hashes, first = linededup.shingle_hashes("\n".join(lines).encode(), starts, ends)
+        plain = [x[i : i + 8] for x in lines for i in range(max(1, len(x) - 7))]
+        assert first.tolist() == np.cumsum([0, *[max(1, len(x) - 7) for x in lines]])[:-1].tolist() and len(hashes) == len(plain)
+        # equal shingles have equal hashes, others have not
+        assert all(seen.setdefault(x, h) == h for x, h in zip(plain, hashes.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen)
+
+
 # ------------------------------------------------------------------------------------------------ near-dedup
 
 
