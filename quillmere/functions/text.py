@@ -56,8 +56,8 @@ def let(value: Column, body) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    """Without white space at either end (all kinds, not spaces only)."""
-    return F.regexp_replace(text, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")
+    """Without white space at either end (all kinds, not spaces only). A regular expression would also cut before a final line separator such as U+2028."""
+    return F.trim(text, F.lit(" \t\n\r\f"))
 
 
 def fields(text: Column) -> Column:

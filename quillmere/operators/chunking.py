@@ -18,17 +18,26 @@ PREVIEW = 200
 
 
 def parent_text(heading: Column, content: Column) -> Column:
-    """Heading, blank line, and the content's first 200 bytes cut at the last space, with dots if it was cut."""
+    """Heading, blank line, and the preview of the content; without a heading the preview alone."""
+    return F.concat(F.when(heading != "", F.concat(heading, F.lit("\n\n"))).otherwise(F.lit("")), preview(content))
 
-    def cut(head: Column) -> Column:
-        spots = F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1)))
-        spaces = F.filter(spots, lambda i: (F.substring(head, i, F.lit(1)) == " ") & (F.octet_length(F.left(head, i - 1)) < PREVIEW))
-        hard = F.array_max(F.filter(spots, lambda i: F.octet_length(F.left(head, i)) <= PREVIEW))
-        return F.left(head, F.coalesce(F.array_max(spaces) - 1, hard))
 
-    long = lambda body: F.concat(T.let(F.left(body, F.lit(PREVIEW)), cut), F.lit("..."))
-    shown = T.let(T.trimmed(content), lambda body: F.when(F.octet_length(body) > PREVIEW, long(body)).otherwise(body))
-    return F.concat(F.when(heading != "", F.concat(heading, F.lit("\n\n"))).otherwise(F.lit("")), shown)
+def preview(content: Column) -> Column:
+    """The content's first 200 bytes cut at the last space, with dots if it was cut; without a space, as many characters as fit."""
+
+    def cut(body: Column) -> Column:
+        data = body.cast("binary")
+        follows = lambda at: F.hex(F.substring(data, at, 1)).rlike("^[89AB]")  # noqa: E731 - a byte inside a character
+        fits = F.when(~follows(PREVIEW + 1), PREVIEW)
+        for back in (1, 2):
+            fits = fits.when(~follows(PREVIEW + 1 - back), PREVIEW - back)
+        return T.let(F.substring(data, F.lit(1), fits.otherwise(PREVIEW - 3)).cast("string"), at_space)
+
+    def at_space(head: Column) -> Column:
+        last = F.substring_index(head, " ", -1)
+        return F.when(F.contains(head, F.lit(" ")), F.left(head, F.length(head) - F.length(last) - 1)).otherwise(head)
+
+    return T.let(T.trimmed(content), lambda body: F.when(F.octet_length(body) > PREVIEW, F.concat(cut(body), F.lit("..."))).otherwise(body))
 
 
 def estimate(text: str) -> int:
