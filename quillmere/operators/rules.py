@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -188,17 +190,19 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def content_type(text: Column) -> Column:
     """The first that holds: table, definition, requirement, section, paragraph."""
-    body = T.trimmed(text)
-    lines = F.split(body, "\n")
-    n = F.size(lines)
-    count = lambda f: F.size(F.filter(lines, f))
-    table = ((n >= 3) & (count(lambda x: F.contains(x, F.lit("|"))) >= F.floor(n / 2))) | (count(lambda x: F.length(x) - F.length(F.translate(x, "\t", "")) >= 2) >= 2) | (count(lambda x: T.trimmed(x).rlike("^(-{4,}|={4,})$")) > 0)
-    defined = count(lambda x: T.trimmed(x).rlike(DEFINES)) >= F.when(n <= 3, 1).otherwise(2)
-    head = T.trimmed(F.try_element_at(F.filter(lines, lambda x: T.trimmed(x) != ""), F.lit(1)))
-    titled = F.lit(False)
-    for p in HEADINGS:
-        titled = titled | head.rlike(p)
-    return F.when(body == "", "paragraph").when(table, "table").when(defined, "definition").when(F.upper(body).rlike("SHALL|MUST|REQUIRED"), "requirement").when(titled, "section").otherwise("paragraph")
+    def of(body: Column, lines: Column) -> Column:
+        n = F.size(lines)
+        # most texts have no such mark at all, and then no line is looked at
+        count = lambda f, *marks: F.when(T.any_of(body, list(marks)), F.size(F.filter(lines, lambda x: T.any_of(x, list(marks)) & f(x)))).otherwise(0)
+        tabs = count(lambda x: F.length(x) - F.length(F.translate(x, "\t", "")) >= 2, "\t")
+        ruled = count(lambda x: T.trimmed(x).rlike("^(-{4,}|={4,})$"), "----", "====")
+        table = ((n >= 3) & (count(lambda x: F.lit(True), "|") >= F.floor(n / 2))) | (tabs >= 2) | (ruled > 0)
+        defined = count(lambda x: T.trimmed(x).rlike(DEFINES), ":", '"') >= F.when(n <= 3, 1).otherwise(2)
+        titled = lambda head: reduce(or_, [head.rlike(p) for p in HEADINGS])
+        head = T.trimmed(F.substring_index(body, "\n", 1))  # the body is trimmed, so its first line isn't blank
+        return F.when(body == "", "paragraph").when(table, "table").when(defined, "definition").when(T.any_of(F.upper(body), ["SHALL", "MUST", "REQUIRED"]), "requirement").when(T.let(head, titled), "section").otherwise("paragraph")
+
+    return T.let(T.trimmed(text), lambda body: T.let(F.split(body, "\n"), lambda lines: of(body, lines)))
 
 
 def numbering(line: Column) -> Column:

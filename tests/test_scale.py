@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
+from quillmere.operators import rules
 from quillmere.plans import catalog
 
 
@@ -17,3 +19,10 @@ def test_parent_content_of_odd_texts(spark, tmp_path, text):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert rows_of(catalog.QUERIES["parent_content"](spark, str(tmp_path)).toArrow()) == rows_of(con.execute(catalog.SQL["parent_content"]).to_arrow_table())
+
+
+def test_content_type_cuts_a_text_once(spark):
+    texts = ["a|b\nc|d\ne|f", "x\ty\tz\n1\t2\t3", "one\n  ====  \ntwo", "Term: a thing", '"Term" shall mean it', "a b\nc d\ne: f\ng h", "it must be", "# Title\ntext", "text", " \n ", "note -- ----", "3. a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, text string").select("i", rules.content_type(F.col("text")).alias("kind"))
+    assert plan_of(df).count("split(") == 1
+    assert [r["kind"] for r in df.orderBy("i").collect()] == ["table", "table", "table", "definition", "definition", "paragraph", "requirement", "section", "paragraph", "paragraph", "paragraph", "section"]
