@@ -135,9 +135,15 @@ def is_exhaustive(question: Column) -> Column:
     return any_of(low, EXHAUSTIVE) | ((F.size(words) >= 15) & (F.size(F.filter(words, lambda w: w.isin(QUESTION_WORDS))) >= 2))
 
 
+def may_have_identifier(text: Column) -> Column:
+    """Every pattern of identifiers needs a digit, ``rev`` or capitals around a hyphen; most texts have none of them, which is found sooner than that no pattern matches."""
+    return text.rlike("[0-9]") | F.contains(F.lower(text), F.lit("rev")) | text.rlike("[A-Z]-[A-Z]")
+
+
 def identifiers(text: Column, patterns: list[str] = INGEST_PATTERNS) -> Column:
     """All matches, pattern after pattern."""
-    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(f"({p})") if not p.startswith("(?i)") else F.lit(f"(?i)({p[4:]})"), F.lit(1)), trimmed) for p in patterns])
+    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(f"({p})") if not p.startswith("(?i)") else F.lit(f"(?i)({p[4:]})"), F.lit(1)), trimmed) for p in patterns])
+    return F.when(may_have_identifier(text), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def answer_words(text: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from quillmere.operators import rules
+from quillmere.operators import graph, rules
 from quillmere.plans import catalog
 
 
@@ -26,3 +26,10 @@ def test_content_type_cuts_a_text_once(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i bigint, text string").select("i", rules.content_type(F.col("text")).alias("kind"))
     assert plan_of(df).count("split(") == 1
     assert [r["kind"] for r in df.orderBy("i").collect()] == ["table", "table", "table", "definition", "definition", "paragraph", "requirement", "section", "paragraph", "paragraph", "paragraph", "section"]
+
+
+def test_cues_are_looked_for_once(spark):
+    chunks = spark.createDataFrame([(1, "ISO 9001 supersedes ISO 9000 in all plants. " + "word " * 30)], "chunk_id bigint, content string")
+    edges = graph.extract(chunks)[1]
+    assert plan_of(edges).count("Generate explode(here") == 2
+    assert {(r["source"], r["relation_type"], r["target"]) for r in edges.collect()} >= {("iso 9001", "supersedes", "iso 9000")}
