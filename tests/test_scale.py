@@ -1,11 +1,13 @@
 """What kept queries from larger tables, and odd inputs that larger tables have."""
 
+import random
+
 import duckdb
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from quillmere.operators import graph, rules
+from quillmere.operators import graph, retrieval, rules, scoring
 from quillmere.plans import catalog
 
 
@@ -33,3 +35,25 @@ def test_cues_are_looked_for_once(spark):
     edges = graph.extract(chunks)[1]
     assert plan_of(edges).count("Generate explode(here") == 2
     assert {(r["source"], r["relation_type"], r["target"]) for r in edges.collect()} >= {("iso 9001", "supersedes", "iso 9000")}
+
+
+def test_postings_are_counted_where_a_text_is(spark):
+    rows = [(1, "a b² a"), (2, "Ⅷ ½ ́x"), (1, "b a"), (None, "c"), (3, None), (None, "c c"), (4, "")]
+    got = retrieval.postings(spark.createDataFrame(rows, "chunk_id bigint, content string"))
+    assert "Aggregate" not in plan_of(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "a", 3), (1, "b", 2), (2, "x", 1), (None, "c", 3)], key=repr)
+
+
+def test_scores_add_up_without_joins(spark, monkeypatch):
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "ünder", "the"]
+    chunks = spark.createDataFrame([(rng.randrange(70), " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for _ in range(90)] + [(100, None), (101, "")], "chunk_id bigint, content string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 3))) for q in range(5)] + [(9, None), (10, "the")], "query_id bigint, question string")
+    for top in (None, 4):
+        quick = retrieval.bm25(chunks, asked, top=top)
+        assert "Join" not in plan_of(quick)
+        with monkeypatch.context() as m:
+            m.setattr(scoring, "BOUND", 0)
+            plain = retrieval.bm25(chunks, asked, top=top)
+            assert "Join" in plan_of(plain)
+            assert quick.dtypes == plain.dtypes and {tuple(r) for r in quick.collect()} == {tuple(r) for r in plain.collect()}
