@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -57,3 +58,40 @@ def test_scores_add_up_without_joins(spark, monkeypatch):
             plain = retrieval.bm25(chunks, asked, top=top)
             assert "Join" in plan_of(plain)
             assert quick.dtypes == plain.dtypes and {tuple(r) for r in quick.collect()} == {tuple(r) for r in plain.collect()}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_nearest_of_odd_vectors(spark, metric):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(700, 6)).round(2)
+    v[100:160], v[5], v[6], v[7:9] = v[0], 0, 1e12, v[0] * 1e-9
+    v[9, 2] = np.nan
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(3, [0.5] * 6), (900, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = retrieval.nearest(df, df.withColumnRenamed("vec_id", "query_id"), 3, metric, block=200, exclude_self=True)
+    want = set()
+    ids, all_ = np.array([i for i, x in rows if x]), np.array([x for _, x in rows if x])
+    for q in range(len(ids)):
+        x = np.round(retrieval._distances(metric, np.repeat(all_[q : q + 1], len(ids), 0), all_), 6) + 0.0
+        ok = np.isfinite(x) & (ids != ids[q])
+        want |= {(int(ids[q]), int(ids[j]), float(x[j])) for j in np.flatnonzero(ok)[np.lexsort((ids[ok], x[ok]))][:3]} if ids[q] != 3 else set()
+    assert {(r["query_id"], r["vec_id"], r["distance"]) for r in got.where("query_id <> 3").collect()} == want
+
+
+def test_few_pairs_are_compared_exactly():
+    rng = np.random.default_rng(1)
+    q, d = rng.normal(size=(50, 16)), rng.normal(size=(20_000, 16))
+    rows, _ = retrieval._candidates(*retrieval._searched("l2", q, d), 10)
+    assert 10 <= np.bincount(rows).min() and np.bincount(rows).max() <= 15
+
+
+def test_relationships_are_made_once(spark, tmp_path):
+    def seen(batches, folder=str(tmp_path)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(8)], "source_entity_id bigint, target_entity_id bigint, weight double").coalesce(1).mapInArrow(seen, "source_entity_id bigint, target_entity_id bigint, weight double")
+    assert graph.communities(spark.range(12), edges).where("level = 0").count() == 4
+    assert len(list(tmp_path.iterdir())) == 1
