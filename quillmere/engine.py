@@ -217,7 +217,7 @@ class Engine:
         out = reasoning.reason(given, self.provider, rounds, self.config.confidence_threshold)
         out = self._follow_up(questions, hits, cut(out.select("query_id", "question", "answer", "tokens", "confidence", "rounds_used", "sources"), "answers"), rounds)
         words = T.answer_words(F.col("answer"))
-        out = out.withColumn("snippets", F.transform("sources", lambda s: evaluation.snippet(s["content"], words)))
+        out = out.withColumn("snippets", evaluation.snippets(F.col("sources.content"), words))
         if structured:
             out = reasoning.structured(out, self.provider)
         out = cut(questions.select("query_id", "question").join(out.drop("question"), "query_id", "left"), "queried")

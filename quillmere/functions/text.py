@@ -163,7 +163,7 @@ def normal(text: Column) -> Column:
     """Model output normalised: kinds of spaces to a space, kinds of hyphens to a hyphen, zero-width characters off."""
     out = F.regexp_replace(text, "[\\u200B\\u200C\\u200D\\uFEFF]", "")
     out = F.regexp_replace(out, "[\\u2010-\\u2014]", "-")
-    return F.regexp_replace(out, "[ \\t\\n\\r\\f\\x0B\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]", " ")
+    return F.regexp_replace(out, "[\\t\\n\\r\\f\\x0B\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]", " ")
 
 
 def without_thoughts(text: Column) -> Column:

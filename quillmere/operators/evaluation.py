@@ -1,15 +1,21 @@
 """Answers against their sources: validation, confidence and evaluation metrics.
 
 ``answers``: query_id, question, answer, facts array<string>, sources array<struct<filename, heading, content, page_number, chunk_id>> in rank order.
-Everything is array functions and aggregates; no Python runs.
+Array functions and aggregates, but for what looks many words up in long texts, which runs in Python workers over batches of bounded size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from quillmere.functions import text as T
+from quillmere.functions.batches import lean, settle
+from quillmere.operators import scoring
 from quillmere.operators.retrieval import SEPARATORS, asked_postings, terms
 
 NUMBERS = T.B0 + r"[0-9]+(?:\.[0-9]+)?" + T.B1
@@ -36,8 +42,29 @@ def faithfulness(answer: Column, sources: Column) -> Column:
     return F.when(answer == "", 0.0).otherwise(_round(T.clamp(1 - 0.2 * T.count_of(low, T.OUTSIDE) + 0.1 * F.least(named, F.lit(3)))))
 
 
-def relevance(question: Column, sources: Column) -> Column:
-    """Share of sources that hold at least 30 % of the question's words."""
+@F.arrow_udf(Ty.ArrayType(Ty.StringType()))
+def _words_in(words: pa.Array, text: pa.Array) -> pa.Array:
+    """Of the words, those that a text contains."""
+    made = []
+    for ws, t in zip(words.to_pylist(), text.to_pylist(), strict=True):
+        pieces = set((t or "").split(" "))
+        once = " ".join(pieces)  # a word without a space is within a piece without one
+        made.append([w for w in ws or () if w in pieces or w in (t or "" if " " in w else once)])
+    return pa.array(made, pa.list_(pa.string()))
+
+
+@F.arrow_udf(Ty.ArrayType(Ty.IntegerType()))
+def _counts_in(words: pa.Array, texts: pa.Array) -> pa.Array:
+    """How many of the words each text contains."""
+    made = [[0 if t is None else sum(w in t for w in ws or ()) for t in ts or ()] for ws, ts in zip(words.to_pylist(), texts.to_pylist(), strict=True)]
+    return pa.array(made, pa.list_(pa.int32()))
+
+
+def relevance(question: Column, sources: Column, words: Column | None = None, counts: Column | None = None) -> Column:
+    """Share of sources that hold at least 30 % of the question's words. ``words`` and ``counts``: these words, and how many of them each source has, if they are known."""
+    if words is not None:
+        good = F.size(F.filter(counts, lambda n: n / F.size(words) >= 0.3))
+        return F.when(F.size(sources) == 0, 0.0).when(F.size(words) == 0, 0.5).otherwise(_round(good / F.size(sources)))
     low = lambda s: F.lower(F.concat(s["content"], F.lit(" "), s["heading"]))
 
     def of(words: Column) -> Column:
@@ -82,23 +109,29 @@ def _numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NUMBERS})"), F.lit(1))
 
 
-def claim_grounding(answer: Column, sources: Column, text: Column | None = None) -> Column:
-    """Share of the answer's distinct words and numbers that some source holds; 1 if there are none."""
+def claims(answer: Column) -> Column:
+    """Distinct words and numbers of an answer."""
     low = F.lower(answer)
+    return F.array_distinct(F.concat(T.evaluation_words(low), _numbers(low)))
+
+
+def claim_grounding(answer: Column, sources: Column, text: Column | None = None, terms: Column | None = None, held: Column | None = None) -> Column:
+    """Share of the answer's distinct words and numbers that some source holds; 1 if there are none. ``terms`` and ``held``: these, and those that are held, if they are known."""
+    if terms is not None:
+        return F.when((answer == "") | (F.size(sources) == 0), 0.0).when(F.size(terms) == 0, 1.0).otherwise(_round(F.size(held) / F.size(terms)))
 
     def of(x: Column) -> Column:
-        terms = F.array_distinct(F.concat(T.evaluation_words(low), _numbers(low)))
-        return T.let(terms, lambda ts: F.when(F.size(ts) == 0, 1.0).otherwise(_round(F.size(F.filter(ts, lambda w: F.contains(x, w))) / F.size(ts))))
+        return T.let(claims(answer), lambda ts: F.when(F.size(ts) == 0, 1.0).otherwise(_round(F.size(F.filter(ts, lambda w: F.contains(x, w))) / F.size(ts))))
 
     return F.when((answer == "") | (F.size(sources) == 0), 0.0).otherwise(T.let(corpus(sources), of) if text is None else of(text))
 
 
-def hallucination(answer: Column, sources: Column, text: Column | None = None) -> Column:
-    """1 less the share of penalties: numbers other than 0 to 10 weigh 1, words over five bytes 0.5, repeats count; 0.5 without sources."""
+def hallucination(answer: Column, sources: Column, text: Column | None = None, held: Column | None = None) -> Column:
+    """1 less the share of penalties: numbers other than 0 to 10 weigh 1, words over five bytes 0.5, repeats count; 0.5 without sources. ``held``: the words and numbers that sources hold, if they are known."""
     low = F.lower(answer)
 
     def of(x: Column, numbers: Column, words: Column) -> Column:
-        missing = lambda xs: F.size(F.filter(xs, lambda w: ~F.contains(x, w)))
+        missing = lambda xs: F.size(F.filter(xs, lambda w: ~F.contains(x, w) if held is None else ~F.array_contains(held, w)))
         most = F.size(numbers) + 0.5 * F.size(words)
         return F.when(most == 0, 1.0).otherwise(_round(T.clamp(1 - (missing(numbers) + 0.5 * missing(words)) / most)))
 
@@ -113,21 +146,27 @@ def hallucination(answer: Column, sources: Column, text: Column | None = None) -
 def score(answers: DataFrame) -> DataFrame:
     """Adds every metric of an answer, and whether it passes (accuracy and context recall of at least a half)."""
     a, q, f, s = (F.col(c) for c in ("answer", "question", "facts", "sources"))
+    settle(answers.sparkSession)
+    texts = F.transform(s, lambda x: F.lower(F.concat(x["content"], F.lit(" "), x["heading"])))
+    told = answers.withColumn("q_words", T.evaluation_words(q)).withColumn("q_terms", claims(a))
+    # hundreds of words are looked for in long texts: Python does that sooner than a loop over a text's bytes
+    told = told.withColumn("q_counts", _counts_in("q_words", texts)).withColumn("q_held", _words_in("q_terms", corpus(s)))
+    words, terms, counts, held = (F.col(c) for c in ("q_words", "q_terms", "q_counts", "q_held"))
 
     def metrics(text: Column) -> Column:
         made = {
             "faithfulness": faithfulness(a, s),
-            "relevance": relevance(q, s),
+            "relevance": relevance(q, s, words, counts),
             "accuracy": accuracy(a, f),
             "context_recall": context_recall(s, f, text),
             "citation_quality": citation_quality(a, s),
-            "claim_grounding": claim_grounding(a, s, text),
-            "hallucination": hallucination(a, s, text),
+            "claim_grounding": claim_grounding(a, s, text, terms, held),
+            "hallucination": hallucination(a, s, text, held),
             "confidence": heuristic_confidence(a, s),
         }
         return F.struct(*[c.alias(name) for name, c in made.items()])
 
-    out = answers.withColumn("q_metrics", T.let(corpus(s), metrics)).select(*answers.columns, "q_metrics.*")
+    out = told.withColumn("q_metrics", T.let(corpus(s), metrics)).select(*answers.columns, "q_metrics.*")
     return out.withColumn("passed", (F.col("accuracy") >= 0.5) & (F.col("context_recall") >= 0.5))
 
 
@@ -194,22 +233,45 @@ def composite_confidence(answer: Column, sources: Column) -> Column:
     return _round(T.clamp(0.3 * coverage + 0.3 * verified + 0.25 * steady + 0.15 * length))
 
 
-def snippet(content: Column, words: Column) -> Column:
-    """The sentence that shares most words with the answer, and the better neighbour if both fit in 300 bytes; empty if none shares any."""
-    near = lambda xs, i: F.when(i > 0, F.try_element_at(xs, F.greatest(i, F.lit(1))))
+def snippets(contents: Column, words: Column) -> Column:
+    """Of every content the sentence that shares most words with the answer, and the better neighbour if both fit in 300 bytes; empty if none shares any."""
+    settle(SparkSession.active())
+    return _snippets(contents, words)
+
+
+_END = re.compile(r"[.?!](?=[ \n\t]|\Z)")
 
-    def at(s: Column, scores: Column, i: Column) -> Column:
-        own = F.try_element_at(s, i)
-        after, before = F.coalesce(near(scores, i + 1), F.lit(0)), F.coalesce(near(scores, i - 1), F.lit(0))
-        both = F.when((after >= before) & (after > 0), F.concat(own, F.lit(" "), near(s, i + 1))).when(before > 0, F.concat(near(s, i - 1), F.lit(" "), own))
-        return F.when((F.octet_length(own) < 300) & (F.octet_length(both) <= 300), both).otherwise(own)
 
-    def best(s: Column, scores: Column) -> Column:
-        top = F.coalesce(F.array_max(scores), F.lit(0))
-        return F.when(top == 0, "").otherwise(T.let(F.array_position(scores, top).cast("int"), lambda i: at(s, scores, i)))
+def _sentences(text: str) -> list[str]:
+    """As ``text.sentences`` has them."""
+    ends = [m.end() for m in _END.finditer(text)]
+    pieces = (text[a:b].strip(" \t\n\r\f") for a, b in zip([0, *ends], [*ends, len(text)], strict=True))
+    return [p for p in pieces if p]
 
-    shared = lambda s: F.transform(s, lambda x: F.size(F.array_intersect(T.answer_words(x), words)))
-    return T.let(T.sentences(content), lambda s: T.let(shared(s), lambda scores: best(s, scores)))
+
+def best_snippet(content: str, words: set[str]) -> str:
+    s = _sentences(content)
+    scores = [len(words & set(scoring.cut_words(x.lower()))) for x in s]
+    top = max(scores, default=0)
+    if not top:
+        return ""
+    i = scores.index(top)
+    own, both = s[i], None
+    after, before = scores[i + 1] if i + 1 < len(s) else 0, scores[i - 1] if i else 0
+    if after >= before and after > 0:
+        both = f"{own} {s[i + 1]}"
+    elif before > 0:
+        both = f"{s[i - 1]} {own}"
+    return both if both is not None and len(own.encode()) < 300 and len(both.encode()) <= 300 else own
+
+
+@F.arrow_udf(Ty.ArrayType(Ty.StringType()))
+def _snippets(contents: pa.Array, words: pa.Array) -> pa.Array:
+    made = []
+    for cs, w in zip(contents, words, strict=True):
+        own = set(w.as_py() or ())
+        made.append(None if cs.as_py() is None else [best_snippet(c or "", own) for c in cs.as_py()])
+    return pa.array(made, pa.list_(pa.string()))
 
 
 def found(answer: Column) -> Column:
@@ -244,13 +306,50 @@ def at_k(retrieved: DataFrame, truth: DataFrame, ks: list[int] = KS) -> DataFram
 STAGES = ["PASS", "MODEL_MISS", "RETRIEVAL_MISS", "EMBEDDING_MISS", "CHUNK_MISS"]
 
 
+#: Texts, and characters of all of them, that workers hold to look for them; of those without a word inside, which are looked for one by one.
+HELD, LOOSE = (1 << 16, 1 << 24), 256
+
+
+def _held(chunks: DataFrame, keyed: dict[str, list[str]], loose: list[str]) -> DataFrame:
+    """(low, chunk_id): one pass over the chunks. ``keyed``: texts by a word that a chunk must have; ``loose``: texts without one."""
+    settle(chunks.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            lows, at = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                got = [low for w in keyed.keys() & set(scoring.cut_words(text)) for low in keyed[w] if low in text] + [low for low in loose if low in text]
+                lows.extend(got)
+                at.extend([i] * len(got))
+            yield pa.RecordBatch.from_arrays([pa.array(lows, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], names=["low", "chunk_id"])
+
+    schema = Ty.StructType([Ty.StructField("low", Ty.StringType()), chunks.schema["chunk_id"]])
+    return chunks.select("chunk_id", F.lower("content").alias("content")).mapInArrow(lean(run), schema).distinct()
+
+
 def holding(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(low, chunk_id) of every chunk whose lower-case content holds a text. ``wanted``: low, each once.
 
     Containment has no equi-join key, so every text gets a key that its chunks must have: of the whole words inside it the one in fewest chunks; without such a word,
     each word of the corpus that contains its longest piece, found by the piece's first three characters; without letters and digits, its first character.  Chunks
-    found by key are then tested.
+    found by key are then tested.  As long as the texts fit ``HELD``, all this is done in one pass over the chunks by workers that hold them, the key being the longest word inside.
     """
+    few, most = HELD
+    rows = wanted.select("low").limit(few + 1).collect()
+    lows = [r["low"] for r in rows if r["low"] is not None]
+    keyed: dict[str, list[str]] = {}
+    loose = []
+    for low in lows:
+        words = scoring.cut_words(low)
+        inner = words[bool(words) and low.startswith(words[0]) : len(words) - (bool(words) and low.endswith(words[-1]))]
+        if inner:
+            keyed.setdefault(max(inner, key=len), []).append(low)
+        else:
+            loose.append(low)
+    if len(rows) <= few and sum(map(len, lows)) <= most and len(loose) <= LOOSE:
+        return _held(chunks, keyed, loose)
     pieces = wanted.withColumn("pieces", F.split("low", SEPARATORS)).select("low", "pieces", F.filter(F.expr("slice(pieces, 2, greatest(size(pieces) - 2, 0))"), lambda w: w != "").alias("inner"))
     inner = pieces.select("low", F.explode(F.array_distinct("inner")).alias("term"))
     low_chunks = chunks.select("chunk_id", F.lower("content").alias("content"))

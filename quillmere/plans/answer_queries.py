@@ -153,8 +153,9 @@ SELECT query_id, rank::INT AS rank, chunk_id, CASE WHEN top = 0 THEN '' WHEN str
 """)
 def snippets(spark, sf):
     """The part of every source that its answer is from."""
-    own = answers(spark, sf).select("query_id", T.answer_words(F.col("answer")).alias("words"), F.posexplode("sources").alias("rank", "s"))
-    return own.select("query_id", "rank", F.col("s.chunk_id").alias("chunk_id"), E.snippet(F.col("s.content"), F.col("words")).alias("snippet"))
+    own = answers(spark, sf).select("query_id", "sources", T.answer_words(F.col("answer")).alias("words"))
+    made = own.select("query_id", F.col("sources.chunk_id").alias("chunk_id"), E.snippets(F.col("sources.content"), F.col("words")).alias("snippet"))
+    return made.select("query_id", F.posexplode(F.arrays_zip("chunk_id", "snippet")).alias("rank", "s")).select("query_id", "rank", "s.chunk_id", "s.snippet")
 
 
 @query()

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from quillmere.operators import graph, retrieval, rules, scoring
+from quillmere.operators import evaluation, graph, retrieval, rules, scoring
 from quillmere.plans import catalog
 
 
@@ -95,3 +95,40 @@ def test_relationships_are_made_once(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(8)], "source_entity_id bigint, target_entity_id bigint, weight double").coalesce(1).mapInArrow(seen, "source_entity_id bigint, target_entity_id bigint, weight double")
     assert graph.communities(spark.range(12), edges).where("level = 0").count() == 4
     assert len(list(tmp_path.iterdir())) == 1
+
+
+ANSWERS = "query_id bigint, question string, answer string, facts array<string>, sources array<struct<filename string, heading string, content string, page_number int, chunk_id bigint, chunk_type string>>"
+
+
+def source(content, heading="A heading"):
+    return ("a.pdf", heading, content, 1, 7, "paragraph")
+
+
+def test_snippets_cut_sentences_in_batches(spark):
+    texts = ["One two. Pumps need pressure! Why?", "Nothing here.", "", "Pressure of pumps." + "x" * 300 + " pressure. End pumps", "a pumps.b pressure² ok. c"]
+    df = spark.createDataFrame([(texts, ["pumps", "pressure"]), (None, ["x"])], "c array<string>, w array<string>").select(evaluation.snippets(F.col("c"), F.col("w")).alias("s"))
+    assert "transform" not in plan_of(df)
+    assert [r["s"] for r in df.collect()] == [["Pumps need pressure!", "", "", "Pressure of pumps." + "x" * 300 + " pressure.", "a pumps.b pressure² ok."], None]
+
+
+def test_texts_are_found_in_one_pass(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gam-ma", "é", "x1²", "--", "(", "delta.", "a"]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(60)] + [(99, None)], "chunk_id bigint, content string")
+    wanted = spark.createDataFrame([(f,) for f in {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(60)}], "low string")
+    quick = evaluation.holding(chunks, wanted)
+    assert "Join" not in plan_of(quick)
+    with monkeypatch.context() as m:
+        m.setattr(evaluation, "HELD", (0, 0))
+        plain = {tuple(r) for r in evaluation.holding(chunks, wanted).collect()}
+    assert {tuple(r) for r in quick.collect()} == plain and plain
+
+
+def test_words_are_looked_up_in_batches(spark):
+    rows = [(1, "Which pump?", "The pump, at 17.5 bars, fails 17.5 quicklyish.", ["pump"], [source("A PUMP at 17.5 bar"), source("none", "")]), (2, "", "no", [], [source("x")]), (3, "what pump", "pumps", ["a"], []), (4, "pump pump valve", "İpump valve ΑΣ", ["x"], [source("valve ας"), source(None)])]
+    df = spark.createDataFrame(rows, ANSWERS)
+    made = evaluation.score(df)
+    assert "_words_in" in plan_of(made) and "_counts_in" in plan_of(made)
+    a, q, s = F.col("answer"), F.col("question"), F.col("sources")
+    plain = df.select("query_id", evaluation.relevance(q, s).alias("relevance"), evaluation.claim_grounding(a, s).alias("claim_grounding"), evaluation.hallucination(a, s).alias("hallucination"))
+    assert sorted(map(tuple, made.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
