@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quillmere.functions import text as T
+from quillmere.operators import scoring
 from quillmere.operators.retrieval import B, K1, ranked
 
 _STEP2 = [("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("ator", "ate"), ("eli", "e")]
@@ -106,10 +108,51 @@ def index(chunks: DataFrame, key: str = "chunk_id", text: str = "content", headi
     return chunks.select(key, stems(whole).alias("ts")).withColumn("dl", F.size("ts").cast("bigint"))
 
 
+def _features(number: dict[str, int], phrased: dict[str, list[str]], grouped: dict[str, list[str]], asked: set[int], cut_up: bool):
+    """For a text, or with ``cut_up`` false for its stems: their number, and how often each asked term, phrase and group is there.
+
+    ``phrased``: terms that a phrase has; ``grouped``: parts of a group.  Either is looked for where the rarest-looking of its terms is, the longest.
+    """
+    keyed: dict[int, list] = {}
+    for feature, terms in [*phrased.items(), *grouped.items()]:
+        pattern = re.compile(re.escape(feature.rstrip(" ")) + "(?= )") if feature in phrased else None
+        keyed.setdefault(number[max(terms, key=len)], []).append((frozenset(number[t] for t in terms), number[feature], pattern))
+    cut = re.compile(r"[^\W_]+")
+    known: dict[str, int | None] = {}
+
+    def find(value):
+        words = cut.findall(value.lower()) if cut_up else value
+        got: dict[int, int] = {}
+        for w, times in Counter(words).items():
+            if w in known:
+                t = known[w]
+            else:
+                if len(known) > 1 << 18:
+                    known.clear()
+                t = known[w] = number.get(stem(_fold(w)) if cut_up else w)
+            if t is not None:
+                got[t] = got.get(t, 0) + times
+        line = None
+        for t in [t for t in got if t in keyed]:
+            for terms, feature, pattern in keyed[t]:
+                if not terms <= got.keys():
+                    continue
+                if pattern is None:
+                    times = min(got[x] for x in terms)
+                else:
+                    line = line or " " + " ".join(stem(_fold(w)) if cut_up else w for w in words) + " "
+                    times = len(pattern.findall(line))
+                if times:
+                    got[feature] = times
+        return len(words), {t: n for t, n in got.items() if t in asked}
+
+    return find
+
+
 def search(chunks: DataFrame | None, queries: DataFrame, top: int | None = None, key: str = "chunk_id", text: str = "content", indexed: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, matched, rank): BM25 over stemmed terms; the whole question as a phrase counts as one more term where it occurs.
 
-    A phrase can only stand in a chunk that holds its terms: matched chunks are tested for it as strings of stems, and no positions are shuffled.  ``indexed`` is an
+    As long as the questions have at most ``scoring.BOUND`` terms, texts are read and stemmed once, by workers that know them.  Beyond that, by joins: a phrase can only stand in a chunk that holds its terms: matched chunks are tested for it as strings of stems, and no positions are shuffled.  ``indexed`` is an
     index made before; ``groups`` (query_id, term) are more terms of a question, such as translations: one of several words counts where all of them are, once.
     """
     low = F.lower(T.without_specials(F.col("question")))
@@ -117,6 +160,22 @@ def search(chunks: DataFrame | None, queries: DataFrame, top: int | None = None,
     asked = queries.select("query_id", stems(F.concat_ws(" ", kept)).alias("kept"), stems(low).alias("words")).select("query_id", F.array_distinct("kept").alias("kept"), F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).alias("phrase"), F.size("words").alias("n_words"))
     terms = asked.select("query_id", F.explode("kept").alias("term"))
     wanted = terms.select("term")
+    held = asked.limit(scoring.BOUND + 1).collect()
+    more = [] if groups is None else groups.select("query_id", stems(F.col("term")).alias("parts")).limit(scoring.BOUND + 1).collect()
+    if sum(1 + len(r["kept"]) for r in held) + sum(1 + len(r["parts"]) for r in more) <= scoring.BOUND:
+        number: dict[str, int] = {}
+        of = lambda feature: number.setdefault(feature, len(number))
+        pairs = {(r["query_id"], of(t)) for r in held for t in r["kept"]}
+        phrased = {r["phrase"]: r["kept"] for r in held if r["n_words"] > 1 and r["kept"]}
+        pairs |= {(r["query_id"], of(r["phrase"])) for r in held if r["phrase"] in phrased and r["kept"]}
+        grouped_of = {" " + " ".join(p): p for r in more if (p := list(dict.fromkeys(r["parts"])))}
+        pairs |= {(r["query_id"], of(" " + " ".join(p))) for r in more if (p := list(dict.fromkeys(r["parts"])))}
+        for p in grouped_of.values():
+            for t in p:
+                of(t)
+        value, cut_up = (F.coalesce(text, F.lit("")).alias("q_value"), True) if indexed is None else (F.col("ts").alias("q_value"), False)
+        packed = scoring.pack((chunks if indexed is None else indexed).select(key, value), key, "q_value", _features(number, phrased, grouped_of, {t for _, t in pairs}, cut_up))
+        return ranked(scoring.best(packed, sorted(pairs, key=repr), queries.schema["query_id"].dataType, key, top, df_by_length=False), "score", key, top)
     grouped = None
     if groups is not None:
         parts = groups.select("query_id", F.array_distinct(stems(F.col("term"))).alias("parts")).where("size(parts) > 0").select("query_id", "parts", F.concat(F.lit(" "), F.concat_ws(" ", "parts")).alias("group")).distinct()

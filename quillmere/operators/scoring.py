@@ -81,17 +81,17 @@ def pack(rows: DataFrame, key: str, value: str, find) -> DataFrame:
     return cut(grouped, "packed")
 
 
-def best(packed: DataFrame, asked: list[tuple], query_type: Ty.DataType, key: str, top: int | None = None, by_length: bool = True) -> DataFrame:
+def best(packed: DataFrame, asked: list[tuple], query_type: Ty.DataType, key: str, top: int | None = None, df_by_length: bool = True) -> DataFrame:
     """(query_id, key, score, matched), not ranked yet: all hits, or with ``top`` those that may be among a question's best.
 
-    ``asked``: pairs of question and feature.  ``by_length``: equal features of one key count apart where lengths differ, as for rows of one key.
+    ``asked``: pairs of question and feature.  ``df_by_length``: rows of one key, but of different lengths, count as several chunks that have a feature.
     """
     spark = packed.sparkSession
     stats = packed.agg(F.sum("n").alias("n"), F.sum("n_dl").alias("n_dl"), F.sum("sum_dl").alias("dl")).first()
     posts = packed.select(key, "n", F.explode_outer("ts").alias("t")).select(key, "n", "t.term", "t.tf", "t.dl")
     one = F.when(F.col("n") == 1, F.col("term"))  # of rows that share a key, a feature of one length counts once
     once = posts.where("n = 1").groupBy(one.alias("term")).agg(F.count(F.lit(1)).alias("df"))
-    more = posts.where("n > 1").select(key, "term", *(["dl"] if by_length else [])).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    more = posts.where("n > 1").select(key, "term", *(["dl"] if df_by_length else [])).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     counted = once.unionByName(more).where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).collect()
     ids = list(dict.fromkeys(q for q, _ in asked))
     place = {q: i for i, q in enumerate(ids)}
@@ -135,11 +135,10 @@ def best(packed: DataFrame, asked: list[tuple], query_type: Ty.DataType, key: st
             keys, rows = runs.values, np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             many, term, tf, dl = (table.column(i).to_numpy() for i in range(1, 5))
             if (many > 1).any():
-                d = dl if by_length else np.zeros_like(dl)
-                order = np.lexsort((d, term, rows))
-                r, t, d = rows[order], term[order], d[order]
+                order = np.lexsort((dl, term, rows))
+                r, t, d = rows[order], term[order], dl[order]
                 first = np.flatnonzero(np.r_[True, (np.diff(r) != 0) | (np.diff(t) != 0) | (np.diff(d) != 0)]) if len(r) else np.zeros(0, int)
-                rows, term, dl, tf = r[first], t[first], dl[order][first], np.add.reduceat(tf[order], first) if len(first) else tf[:0]
+                rows, term, dl, tf = r[first], t[first], d[first], np.add.reduceat(tf[order], first) if len(first) else tf[:0]
             return keys, *scores(keys, rows, term.astype(np.int64), tf.astype(float), dl.astype(float))
 
         def merged():

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from quillmere.operators import evaluation, graph, retrieval, rules, scoring
+from quillmere.operators import evaluation, fulltext, graph, retrieval, rules, scoring
 from quillmere.plans import catalog
 
 
@@ -111,6 +111,22 @@ def test_snippets_cut_sentences_in_batches(spark):
     assert [r["s"] for r in df.collect()] == [["Pumps need pressure!", "", "", "Pressure of pumps." + "x" * 300 + " pressure.", "a pumps.b pressure² ok."], None]
 
 
+def test_stems_are_made_once(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["pumps", "pumping", "pressure", "valve", "Übung", "the", "rotating", "rotate"]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(80)] + [(100, None), (101, "")], "chunk_id bigint, content string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, rng.randrange(1, 4)))) for q in range(8)] + [(9, None), (10, "the")], "query_id bigint, question string")
+    groups = spark.createDataFrame([(0, "valves pressure"), (1, "Uebung"), (2, "pumps"), (2, "rotates"), (3, "")], "query_id bigint, term string")
+    for more in (None, groups):
+        quick = fulltext.search(chunks, asked, groups=more)
+        assert "_stems" not in plan_of(quick)
+        kept = fulltext.search(None, asked, indexed=fulltext.index(chunks), groups=more)
+        with monkeypatch.context() as m:
+            m.setattr(scoring, "BOUND", -1)
+            plain = {tuple(r) for r in fulltext.search(chunks, asked, groups=more).collect()}
+        assert {tuple(r) for r in quick.collect()} == plain == {tuple(r) for r in kept.collect()} and plain
+
+
 def test_texts_are_found_in_one_pass(spark, monkeypatch):
     rng = random.Random(4)
     words = ["alpha", "beta", "gam-ma", "é", "x1²", "--", "(", "delta.", "a"]
