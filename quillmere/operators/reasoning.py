@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmere.functions.batches import lean, settle
 from quillmere.operators import evaluation as E
 from quillmere.sources.providers import Provider
 
@@ -68,7 +69,8 @@ def ask(df: DataFrame, prompt: str, out: str, provider: Provider, where: str | N
 
     from pyspark.sql import types as Ty
 
-    return df.mapInArrow(run, Ty.StructType([*schema.fields, Ty.StructField(out, Ty.StringType()), Ty.StructField(f"{out}_error", Ty.StringType()), *([Ty.StructField(usage, Ty.LongType())] if usage else [])]))
+    settle(df.sparkSession)  # a row has its sources, its prompt and more, so batches are bounded by bytes
+    return df.mapInArrow(lean(run), Ty.StructType([*schema.fields, Ty.StructField(out, Ty.StringType()), Ty.StructField(f"{out}_error", Ty.StringType()), *([Ty.StructField(usage, Ty.LongType())] if usage else [])]))
 
 
 def reason(questions: DataFrame, provider: Provider, rounds: int = 3, threshold: float = 0.7) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmere.functions import text as T
+from quillmere.functions.batches import lean, settle
 
 HEADING_PREFIXES = sorted({f"{w} " for w in "anexo annexe article artigo capitulo capítulo chapitre chapter part partie seccion secao section sección seção".split()})
 FIGURE_PREFIXES = sorted("cuadro figura figure graphique gráfico quadro tabela tabla tableau".split())
@@ -166,7 +167,7 @@ def reference_counts(df: DataFrame, key: str, text: str, patterns: dict[str, str
 
 def find_references(text: str) -> list[tuple[str, str, str, int]]:
     """(kind, match, target, byte offset) of cross-references and standards, pattern after pattern; overlaps stay."""
-    at = lambda i: len(text[:i].encode())
+    at = (lambda i: i) if text.isascii() else (lambda i: len(text[:i].encode()))
     out = [(k, m.group(0), m.group(1), at(m.start())) for k, p in _COMPILED[0] for m in p.finditer(text)]
     return out + [(f"standard:{k}", m.group(0), m.group(0), at(m.start())) for k, p in _COMPILED[1] for m in p.finditer(text)]
 
@@ -185,7 +186,8 @@ def references(df: DataFrame, key: str, text: str) -> DataFrame:
             cols = [pa.array([r[j] for r in rows], t) for j, t in ((1, pa.string()), (2, pa.string()), (3, pa.string()), (4, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *cols], names=[key, "kind", "match", "target", "offset"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, kind string, match string, target string, offset bigint")
+    settle(df.sparkSession)
+    return df.select(key, text).mapInArrow(lean(run), f"{key} {kind}, kind string, match string, target string, offset bigint")
 
 
 def content_type(text: Column) -> Column:

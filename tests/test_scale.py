@@ -8,8 +8,9 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from quillmere.operators import evaluation, fulltext, graph, retrieval, rules, scoring
+from quillmere.operators import evaluation, fulltext, graph, reasoning, retrieval, rules, scoring
 from quillmere.plans import catalog
+from quillmere.sources.providers import Deterministic
 
 
 def plan_of(df) -> str:
@@ -148,3 +149,11 @@ def test_words_are_looked_up_in_batches(spark):
     a, q, s = F.col("answer"), F.col("question"), F.col("sources")
     plain = df.select("query_id", evaluation.relevance(q, s).alias("relevance"), evaluation.claim_grounding(a, s).alias("claim_grounding"), evaluation.hallucination(a, s).alias("hallucination"))
     assert sorted(map(tuple, made.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("build", [lambda df: reasoning.ask(df, "text", "reply", Deterministic()), lambda df: rules.references(df, "doc_id", "text")], ids=["ask", "references"])
+def test_batches_are_bounded_in_bytes(spark, build):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    made = build(spark.createDataFrame([(1, "see clause 4.2 and é clause 5")], "doc_id bigint, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert made.count() > 0
