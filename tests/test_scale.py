@@ -157,3 +157,24 @@ def test_batches_are_bounded_in_bytes(spark, build):
     made = build(spark.createDataFrame([(1, "see clause 4.2 and é clause 5")], "doc_id bigint, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert made.count() > 0
+
+
+def test_names_that_differ_in_numbers_only(spark):
+    entities = spark.createDataFrame([(i, f"supplier#{i:09}") for i in range(400)], "id bigint, name string")
+    terms = spark.createDataFrame([(i, f"supplier#{i:09}"[:16]) for i in range(400)] + [(1000, "plier#0"), (1001, "#0000003")], "query_id bigint, term string")
+    found = graph.fuzzy_entities(entities, terms, limit=1000)
+    want = {(q, i) for q, t in map(tuple, terms.collect()) for i in range(400) if t in f"supplier#{i:09}"}
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == want
+    # of grams of four characters each term of sixteen would share its rarest with all names
+    assert max(graph.GRAMS) == 16
+
+
+def test_chunks_aren_t_looked_up_again(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(8), rng.randrange(60)) for _ in range(500)]
+    for edges in ([(a, a, rng.random()) for a in range(8)], [(0, 1, 0.9), (2, 2, 0.1), (3, 3, None)], [(3, 3, None)]):
+        frames = (spark.createDataFrame([(q, rng.randrange(8)) for q in range(5) for _ in range(3)], "query_id bigint, id bigint"), spark.createDataFrame(links, "entity_id bigint, chunk_id bigint"), spark.createDataFrame(edges, "source_entity_id bigint, target_entity_id bigint, weight double"))
+        quick = graph.search_chunks(*frames, top=6)
+        assert {tuple(r) for r in quick.collect()} == {tuple(r) for r in graph.search_chunks(*frames).where("rank <= 6").collect()}
+        if len(edges) == 8:
+            assert plan_of(quick).count("Join") == 3
